@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import encoding, leakage, lookalike, markup, mixing, pii, splitting
+from quirework.llm import encoding, leakage, lookalike, markup, mixing, pii, scanned, splitting
 from quirework.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,16 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.line_defects(table(spark, sf_dir, "segments"), table(spark, sf_dir, "books"))[0].select("book_id", "id", "line_no", "defect")
+
+
+@_query
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repair_scanned(table(spark, sf_dir, "segments"), table(spark, sf_dir, "books"))
+
+
 @_query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repair_segments(table(spark, sf_dir, "segments"), only_affected=True).select("book_id", "id").distinct()
