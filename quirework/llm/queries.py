@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import encoding, leakage, lookalike, markup, mixing, pii, scanned, splitting
+from quirework.llm import bilingual, encoding, leakage, lookalike, markup, mixing, pii, scanned, splitting
 from quirework.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "segments"))
 
 
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = bilingual.align_books(table(spark, sf_dir, "segments"), table(spark, sf_dir, "books"), table(spark, sf_dir, "alignment"))
+    return pairs.where(F.col("book_a") < F.col("book_b")).select("book_a", "id_a", "sent_a", "book_b", "id_b", "sent_b").distinct()
+
+
 @_query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.find_lookalikes(table(spark, sf_dir, "segments")).select("book_id", "id").distinct()
