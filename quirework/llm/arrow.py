@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quirework.session import ship
 
 
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
@@ -27,6 +28,7 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
             if arrays and len(arrays[0]):
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
@@ -41,10 +43,6 @@ def _top_level(schema: str) -> list[str]:
     return [*parts, schema[start:]]
 
 
-def key_columns(df: DataFrame, key: tuple[str, ...]) -> list:
-    return [F.col(k).cast("string").alias(k) for k in key]
-
-
 def string_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array end to end, and n+1 offsets into them; null is empty."""
     if array.null_count:

@@ -241,6 +241,8 @@ def normalise(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
     loose = t.mark[points]
     points, _, replaced = _words(points, offsets, t)
     found = found + joined + row_counts(loose, offsets) + replaced
+    if loose.any() and replaced.any():  # a mark may fit the letter that took its base's place
+        points, offsets, _ = _compose(points, offsets, t)
     return strings(points, offsets), found
 
 
