@@ -124,12 +124,14 @@ def urls(text: Column) -> Column:
     """URLs without the punctuation of the sentence around them; brackets of their own stay."""
     found = F.regexp_extract_all(text, F.lit("https?://[A-Za-z0-9._~:/?#\\[\\]@!$&'()*+,;=%-]+"), F.lit(0))
 
-    def trimmed(url: Column) -> Column:
-        url = F.regexp_replace(url, "[.,;:!?'\"]+$", "")
-        for opening, closing in (("(", ")"), ("[", "]")):
-            for _ in range(3):
-                spare = url.endswith(closing) & (occurrences(url, closing) > occurrences(url, opening))
-                url = F.when(spare, F.substring(url, F.lit(1), F.length(url) - 1)).otherwise(url)
-        return url
-
-    return F.transform(found, trimmed)
+    def balanced(opening: str, closing: str):
+        def cut(url: Column) -> Column:
+            spare = F.greatest(F.lit(0), occurrences(url, closing) - occurrences(url, opening))
+            tail = F.length(F.regexp_extract(url, f"\\{closing}*$", 0))
+            return F.substring(url, F.lit(1), F.length(url) - F.least(spare, tail))
+
+        return cut
+
+    # one step a transform, so that no expression stands in another several times
+    bare = F.transform(found, lambda x: F.regexp_replace(x, "[.,;:!?'\"]+$", ""))
+    return F.transform(F.transform(bare, balanced("(", ")")), balanced("[", "]"))
