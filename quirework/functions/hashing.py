@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def text_hash(text: Column) -> Column:
@@ -26,7 +27,7 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_hash(texts: pd.Series) -> pd.Series:
     """SHA-256 of JSON texts once they are canonical; null and broken JSON give null."""
 
