@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from quirework.llm.arrow import map_batches
@@ -26,6 +26,9 @@ SCANNED_SHARE = 0.3
 #: A form is a misreading if the word it stands for occurs so many times as often.
 MISREAD_RATIO = 12
 
+#: A printed line of running text is no shorter, in characters.
+LEAST_WIDTH = 36
+
 HEAD, BODY, BREAK = 0, 1, 2
 #: Weights of the linear conditional model: feature -> (head, body, break).
 WEIGHTS = {
@@ -44,13 +47,14 @@ WEIGHTS = {
     "last line": (0.0, 0.0, 1.0),
 }
 #: Weights of neighbours: from -> to.
-STEPS = np.array([[0.5, 0.0, 0.0], [0.0, 0.5, 0.0], [0.0, 0.0, 0.3]])
+STEPS = ((0.5, 0.0, 0.0), (0.0, 0.5, 0.0), (0.0, 0.0, 0.3))
 
-_ROMAN = re.compile(r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
+_ROMAN_DIGITS = (("c", 100), ("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
 _NUMBER = r"(\d{1,4}|[ivxlcIVXLC]{1,7})"
 _FRAMED = re.compile(rf"(?:(?:p|pp|s|с|стр|pág)\.|page|seite|página|стр)\s*{_NUMBER}(?:\s+(?:of|von|de|sur|из|/)\s*\d+)?|[\[(—–-]\s*{_NUMBER}\s*[\])—–-]", re.I)
 _PLAIN = re.compile(_NUMBER)
 _END_MARK = re.compile(r"([^\W\d_]+(?:[@\d][^\W\d_]*)*)([-¬=­‐][ \t]?)$")
+_MARKS = frozenset("-¬=\u00ad\u2010")
 _WORD = re.compile(r"[\w@]+(?:-[\w@]+)*")
 _LETTERS = re.compile(r"[^\W\d_]")
 _DIGIT_FOR = str.maketrans("lIioOsSbBzZgq", "1110055882299")
@@ -69,11 +73,18 @@ def page_value(text: str) -> tuple[int, bool] | None:
     value = next(g for g in m.groups() if g)
     if value.isdigit():
         return int(value), framed
-    if not _ROMAN.fullmatch(value):
-        return None
-    numbers = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c] for c in value.lower()]
-    total = sum(-a if a < b else a for a, b in zip(numbers, [*numbers[1:], 0], strict=True))
-    return total, framed
+    worth = dict(_ROMAN_DIGITS)
+    numerals = [worth[c] for c in value.lower()]
+    total = sum(n if n >= after else -n for n, after in zip(numerals, [*numerals[1:], 0], strict=True))
+    return (total, framed) if _roman(total) == value.lower() else None
+
+
+def _roman(value: int) -> str:
+    out = ""
+    for digit, worth in _ROMAN_DIGITS:
+        while value >= worth:
+            out, value = out + digit, value - worth
+    return out
 
 
 # What recognition takes for each other, each as the strokes it is printed with.
@@ -99,6 +110,8 @@ def fold_head(text: str) -> str:
 def parts(line: str) -> tuple[str, tuple[int, bool] | None]:
     """A line as head text and page number; either may be missing."""
     text = line.strip()
+    if "  " not in text and len(text) > 24:
+        return text, None
     page = page_value(text)
     if page:
         return "", page
@@ -112,60 +125,77 @@ def parts(line: str) -> tuple[str, tuple[int, bool] | None]:
 
 
 def is_capitals(text: str) -> bool:
-    letters = _LETTERS.findall(text)
-    return len(letters) >= 4 and text.replace("ß", "").upper() == text.replace("ß", "")
+    bare = text.replace("ß", "")
+    return bare == bare.upper() and len(_LETTERS.findall(text)) >= 4
 
 
 def features(lines: list[str], marks: dict[int, tuple[bool, bool]]) -> list[list[str]]:
     """Layout features of each line; ``marks``: line number -> (its page counts on, its head is known)."""
     split = [parts(x) for x in lines]
-    heads = [page is not None and not (head and not (is_capitals(head) or marks.get(i + 1, (False, False))[1])) or bool(head) and (is_capitals(head) or marks.get(i + 1, (False, False))[1]) for i, (head, page) in enumerate(split)]
-    width = max((len(x.rstrip()) for x, h in zip(lines, heads, strict=True) if not h), default=0)
+    capitals = [bool(head) and is_capitals(head) for head, _ in split]
+    none = (False, False)
+    known_heads = [bool(head) and marks.get(i + 1, none)[1] for i, (head, _) in enumerate(split)]
+    heads = [c or k or page is not None and not head for c, k, (head, page) in zip(capitals, known_heads, split, strict=True)]
+    bare = [x.rstrip() for x in lines]
+    width = max(LEAST_WIDTH, *(len(x) for x, h in zip(bare, heads, strict=True) if not h), 0)
+    following: list[str | None] = [None] * len(lines)
+    after = None
+    for i in range(len(lines) - 1, -1, -1):
+        following[i] = after
+        if not heads[i]:
+            after = lines[i]
     out = []
     for i, line in enumerate(lines):
         head, page = split[i]
-        counts_on, known = marks.get(i + 1, (False, False))
         has = ["bias"]
         if page:
             if page[1]:
                 has.append("page in a frame")
-            if counts_on:
+            if marks.get(i + 1, none)[0]:
                 has.append("page number that counts on")
             elif not page[1] and not head:
                 has.append("number out of sequence")
-        if head and known:
+        if known_heads[i]:
             has.append("known head")
-        if head and is_capitals(head):
+        if capitals[i]:
             has.append("capitals only")
-        if head and page and (known or is_capitals(head)):
+        if page and (known_heads[i] or capitals[i]):
             has.append("head and page")
-        if len(line) - len(line.lstrip()) >= 6:
+        if line.startswith("      "):
             has.append("centred")
-        if head and not known and not is_capitals(head):
+        if head and not known_heads[i] and not capitals[i]:
             has.append("running text")
-        if _END_MARK.search(line.rstrip("\n")):
+        if bare[i][-1:] in _MARKS and _END_MARK.search(line):
             has.append("ends with a division mark")
-        following = next((lines[k] for k in range(i + 1, len(lines)) if not heads[k]), None)
-        if following is None:
+        if following[i] is None:
             has.append("last line")
         elif not heads[i]:
-            first = following.split(None, 1)[0] if following.strip() else ""
-            has.append("full line" if len(line.rstrip()) + 1 + len(first) > width else "room for the next word")
+            first = following[i].split(None, 1)[0] if following[i].strip() else ""
+            has.append("full line" if len(bare[i]) + 1 + len(first) > width else "room for the next word")
         out.append(has)
     return out
 
 
 def label(lines: list[str], marks: dict[int, tuple[bool, bool]]) -> list[int]:
     """The best labels of the lines, by Viterbi."""
-    scores = np.array([[sum(WEIGHTS[f][s] for f in has) for s in (HEAD, BODY, BREAK)] for has in features(lines, marks)])
-    best, back = scores[0], []
-    for row in scores[1:]:
-        step = best[:, None] + STEPS
-        back.append(step.argmax(0))
-        best = step.max(0) + row
-    path = [int(best.argmax())]
-    for pointers in reversed(back):
-        path.append(int(pointers[path[-1]]))
+    states = (HEAD, BODY, BREAK)
+    best, back = None, []
+    for has in features(lines, marks):
+        score = [0.0, 0.0, 0.0]
+        for f in has:
+            w = WEIGHTS[f]
+            score[0] += w[0]
+            score[1] += w[1]
+            score[2] += w[2]
+        if best is None:
+            best = score
+            continue
+        came = [max(states, key=lambda a, b=b: best[a] + STEPS[a][b]) for b in states]
+        best = [best[came[b]] + STEPS[came[b]][b] + score[b] for b in states]
+        back.append(came)
+    path = [max(states, key=lambda a: best[a])]
+    for came in reversed(back):
+        path.append(came[path[-1]])
     return path[::-1]
 
 
@@ -174,8 +204,8 @@ def divided(lines: list[str], labels: list[int]) -> list[tuple[int, int, str, st
     body = [i for i, x in enumerate(labels) if x != HEAD]
     out = []
     for i, j in zip(body, body[1:], strict=False):
-        m = _END_MARK.search(lines[i])
-        rest = _WORD.match(lines[j].lstrip())
+        m = _END_MARK.search(lines[i]) if lines[i].rstrip()[-1:] in _MARKS else None
+        rest = _WORD.match(lines[j].lstrip()) if m else None
         if m and labels[i] != BREAK and rest and _LETTERS.search(rest.group()):
             out.append((i, j, m.group(1), rest.group().split("-")[0], m.group(2).strip()))
     return out
@@ -232,7 +262,7 @@ def line_marks(scanned: DataFrame, segments: DataFrame, books: DataFrame) -> Dat
             test = F.coalesce((ahead > 0) & (ahead <= k + 2), F.lit(False))
             near = test if near is None else near | test
     pages = found.where(F.col("page").isNotNull()).withColumn("page_ok", near).select("book_id", "id", "line_no", "page_ok")
-    fold_udf = F.pandas_udf(lambda s: s.map(lambda x: fold_head(x) if x else None), "string")
+    fold_udf = F.pandas_udf(lambda s: s.map(lambda x: fold_head(x) if x else None), StringType())
     ids = scanned.select("book_id").distinct()
     titles = segments.where((F.col("kind") == "heading") & F.col("text").isNotNull()).select(F.col("book_id").cast("string").alias("book_id"), F.col("text").alias("title"))
     titles = titles.unionByName(books.where(F.col("title").isNotNull()).select(F.col("book_id").cast("string").alias("book_id"), "title"))
@@ -246,7 +276,7 @@ def line_marks(scanned: DataFrame, segments: DataFrame, books: DataFrame) -> Dat
     )
 
 
-TOKENS = "book_id string, id string, what string, line_no int, line2 int, first int, token string, key string, second string, second_key string, mark string"
+TOKENS = "book_id string, id string, what string, line_no int, line2 int, first int, token string, second string, mark string, words array<string>, lines array<int>"
 
 
 def _marks_of(row: dict) -> dict[int, tuple[bool, bool]]:
@@ -258,49 +288,50 @@ def _marks_of(row: dict) -> dict[int, tuple[bool, bool]]:
 
 
 def _tokens(batch: pa.RecordBatch) -> dict:
-    """One row a head line, a word, a word over a line's end, a misread number."""
+    """One row a head line, a word over a line's end, a misread number; and one a segment with its words and their lines."""
     names = [p.split(" ")[0] for p in TOKENS.split(", ")]
     out: dict[str, list] = {n: [] for n in names}
 
-    def add(row: dict, what: str, line: int, line2: int | None = None, first: int | None = None, token: str | None = None, second: str | None = None, mark: str | None = None, key: str | None = None, second_key: str | None = None) -> None:
-        for column, value in zip(out.values(), (row["book_id"], row["id"], what, line + 1, None if line2 is None else line2 + 1, first, token, key, second, second_key, mark), strict=True):
+    def add(row: dict, what: str, line: int | None = None, line2: int | None = None, first: int | None = None, token: str | None = None, second: str | None = None, mark: str | None = None, words: list | None = None, lines: list | None = None) -> None:
+        values = (row["book_id"], row["id"], what, None if line is None else line + 1, None if line2 is None else line2 + 1, first, token, second, mark, words, lines)
+        for column, value in zip(out.values(), values, strict=True):
             column.append(value)
 
-    keys: dict[str, str] = {}
-
-    def key_of(word: str) -> str:
-        if word not in keys:
-            keys[word] = fold(word)
-        return keys[word]
-
     for row in batch.to_pylist():
         lines = row["text"].split("\n")
         labels = label(lines, _marks_of(row))
         over = {i: (j, a, b, mark) for i, j, a, b, mark in divided(lines, labels)}
         skip_first = {j for j, *_ in over.values()}
+        words: list[str] = []
+        places: list[int] = []
         for i, line in enumerate(lines):
             if labels[i] == HEAD:
                 add(row, "head", i)
                 continue
-            body = line.rstrip()
+            body = line.strip()
             if i in over:
                 j, a, b, mark = over[i]
-                body = body[: len(line) - len(_END_MARK.search(line).group())]
-                joined, compound = (a + b).lower(), f"{a}-{b}".lower()
-                add(row, "over", i, j, len(a), joined, compound, mark, key_of(joined), key_of(compound))
-            body = body.lstrip()
+                body = line.lstrip()
+                body = body[: len(body) - len(_END_MARK.search(body).group())]
+                add(row, "over", i, j, len(a), (a + b).lower(), f"{a}-{b}".lower(), mark)
             if i in skip_first:
                 body = body[len(_WORD.match(body).group().split("-")[0]) :]
-            for m in _WORD.finditer(body):
-                for token in {m.group(), *m.group().split("-")}:
-                    if not _LETTERS.search(token):
+            for token in _WORD.findall(body):
+                if token.isalpha():
+                    if len(token) > 1:
+                        words.append(token.lower())
+                        places.append(i + 1)
+                    continue
+                for part in {token, *token.split("-")}:
+                    if not _LETTERS.search(part):
                         continue
-                    if is_misread_number(token):
-                        add(row, "number", i, token=token)
-                    elif len(token) > 1 or "@" in token:
-                        token = token.lower()
-                        add(row, "word", i, token=token, key=key_of(token))
-    kinds = {"line_no": pa.int32(), "line2": pa.int32(), "first": pa.int32()}
+                    if is_misread_number(part):
+                        add(row, "number", i, token=part)
+                    elif len(part) > 1 or "@" in part:
+                        words.append(part.lower())
+                        places.append(i + 1)
+        add(row, "words", words=words, lines=places)
+    kinds = {"line_no": pa.int32(), "line2": pa.int32(), "first": pa.int32(), "words": pa.list_(pa.string()), "lines": pa.list_(pa.int32())}
     return {k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()}
 
 
@@ -319,14 +350,17 @@ def line_defects(segments: DataFrame, books: DataFrame, ratio: int = MISREAD_RAT
     marked = scanned.join(line_marks(scanned, segments, books), ["book_id", "id"], "left")
     tokens = cut(map_batches(marked, ["book_id", "id", "text", "marks"], _tokens, TOKENS))
 
-    words = tokens.where(F.col("what") == "word")
+    pairs = F.explode(F.arrays_zip(F.col("words").alias("token"), F.col("lines").alias("line_no"))).alias("w")
+    words = tokens.where(F.col("what") == "words").select("book_id", "id", pairs).select("book_id", "id", "w.token", "w.line_no")
     plain = ~F.col("token").rlike("[0-9@]")
-    vocabulary = words.groupBy("key", "token").agg(F.count("*").alias("n"))
+    keys = F.pandas_udf(lambda x: x.map(fold), StringType())
+    # keys are made for the words of the vocabulary, not for every word of the text
+    vocabulary = cut(words.groupBy("token").agg(F.count("*").alias("n"))).withColumn("key", keys("token"))
     best = vocabulary.where(plain).groupBy("key").agg(F.max(F.struct("n", "token")).alias("best")).select("key", F.col("best.n").alias("best_n"), F.col("best.token").alias("best_token"))
     best = cut(best)
 
     # a word over a line's end: one word divided, or a compound with its own hyphen
-    over = tokens.where(F.col("what") == "over")
+    over = tokens.where(F.col("what") == "over").withColumn("key", keys("token")).withColumn("second_key", keys("second"))
     as_one = best.select("key", F.col("best_n").alias("n_one"), F.col("best_token").alias("one"))
     as_two = best.select(F.col("key").alias("second_key"), F.col("best_n").alias("n_two"), F.col("best_token").alias("two"))
     over = over.join(as_one, "key", "left").join(as_two, "second_key", "left")
