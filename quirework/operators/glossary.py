@@ -55,11 +55,10 @@ def matches(texts: DataFrame, glossary: DataFrame, key: list[str], text: str = "
     hits = None
     for i in range(0, max(1, len(stated)), SURFACES_PER_PASS):
         block = stated[i : i + SURFACES_PER_PASS]
-        lower = F.lower(F.col(text))
-        counts = [F.struct(F.lit(e).alias("id"), F.when(F.contains(lower, F.lit(s[:-1] if s.endswith("y") else s)), F.regexp_count(lower, F.lit(surface_pattern(s)))).otherwise(0).alias("n")) for e, s in block]
+        counts = [F.struct(F.lit(e).alias("id"), F.when(F.contains("_lower", F.lit(s[:-1] if s.endswith("y") else s)), F.regexp_count("_lower", F.lit(surface_pattern(s)))).otherwise(0).alias("n")) for e, s in block]
         if not counts:
             counts = [F.struct(F.lit("").alias("id"), F.lit(0).alias("n"))]
-        found = texts.select(*key, F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("hit"))
+        found = texts.select(*key, F.lower(text).alias("_lower")).select(*key, F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("hit"))
         hits = found if hits is None else hits.unionByName(found)
     return hits.groupBy(*key, F.col("hit.id").alias("id")).agg(F.sum("hit.n").alias("n"))
 
