@@ -169,7 +169,7 @@ def features(lines: list[str], marks: dict[int, tuple[bool, bool]]) -> list[list
             has.append("ends with a division mark")
         if following[i] is None:
             has.append("last line")
-        elif not heads[i]:
+        else:
             first = following[i].split(None, 1)[0] if following[i].strip() else ""
             has.append("full line" if len(bare[i]) + 1 + len(first) > width else "room for the next word")
         out.append(has)
