@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import text as T
+from quirework.session import ship
 
 #: Sizes of a work unit in characters, and what a segment costs beside its text.
 TARGET, OVERHEAD = 6000, 2
@@ -184,3 +186,50 @@ def with_identifiers(headings: DataFrame, group: str, order: str, title: str = "
     named = headings.withColumn("_key", T.identifier(F.col(title)))
     again = F.row_number().over(Window.partitionBy(group, "_key").orderBy(order)) - 1
     return named.withColumn("_n", again).withColumn("identifier", F.when(F.col("_n") == 0, F.col("_key")).otherwise(F.concat_ws("-", "_key", F.col("_n").cast("string")))).drop("_key", "_n")
+
+
+# Where an over-long segment may be cut, the best marks first.
+SPLIT_MARKS = (("\n",), ("。", "！", "？", ". ", "! ", "? "), ("；", "; ", "，", ", "), (" ",))
+HARD = 9000
+
+
+def cut_positions(text: str, most: int) -> list[int]:
+    """Ends of the pieces of an over-long text: after the last mark of the best class in the second half of the limit."""
+    ends, at = [], 0
+    while len(text) - at > most:
+        cut = at + most
+        for marks in SPLIT_MARKS:
+            best = max((p + len(m) for m in marks if (p := text.rfind(m, at, at + most)) >= 0), default=-1)
+            if best - at >= most // 2:
+                cut = best
+                break
+        ends.append(cut)
+        at = cut
+        while at < len(text) and text[at].isspace():
+            at += 1
+    return [*ends, len(text)] if at < len(text) else ends
+
+
+def split_long(segments: DataFrame, most: int = HARD) -> DataFrame:
+    """Pieces of segments for work units: over-long ones are cut at marks, code and tables never.
+
+    Only over-long rows reach Python; the others pass as they are.
+    """
+    rows = once(segments, "book_id", "id", "ord", "kind", "text")
+    long = (F.length("text") > most) & ~F.col("kind").isin("code", "table")
+    whole = rows.where(~F.coalesce(long, F.lit(False))).select("book_id", "id", "ord", "kind", F.lit(0).alias("part"), F.length("text").alias("n_chars"))
+
+    def pieces(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                start = 0
+                for k, end in enumerate(cut_positions(row.text, most), 1):
+                    piece = row.text[start:end]
+                    piece = piece.lstrip() if k > 1 else piece
+                    out.append((row.book_id, row.id, row.ord, row.kind, k, len(piece if end == len(row.text) else piece.rstrip())))
+                    start = end
+            yield pd.DataFrame(out, columns=["book_id", "id", "ord", "kind", "part", "n_chars"])
+
+    ship(segments.sparkSession)
+    return whole.unionByName(rows.where(long).mapInPandas(pieces, "book_id string, id string, ord int, kind string, part int, n_chars int"))

@@ -1,2 +1,2 @@
 from quirework.plans import registry  # noqa: F401
-from quirework.plans import conservation, glossary, layout, ledger, markdown, structure  # noqa: F401
+from quirework.plans import conservation, glossary, layout, ledger, markdown, pages, structure  # noqa: F401

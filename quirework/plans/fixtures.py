@@ -84,3 +84,32 @@ def values(name: str, rows: list[tuple], schema: str) -> str:
 
     names = ", ".join(part.strip().split(" ")[0] for part in schema.split(","))
     return f"{name}({names}) AS (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+
+# page, block, is_image, text, size, median, x0, y0, x1, y1, page_width, page_height, layout
+ROLES = [
+    (1, 1, True, "", 0.0, 10.0, 40.0, 80.0, 560.0, 780.0, 600.0, 800.0, "single_column"),
+    (1, 2, False, "12", 9.0, 10.0, 280.0, 770.0, 320.0, 790.0, 600.0, 800.0, "single_column"),
+    (2, 1, False, "E = m", 10.0, 10.0, 40.0, 100.0, 560.0, 120.0, 600.0, 800.0, "single_column"),
+    (2, 2, False, "Figure 3 A mill", 9.0, 10.0, 40.0, 200.0, 560.0, 220.0, 600.0, 800.0, "single_column"),
+    (2, 3, False, "1 See the ledger.", 8.0, 10.0, 40.0, 700.0, 560.0, 720.0, 600.0, 800.0, "single_column"),
+    (2, 4, False, "The Mill", 14.0, 10.0, 40.0, 300.0, 560.0, 330.0, 600.0, 800.0, "single_column"),
+    (2, 5, False, "A note beside the text that runs on for more than forty characters", 10.0, 10.0, 400.0, 400.0, 560.0, 500.0, 600.0, 800.0, "single_column"),
+    (2, 6, False, "The body of the page.", 10.0, 10.0, 40.0, 400.0, 380.0, 600.0, 600.0, 800.0, "single_column"),
+    (3, 1, False, "One column of the page.", 10.0, 10.0, 40.0, 100.0, 280.0, 600.0, 600.0, 800.0, "multi_column"),
+]
+ROLE_SCHEMA = "page int, block int, is_image boolean, text string, size double, median double, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, layout string"
+
+FOLIOS = [*[("a", p, 0.05 + p / 1000) for p in range(6)], *[("b", p, 0.95) for p in range(7)], ("c", 1, 0.05)]
+FOLIO_SCHEMA = "book_id string, page int, y double"
+
+HEADINGS = [(1, 1, 1, "The History"), (1, 2, 1, "of Work"), (1, 3, 2, "Part one"), (1, 5, 2, "Part two"), (2, 1, 1, "Alone")]
+HEADING_SCHEMA = "page int, line int, level int, text string"
+
+ENDS = [("a", 1, "A first page", "that could stop for ho-"), ("a", 2, "urs when a belt had broken", "It ended."), ("a", 3, "In the spring", "with expenditures,"), ("a", 4, "2006 and later", "in the"), ("a", 5, "Exhibit 4", "x")]
+END_SCHEMA = "book_id string, page int, head string, tail string"
+
+LEVELS = [("x", 1, 1), ("x", 2, 2), ("x", 3, 3), ("y", 1, 1), ("y", 2, 1), ("z", 1, 2), ("z", 2, 1), ("w", 1, 1)]
+LEVEL_SCHEMA = "doc string, pos int, level int"
+
+EDITIONS = [("one", "docx", 7, 5), ("one", "epub", 7, 5), ("two", "docx", 5, 5), ("two", "epub", 5, 3), ("three", "pdf", 7, 3), ("four", "docx", 3, 4)]
+EDITION_SCHEMA = "edition string, format string, expected int, actual int"
