@@ -215,27 +215,20 @@ def _decode_legacy(text: str) -> tuple[str, int]:
                     done = m.end()
                     spans += 1
             text = "".join(out) + text[done:]
-    # one Cyrillic encoding read as another: small letters turn into capitals
-    words = re.findall("[А-яЁё]{2,}", text)
-    if any(re.search("[а-яё][А-ЯЁ]", w) for w in words):
-        def fix(m: re.Match) -> str:
+    # one Cyrillic encoding read as another: the letters are rare ones, or the case is turned round
+    if _CYRILLIC.search(text):
+        def cyrillic(m: re.Match) -> str:
             nonlocal spans
-            words = re.findall("[А-яЁё]+", m.group())
-            odd = sum(len(w) for w in words if re.search("[а-яё][А-ЯЁ]|^[А-ЯЁ]+$", w))
-            if not words or odd < 0.7 * sum(map(len, words)):
-                return m.group()
-            best, at = m.group(), 0.0
-            for source, target in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("iso8859_5", "cp1251"), ("cp1251", "iso8859_5")):
-                new = m.group().encode(source, "ignore").decode(target, "ignore")
-                letters = re.findall("[А-яЁё]", new)
-                plain = sum(len(w) for w in re.findall("[А-ЯЁ]?[а-яё]+", new))
-                if len(letters) and plain / len(letters) * sum(c.lower() in "оеаинтсрвл" for c in letters) / len(letters) > at:
-                    best, at = new, plain / len(letters) * sum(c.lower() in "оеаинтсрвл" for c in letters) / len(letters)
-            if best != m.group():
-                spans += 1
+            part = m.group()
+            least, best = max(0.5, _russian(part) + 0.15), part
+            for source, target in CYRILLIC_PAIRS:
+                new = _swapped(part, source, target)
+                if new and _russian(new) > least:
+                    least, best = _russian(new), new
+            spans += best != part
             return best
 
-        text = re.sub(r"[А-яЁё][^.!?]*[.!?]?", fix, text)
+        text = _CLAUSE.sub(cyrillic, text)
     # GBK read as Big5
     if _HAN.search(text) and _han_share(text) < 0.97:
         def chinese(m: re.Match) -> str:
@@ -250,15 +243,54 @@ def _decode_legacy(text: str) -> tuple[str, int]:
             return part
 
         text = _SENTENCE.sub(chinese, text)
-    # Latin text of one platform read on another
-    if _ODD_LATIN.search(text):
-        for source, target in (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437")):
-            new = "".join(_swap(c, source, target) for c in text)
-            if new != text and not _ODD_LATIN.search(new) and all(_fits(new, i) for i, c in enumerate(new) if c != text[i]):
-                return new, spans + 1
+    # Latin text of one platform read on another, a sentence at a time
+    if _ODD_LATIN.search(text) or _CENTRAL.search(text):
+        def latin(m: re.Match) -> str:
+            nonlocal spans
+            part = m.group()
+            pairs = LATIN_PAIRS if _ODD_LATIN.search(part) else CENTRAL_PAIRS if _CENTRAL.search(part) and len(_WESTERN.findall(part)) >= 2 else ()
+            for source, target in pairs:
+                new = "".join(_swap(c, source, target) for c in part)
+                if new != part and not _ODD_LATIN.search(new) and not _CENTRAL.search(new) and all(_fits(new, i) for i, c in enumerate(new) if c != part[i]):
+                    spans += 1
+                    return new
+            return part
+
+        text = re.sub(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|[.!?](?=\S)[^.!?\n]*)*[.!?]*", latin, text)
     return text, spans
 
 
+#: Encodings of Cyrillic and of Latin text: what the bytes were, what they were read as.
+CYRILLIC_PAIRS = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("koi8_r", "cp866"), ("cp866", "koi8_r"), ("iso8859_5", "cp1251"), ("cp1251", "iso8859_5"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"))
+LATIN_PAIRS = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"))
+CENTRAL_PAIRS = (("iso8859_2", "latin-1"), ("cp1250", "cp1252"), ("cp1257", "cp1252"), ("cp1254", "cp1252"))
+
+_CYRILLIC = re.compile("[\u0400-\u045f]")
+_CLAUSE = re.compile(r"[^.!?\n]*[\u0400-\u045f][^.!?\n]*[.!?]?")
+#: Letters of Central European encodings that stand where Western ones have other letters.
+_CENTRAL = re.compile("[\u0143\u0144\u0154\u0155\u010c\u010d\u0118\u0119\u0170\u0171\u016e\u016f\u010e\u010f\u0158\u0159\u0147\u0148\u0150\u0151\u0102\u0103\u0110\u0111\u0162\u0163\u02c7\u017b\u017c\u0112\u0113\u0116\u0117\u0122\u0123]")
+# Small words of languages that are not written with those letters.
+_WESTERN = re.compile(r"(?i)\b(?:la|le|les|des|du|de|el|los|las|una|un|que|por|para|pour|dans|del|con|en|et|sur|der|die|das|und|the|of|and)\b")
+
+
+def _russian(text: str) -> float:
+    """How much a text reads as Russian: its usual letters, in words of usual case, and nothing else outside ASCII."""
+    letters = re.findall("[\u0410-\u044f\u0401\u0451]", text)
+    if not letters:
+        return 0.0
+    cased = sum(map(len, re.findall("(?<![\u0400-\u045f])[\u0410-\u042f\u0401]?[\u0430-\u044f\u0451]+(?![\u0400-\u045f])|(?<![\u0400-\u045f])[\u0410-\u042f](?![\u0400-\u045f])", text)))
+    others = sum(ord(c) >= 0x80 and c not in "\u2014\u2013\u00ab\u00bb\u2026\u201e\u201c\u201d\u2116" for c in text) - len(letters)
+    usual = sum(c.lower() in "\u043e\u0435\u0430\u0438\u043d\u0442\u0441\u0440\u0432\u043b" for c in letters)
+    return usual / len(letters) * cased / len(letters) * len(letters) / (len(letters) + max(0, others))
+
+
+def _swapped(text: str, source: str, target: str) -> str | None:
+    try:
+        return text.encode(source).decode(target)
+    except UnicodeError:
+        return None
+
+
 def _big5(c: str) -> str:
     if ord(c) < 0x80:
         return c
@@ -284,11 +316,12 @@ def _fits(text: str, i: int) -> bool:
         return True
     if c.isupper():
         return not text[i - 1 : i].isalpha() if i else True
-    return c in "“”‘’–—…«»¡¿£€°§©®™•„‚ºª×÷±½¼¾²³¹·´¨¸ "
+    between = i and text[i - 1].isalpha() and text[i + 1 : i + 2].isalpha()
+    return c in "’" or not between and c in "“”‘–—…«»¡¿£€°§©®™•„‚ºª×÷±½¼¾²³¹·´¨¸\u00a0"
 
 
 #: A capital with an accent, or a sign, inside a word of small letters.
-_ODD_LATIN = re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŠŒŽŸ¢£¤¥§©®°±²³µ¶¸¹º»¼½¾¿¡¨¬¯´≈∞≤≥∂∑∏π∫Ωƒ√◊˘˙˚˝˛ˇˆ˜ı‚„‰‡†•‹›⁄€∆](?=[a-zß-öø-ÿ])|(?<=[a-z])[ÁÈÉÒÙ](?=[\\W_])(?<=[a-z].)")
+_ODD_LATIN = re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŠŒŽŸ¢£¤¥§©®°±²³µ¶¸¹º»¼½¾¿¡¨¬¯´≈∞≤≥∂∑∏π∫Ωƒ√◊˘˙˚˝˛ˇˆ˜ı‚„‰‡†•‹›⁄€∆](?=[a-zß-öø-ÿ])|(?<=[A-Z])[¸‰ˆ‡·‚„˘˙˚¯√≈∞≤≥∂∑∏∫](?=[a-z])|(?<=[a-z])[ÁÈÉÒÙ](?=[\\W_])(?<=[a-z].)")
 
 
 def repair(text: str) -> tuple[str, bool]:
@@ -327,11 +360,17 @@ def _screens() -> dict[str, np.ndarray]:
     high = np.zeros(TOP, bool)
     high[0xA0:0x100] = True
     small = np.zeros(TOP, bool)
-    small[0x61:0x7B] = True
+    small[0x41:0x5B] = small[0x61:0x7B] = True
     odd = np.zeros(TOP, bool)
     for c in "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŠŒŽŸ¢£¤¥§©®°±²³µ¶¸¹º»¼½¾¿¡¨¬¯´≈∞≤≥∂∑∏π∫Ωƒ√◊˘˙˚˝˛ˇˆ˜ı‚„‰‡†•‹›⁄€∆":
         odd[ord(c)] = True
-    return {"kinds": kinds, "latin": latin, "han": han, "broken": broken, "rare": han & ~common_han(), "high": high, "small": small, "odd": odd}
+    boxes = np.zeros(TOP, bool)
+    boxes[0x2500:0x2600] = True
+    boxes[[0x221A, 0x2219, 0x2116]] = True
+    central = np.zeros(TOP, bool)
+    for p in range(0x80, 0x300):
+        central[p] = bool(_CENTRAL.match(chr(p)))
+    return {"boxes": boxes, "central": central, "kinds": kinds, "latin": latin, "han": han, "broken": broken, "rare": han & ~common_han(), "high": high, "small": small, "odd": odd}
 
 
 def screen(array: pa.Array) -> np.ndarray:
@@ -353,7 +392,12 @@ def screen(array: pa.Array) -> np.ndarray:
             flags[3:] |= high[3:] & high[2:-1] & high[1:-2] & high[:-3]
         small = s["small"][points]
         flags[1:-1] |= s["odd"][points[1:-1]] & small[:-2]
+        flags |= s["central"][points]
     marked = row_counts(flags, offsets) > 0
+    if n:
+        capitals, small_ones = row_counts(s["kinds"][points] == 2, offsets), row_counts(s["kinds"][points] == 1, offsets)
+        marked |= (capitals >= 6) & (capitals > 0.3 * small_ones)
+        marked |= (capitals + small_ones > 0) & (row_counts(s["boxes"][points], offsets) > 0)
     # a single ideograph in Latin text
     if n:
         h = row_counts(s["han"][points], offsets)

@@ -154,6 +154,11 @@ def test_twice_and_in_part():
         (CHINESE, CHINESE.encode("gbk").decode("latin-1")),
         (ENGLISH, ENGLISH.encode("cp1252").decode("mac_roman")),
         (RUSSIAN, RUSSIAN.encode().decode("gbk", "ignore")),
+        (RUSSIAN, RUSSIAN.encode("cp1251").decode("cp866")),
+        (RUSSIAN, RUSSIAN.encode("koi8_r").decode("cp866")),
+        ("Après l’été, la crémaillère fut cédée à un négociant.", "Après l’été, la crémaillère fut cédée à un négociant.".replace("’", "'").encode("latin-1").decode("iso8859_2").replace("'", "’")),
+        ("El año 1998 trajo más lluvia que ningún otro.", "El año 1998 trajo más lluvia que ningún otro.".encode("latin-1").decode("iso8859_2")),
+        ("The term “Zürich line”. The term façade isn’t listed.", "The term “Zürich line”. " + "The term façade isn’t listed.".encode("cp1252").decode("mac_roman")),
     ],
 )
 def test_legacy_to_legacy(text, wrong):
@@ -164,7 +169,7 @@ def test_legacy_to_legacy(text, wrong):
 
 
 @pytest.mark.parametrize(
-    "text", [ENGLISH, RUSSIAN, CHINESE, GERMAN, "", "plain", "The old spelling Ðat with the letter Ð survives, at 5 € or £4.", "Ça n’a coûté que 102 écus.", "СССР» и РФ…", "¡Qué pequeña era la cigüeña!", "每3小时", "Use 储罐 here.", "A radius of 60 μm"]
+    "text", [ENGLISH, RUSSIAN, CHINESE, GERMAN, "", "plain", "The old spelling Ðat with the letter Ð survives, at 5 € or £4.", "Ça n’a coûté que 102 écus.", "СССР» и РФ…", "¡Qué pequeña era la cigüeña!", "每3小时", "Use 储罐 here.", "A radius of 60 μm", "ГЛАВА ПЕРВАЯ О ТОМ, КАК", "Za żółtą jaźń čeština není snadná řeč", "№ 5 и √2"]
 )
 def test_clean_text_is_left(text):
     assert encoding.repair(text) == (text, False)
