@@ -60,8 +60,8 @@ DETECT = {
         re.M,
     ),
     "markdown": re.compile(
-        r"(?<![\w*])\*\*(?=[^\s*])[^\n]+?(?<=[^\s*])\*\*(?![\w*])|(?<!\w)__(?=[^\s_])[^\n]+?(?<=[^\s_])__(?!\w)|~~(?=\S)[^\n~]+?(?<=\S)~~|(?<!`)`(?!`)[^`\n]+`(?!`)"
-        r"|(?<![\w*])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])"
+        r"(?<![^\W぀-鿿])(?<!\*)\*\*(?=[^\s*])[^\n]+?(?<=[^\s*])\*\*(?![^\W぀-鿿])(?!\*)|(?<![^\W぀-鿿])__(?=[^\s_])[^\n]+?(?<=[^\s_])__(?![^\W぀-鿿])|~~(?=\S)[^\n~]+?(?<=\S)~~|(?<!`)`(?!`)[^`\n]+`(?!`)"
+        r"|(?<![^\W぀-鿿])(?<!\*)\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![^\W぀-鿿])(?!\*)|(?<![^\W぀-鿿])(?<!_)_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![^\W぀-鿿])(?!_)"
         r"|!?\[[^\[\]\n]*\]\([^()\s]+(?:\s\"[^\"\n]*\")?\)|\[\^[\w-]+\]|^>[ \t]|^[^\n]*\w[^\n]*\n(?:={3,}|-{3,})[ \t]*$|^(?:```|~~~)",
         re.M,
     ),
@@ -205,11 +205,11 @@ def _inline(text: str) -> str:
     text = re.sub(r"!\[([^\[\]\n]*)\]\([^()\s]+(?:\s\"[^\"\n]*\")?\)", r"\1", text)
     text = re.sub(r"\[([^\[\]\n]*)\]\([^()\s]+(?:\s\"[^\"\n]*\")?\)", r"\1", text)
     text = re.sub(r"\[\^([\w-]+)\]", r"[\1]", text)
-    text = re.sub(r"(?<![\w*])\*\*(?=[^\s*])(.+?)(?<=[^\s*])\*\*(?![\w*])", r"<b>\1</b>", text)
-    text = re.sub(r"(?<!\w)__(?=[^\s_])(.+?)(?<=[^\s_])__(?!\w)", r"<b>\1</b>", text)
+    text = re.sub(r"(?<![^\W぀-鿿])(?<!\*)\*\*(?=[^\s*])(.+?)(?<=[^\s*])\*\*(?![^\W぀-鿿])(?!\*)", r"<b>\1</b>", text)
+    text = re.sub(r"(?<![^\W぀-鿿])__(?=[^\s_])(.+?)(?<=[^\s_])__(?![^\W぀-鿿])", r"<b>\1</b>", text)
     text = re.sub(r"~~(?=\S)([^\n~]+?)(?<=\S)~~", r"<s>\1</s>", text)
-    text = re.sub(r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])", r"<i>\1</i>", text)
-    return re.sub(r"(?<![\w_])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?![\w_])", r"<i>\1</i>", text)
+    text = re.sub(r"(?<![^\W぀-鿿])(?<!\*)\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![^\W぀-鿿])(?!\*)", r"<i>\1</i>", text)
+    return re.sub(r"(?<![^\W぀-鿿])(?<!_)_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?![^\W぀-鿿])(?!_)", r"<i>\1</i>", text)
 
 
 def _markdown(text: str, kept: _Kept, lists: bool) -> str:

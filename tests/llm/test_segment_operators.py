@@ -211,6 +211,7 @@ MARKUP = [
     ("paragraph", "where \\(x = 1\\) holds", "where $x = 1$ holds"),
     ("heading", "## The *faded* graft", "## The faded graft"),
     ("list", "- one **two**\n- three", "- one two\n- three"),
+    ("paragraph", "控制阀**取决于**起重设备", "控制阀取决于起重设备"),
 ]
 
 
