@@ -59,7 +59,10 @@ def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def finish(state: Column) -> Column:
         return F.when(F.length(state["open"]) > 0, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
 
-    parts = F.aggregate(F.split(body, "\n"), start, add, finish)
+    # without fences a blank line is all there is to look for
+    plain = F.split(F.regexp_replace(body, "^(?:\\s*\\n)+|\\n\\s*$", ""), "\\n\\s*\\n")
+    fenced = F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~"))
+    parts = F.when(fenced, F.aggregate(F.split(body, "\n"), start, add, finish)).otherwise(plain)
     kept = F.filter(parts, lambda x: F.length(F.regexp_replace(x, "\\s", "")) > 0)
     out = documents.select(F.col(key), F.posexplode(kept).alias("block_no", "text"))
     out = out.withColumn("block_no", F.col("block_no") + 1).withColumn("kind", kind_of(F.col("text")))
@@ -73,27 +76,28 @@ def once(segments: DataFrame, *columns: str) -> DataFrame:
     return segments.select(*columns).distinct()
 
 
-def running_max(df: DataFrame, group: list[str], order: str, value: Column, name: str, strict: bool = False, bucket: int = BUCKET) -> DataFrame:
-    """The greatest ``value`` at or before each row (before it, if ``strict``) in the order of an integer column.
+def running_max(df: DataFrame, group: list[str], order: str, values: dict[str, Column], strict: bool = False, bucket: int = BUCKET) -> DataFrame:
+    """The greatest of each value at or before each row (before it, if ``strict``) in the order of an integer column.
 
     Large groups are cut into buckets of positions: a window within each bucket,
     and the carry from the buckets before it, so that no task sorts a whole book.
+    All values share one pass.
     """
-    df = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / bucket))
-    last = -1 if strict else 0
-    inside = Window.partitionBy(*group, "_b").orderBy(order).rangeBetween(Window.unboundedPreceding, last)
-    tops = df.groupBy(*group, "_b").agg(F.max("_v").alias("_top"))
+    names = list(values)
+    df = df.withColumns({f"_v_{k}": v for k, v in values.items()}).withColumn("_b", F.floor(F.col(order) / bucket))
+    inside = Window.partitionBy(*group, "_b").orderBy(order).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("_carry", F.max("_top").over(before)).drop("_top")
-    here = df.withColumn("_in", F.max("_v").over(inside))
-    joined = here.join(tops, [*group, "_b"])
-    return joined.withColumn(name, F.greatest("_in", "_carry")).drop("_v", "_b", "_in", "_carry")
+    tops = df.groupBy(*group, "_b").agg(*[F.max(f"_v_{k}").alias(f"_t_{k}") for k in names])
+    carry = tops.select(*group, "_b", *[F.max(f"_t_{k}").over(before).alias(f"_c_{k}") for k in names])
+    here = df.withColumns({f"_i_{k}": F.max(f"_v_{k}").over(inside) for k in names})
+    out = here.join(carry, [*group, "_b"]).withColumns({k: F.greatest(f"_i_{k}", f"_c_{k}") for k in names})
+    return out.drop("_b", *[f"_{x}_{k}" for x in "vic" for k in names])
 
 
 def assign_nodes(segments: DataFrame) -> DataFrame:
     """``node_ord``: the position of the latest heading at or before each segment; null before the first."""
     rows = once(segments, "book_id", "id", "ord", "kind")
-    return running_max(rows, ["book_id"], "ord", F.when(F.col("kind") == "heading", F.col("ord")), "node_ord")
+    return running_max(rows, ["book_id"], "ord", {"node_ord": F.when(F.col("kind") == "heading", F.col("ord"))})
 
 
 def heading_parents(segments: DataFrame) -> DataFrame:
@@ -104,8 +108,7 @@ def heading_parents(segments: DataFrame) -> DataFrame:
     """
     rows = once(segments.where(F.col("kind") == "heading"), "book_id", "id", "ord", "heading_level", "title")
     rows = rows.withColumn("level", F.coalesce("heading_level", F.lit(1)))
-    for n in range(1, 6):
-        rows = running_max(rows, ["book_id"], "ord", F.when(F.col("level") == n, F.col("ord")), f"last_{n}", strict=True)
+    rows = running_max(rows, ["book_id"], "ord", {f"last_{n}": F.when(F.col("level") == n, F.col("ord")) for n in range(1, 6)}, strict=True)
     none = F.lit(None).cast("int")
     smaller = [F.when(F.col("level") > n, F.col(f"last_{n}")).otherwise(none) for n in range(1, 6)]
     return rows.select("book_id", "id", "ord", "level", F.greatest(*smaller).alias("parent_ord"))
@@ -119,7 +122,7 @@ def pack_units(segments: DataFrame, target: int = TARGET) -> DataFrame:
     n_segments, n_chars``.
     """
     sized = once(segments.withColumn("size", F.coalesce(F.length("text"), F.lit(0)) + OVERHEAD), "book_id", "id", "ord", "kind", "size")
-    sized = running_max(sized, ["book_id"], "ord", F.when(F.col("kind") == "heading", F.col("ord")), "node_ord")
+    sized = running_max(sized, ["book_id"], "ord", {"node_ord": F.when(F.col("kind") == "heading", F.col("ord"))})
     node = sized.groupBy("book_id", "node_ord").agg(F.sort_array(F.collect_list(F.struct("ord", "size"))).alias("items"))
     unit = "struct<no:int,used:int,first:int,last:int,n:int>"
     start = F.struct(F.array().cast(f"array<{unit}>").alias("done"), F.lit(None).cast(unit).alias("open"))

@@ -29,7 +29,7 @@ def test_running_max_over_bucket_borders(spark):
     rows = [("a", i, rng.choice([None, i])) for i in range(0, 300, 2)] + [("b", 7, None), ("b", 9, 9)]
     df = spark.createDataFrame(rows, "g string, o int, v int")
     for strict in (False, True):
-        got = {(r.g, r.o): r.m for r in structure.running_max(df, ["g"], "o", F.col("v"), "m", strict, bucket=16).collect()}
+        got = {(r.g, r.o): r.m for r in structure.running_max(df, ["g"], "o", {"m": F.col("v")}, strict, bucket=16).collect()}
         for g, o, _ in rows:
             seen = [v for h, p, v in rows if h == g and v is not None and (p < o or p == o and not strict)]
             assert got[g, o] == max(seen, default=None)
