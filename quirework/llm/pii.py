@@ -80,7 +80,8 @@ _NAME_ZH = re.compile(r"(?:联系人?|译者|作者|编辑|收件人|寄给|姓
 _NO_SURNAME = frozenset(
     "The A An This That These Those Each Every Another One Some Any No Neither When While Because Since Although If Unless Once After Before In On At From Of By For With Without Is Was Were "
     "There It He She They We You I My Our Your His Her Its Readers What Why Who Whose Where Whether Phone Tel Tél Email Mail Flat Street Road and or und et y Bridge Process Star Kind Regards "
-    "Der Die Das Ein Eine Im Am Zwei Von Wie Wer La Le Les El Los Las Un Une January February March April May June July August September October November December Figure Table Chapter Page Shelf".split()
+    "Der Die Das Ein Eine Im Am Zwei Von Wie Wer La Le Les El Los Las Un Une January February March April May June July August September October November December Figure Table Chapter Page Shelf "
+    "See Siehe Write Order Version Use Keep Render Send Ask Deliver Contact Translator Clause Plate Copies According Nobody Has Could Thank Please Order Prof Ms Mr Mrs Dr Herr Frau".split()
 )
 
 
@@ -109,9 +110,6 @@ def _emails(text: str, out: list[Mention]) -> None:
             m = _EMAIL_SPOKEN.search(text, m.end())
 
 
-_PHONE_CUES = re.compile(r"(?:isbn|order|version|batch|shelf|grid|scale|number|chapter|pages?|page|unit|call number is)[\s\d]*$", re.I)
-
-
 def _numbers(text: str, out: list[Mention]) -> None:
     for m in _DIGITS.finditer(text):
         if m.end() - m.start() < 7:
@@ -132,6 +130,11 @@ def _numbers(text: str, out: list[Mention]) -> None:
         if _IDS.fullmatch(value):
             out.append(Mention(start, end, "id"))
             continue
+        while " " in value and not _PHONES.fullmatch(value):
+            cut = value.index(" ") + 1  # a number before it, such as that of a page, is none of its own
+            if not any(_PHONES.fullmatch(value[i + 1 :]) for i, c in enumerate(value) if c == " "):
+                break
+            start, value = start + cut, value[cut:]
         digits = sum(c.isdigit() for c in value)
         if not 7 <= digits <= 15:
             continue
