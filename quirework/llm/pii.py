@@ -132,7 +132,7 @@ def _numbers(text: str, out: list[Mention]) -> None:
             continue
         while " " in value and not _PHONES.fullmatch(value):
             cut = value.index(" ") + 1  # a number before it, such as that of a page, is none of its own
-            if not any(_PHONES.fullmatch(value[i + 1 :]) for i, c in enumerate(value) if c == " "):
+            if not any(sum(map(str.isdigit, value[i:])) >= 9 and _PHONES.fullmatch(value[i + 1 :]) for i, c in enumerate(value) if c == " "):
                 break
             start, value = start + cut, value[cut:]
         digits = sum(c.isdigit() for c in value)

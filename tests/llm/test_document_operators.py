@@ -178,7 +178,7 @@ MENTIONS = [
     ("QUENTIN KORVIRAJIN and Hugo Field's mill", [("name", "QUENTIN KORVIRAJIN"), ("name", "Hugo Field")]),
     ("The firm Hexnell & Quelvaleth and the Zarolan Bridge; Marsh called.", []),
     ("отвечает Богдан Тревицкий, тел.", [("name", "Богдан Тревицкий")]),
-    ("again on p. 114 555-0135-790 (mornings only), chapter 1 377 0238", [("phone", "555-0135-790")]),
+    ("again on p. 114 555-0135-790 (mornings only), chapter 1 377 0238 and chapter 5 041 4281", [("phone", "555-0135-790")]),
     ("Grüßen\nQuelnell, Jorik See pages 555", [("name", "Quelnell, Jorik")]),
     ("", []),
 ]
