@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import lines as LN
+from quirework.functions import markdown as M
+from quirework.functions import publication as B
 from quirework.functions import text as T
+from quirework.functions.hashing import fields_hash
 from quirework.operators import pages as P
 from quirework.operators import structure as S
 from quirework.plans import fixtures as X
 from quirework.plans.registry import query
-from quirework.session import table
+from quirework.session import ship, table
 
 ROLES = X.values("b", X.ROLES, X.ROLE_SCHEMA)
 
@@ -160,3 +163,66 @@ def documents_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each document in words, and whether its recorded length is right."""
     rows = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     return rows.select("doc_id", (F.col("n_chars") == F.length("text")).alias("n_chars_fits"), F.round(T.prose_weight(F.col("text")), 6).alias("weight"))
+
+
+@query(
+    "units_chain",
+    """SELECT book_id, unit_id, ord, coalesce(lag(source_hash) OVER (PARTITION BY book_id ORDER BY ord, unit_id), 'root') AS previous_hash,
+  sha256(coalesce('=' || source_hash, '!') || chr(31) || '=' || coalesce(lag(source_hash) OVER (PARTITION BY book_id ORDER BY ord, unit_id), 'root')) AS dependency_hash FROM units""",
+)
+def units_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit with the hash of the one before it: what changes when a neighbour changes."""
+    order = Window.partitionBy("book_id").orderBy("ord", "unit_id")
+    rows = table(spark, sf_dir, "units").withColumn("previous_hash", F.coalesce(F.lag("source_hash").over(order), F.lit("root")))
+    return rows.select("book_id", "unit_id", "ord", "previous_hash", fields_hash(F.col("source_hash"), F.col("previous_hash")).alias("dependency_hash"))
+
+
+@query(
+    "units_nodes",
+    """WITH n AS (SELECT book_id, id AS node_id, unnest(segment_ids) AS id FROM nodes), u AS (SELECT book_id, unit_id, book_node_id, unnest(segment_ids) AS id FROM units)
+SELECT u.book_id, u.unit_id, CAST(count(*) AS BIGINT) AS n_segments, CAST(count(DISTINCT n.node_id) AS BIGINT) AS n_nodes, coalesce(bool_and(n.node_id = u.book_node_id), false) AS fits FROM u LEFT JOIN n USING (book_id, id) GROUP BY ALL""",
+)
+def units_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a unit's segments all belong to its node."""
+    owners = table(spark, sf_dir, "nodes").select("book_id", F.col("id").alias("node_id"), F.explode("segment_ids").alias("id"))
+    parts = table(spark, sf_dir, "units").select("book_id", "unit_id", "book_node_id", F.explode("segment_ids").alias("id"))
+    joined = parts.join(owners, ["book_id", "id"], "left")
+    return joined.groupBy("book_id", "unit_id").agg(F.count("*").alias("n_segments"), F.countDistinct("node_id").alias("n_nodes"), F.coalesce(F.bool_and(F.col("node_id") == F.col("book_node_id")), F.lit(False)).alias("fits"))
+
+
+@query(
+    "alignment_anchors",
+    r"""WITH t AS (SELECT DISTINCT book_id, id, text FROM segments WHERE text IS NOT NULL),
+s AS (SELECT a.book_id, a.id, string_agg(t.text, ' ' ORDER BY pos) AS text FROM (SELECT book_id, id, unnest(source_segment_ids) AS sid, generate_subscripts(source_segment_ids, 1) AS pos FROM alignment) a JOIN t ON t.book_id = a.book_id AND t.id = a.sid GROUP BY ALL)
+SELECT a.book_id, a.id, coalesce(contains(lower(regexp_replace(s.text, '[^\p{L}\p{N}]', '', 'g')), lower(regexp_replace(a.source_text, '[^\p{L}\p{N}]', '', 'g'))), false) AS present FROM alignment a LEFT JOIN s USING (book_id, id)""",
+)
+def alignment_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a confirmed paragraph still stands in the segments it was taken from, but for marks and spaces."""
+    pairs = table(spark, sf_dir, "alignment")
+    texts = S.once(table(spark, sf_dir, "segments").where(F.col("text").isNotNull()), "book_id", "id", "text")
+    named = pairs.select("book_id", F.col("id").alias("item"), F.posexplode("source_segment_ids").alias("pos", "id")).join(texts, ["book_id", "id"])
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    bodies = named.groupBy("book_id", F.col("item").alias("id")).agg(whole.alias("body"))
+    key = lambda c: F.lower(F.regexp_replace(c, "[^\\p{L}\\p{N}]", ""))
+    return pairs.select("book_id", "id", "source_text").join(bodies, ["book_id", "id"], "left").select("book_id", "id", F.coalesce(F.contains(key("body"), key("source_text")), F.lit(False)).alias("present"))
+
+
+@query(
+    "publication_links",
+    r"""WITH s AS (SELECT DISTINCT book_id, id, text FROM segments WHERE regexp_matches(text, '(?i)<img\b|\]\(')),
+a AS (SELECT book_id, id, regexp_replace(text, '(?i)<img\b[^>]*\bsrc\s*=\s*["'']([^"'']+)["''][^>]*\balt\s*=\s*["'']([^"'']*)["''][^>]*>', '![\2](\1)', 'g') AS t FROM s)
+SELECT book_id, id, regexp_replace(regexp_replace(t, '(?i)<img\b[^>]*\bsrc\s*=\s*["'']([^"'']+)["''][^>]*>', '![](\1)', 'g'), '\[(!\[[^\]]*\]\([^)]*\))\]\([^)]*\)', '\1', 'g') AS body FROM a""",
+)
+def publication_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images in HTML as Markdown, links around images dropped."""
+    rows = table(spark, sf_dir, "segments").where(F.col("text").rlike("(?i)<img\\b|\\]\\("))
+    return S.once(rows, "book_id", "id", "text").select("book_id", "id", B.images(F.col("text")).alias("body"))
+
+
+@query("publication_clean")
+def publication_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments made fit for setting, by all steps; each step is tested on fixtures."""
+    ship(spark)
+    rows = S.once(table(spark, sf_dir, "segments").where(F.col("text").isNotNull()), "book_id", "id", "text")
+    tables = rows.withColumn("text", F.when(F.contains(F.lower("text"), F.lit("<table")), M.html_tables_as_markdown(F.col("text"))).otherwise(F.col("text")))
+    return tables.select("book_id", "id", B.clean(F.col("text")).alias("body"))
