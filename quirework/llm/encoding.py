@@ -172,6 +172,8 @@ def _decode_gbk(text: str) -> tuple[str, int]:
             good = _han_share(inner) >= 0.7 and (han > 1 or latin) and _han_share(m.group()) < 0.9
         else:
             good = covered == high and (latin or cyrillic or len(inner) >= 3)
+            if len(inner) == 1 and inner.isalpha() and ord(inner) < 0x250:  # a letter alone must be part of a word
+                good &= any(c.isascii() and c.isalpha() for c in (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) if c)
             cyrillic |= good and "а" <= inner[0].lower() <= "я"
         if good:
             out.append((m.start(), m.end(), new))
@@ -220,10 +222,14 @@ def _decode_legacy(text: str) -> tuple[str, int]:
         def cyrillic(m: re.Match) -> str:
             nonlocal spans
             part = m.group()
-            least, best = max(0.5, _russian(part) + 0.15), part
+            now = _russian(part)
+            if now >= READS_WELL:
+                return part
+            least, best = max(READS_WELL, now + 0.15), part
+            high = sum(c >= "\x80" for c in part)
             for source, target in CYRILLIC_PAIRS:
                 new = _swapped(part, source, target)
-                if new and _russian(new) > least:
+                if new and len(_RU_LETTER.findall(new)) >= 0.85 * high and _russian(new) > least:
                     least, best = _russian(new), new
             spans += best != part
             return best
@@ -273,15 +279,21 @@ _CENTRAL = re.compile("[\u0143\u0144\u0154\u0155\u010c\u010d\u0118\u0119\u0170\u
 _WESTERN = re.compile(r"(?i)\b(?:la|le|les|des|du|de|el|los|las|una|un|que|por|para|pour|dans|del|con|en|et|sur|der|die|das|und|the|of|and)\b")
 
 
+_RU_LETTER = re.compile("[\u0410-\u044f\u0401\u0451]")
+_RU_USUAL = re.compile("[\u043e\u0435\u0430\u0438\u043d\u0442\u0441\u0440\u0432\u043b\u041e\u0415\u0410\u0418\u041d\u0422\u0421\u0420\u0412\u041b]")
+_RU_CASED = re.compile("(?<![\u0400-\u045f])[\u0410-\u042f\u0401]?[\u0430-\u044f\u0451]+(?![\u0400-\u045f])|(?<![\u0400-\u045f])[\u0410-\u042f](?![\u0400-\u045f])")
+_RU_OTHER = re.compile("[^\u0000-\u007f\u0410-\u044f\u0401\u0451\u2014\u2013\u00ab\u00bb\u2026\u201e\u201c\u201d\u2019\u2018\u2116]")
+#: Text that reads as Russian by so much is left alone.
+READS_WELL = 0.5
+
+
 def _russian(text: str) -> float:
     """How much a text reads as Russian: its usual letters, in words of usual case, and nothing else outside ASCII."""
-    letters = re.findall("[\u0410-\u044f\u0401\u0451]", text)
+    letters = len(_RU_LETTER.findall(text))
     if not letters:
         return 0.0
-    cased = sum(map(len, re.findall("(?<![\u0400-\u045f])[\u0410-\u042f\u0401]?[\u0430-\u044f\u0451]+(?![\u0400-\u045f])|(?<![\u0400-\u045f])[\u0410-\u042f](?![\u0400-\u045f])", text)))
-    others = sum(ord(c) >= 0x80 and c not in "\u2014\u2013\u00ab\u00bb\u2026\u201e\u201c\u201d\u2116" for c in text) - len(letters)
-    usual = sum(c.lower() in "\u043e\u0435\u0430\u0438\u043d\u0442\u0441\u0440\u0432\u043b" for c in letters)
-    return usual / len(letters) * cased / len(letters) * len(letters) / (len(letters) + max(0, others))
+    cased = sum(map(len, _RU_CASED.findall(text)))
+    return len(_RU_USUAL.findall(text)) / letters * cased / letters * letters / (letters + len(_RU_OTHER.findall(text)))
 
 
 def _swapped(text: str, source: str, target: str) -> str | None:
@@ -326,6 +338,8 @@ _ODD_LATIN = re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŠŒŽŸ¢£¤¥§©®°
 
 def repair(text: str) -> tuple[str, bool]:
     """(restored text, whether any of it had been decoded wrongly)."""
+    if _CYRILLIC.search(text) and not _RU_OTHER.search(text) and all(_russian(m.group()) >= READS_WELL for m in _CLAUSE.finditer(text)):
+        return text, False
     before = text
     damaged = "�" in text or any("\x80" <= c <= "\x9f" and c != "\x85" for c in text)
     for _ in range(4):
@@ -360,17 +374,19 @@ def _screens() -> dict[str, np.ndarray]:
     high = np.zeros(TOP, bool)
     high[0xA0:0x100] = True
     small = np.zeros(TOP, bool)
-    small[0x41:0x5B] = small[0x61:0x7B] = True
-    odd = np.zeros(TOP, bool)
+    small[0x61:0x7B] = True
+    after = small.copy()
+    after[0xDF:0x100] = True
+    odd, capital = np.zeros(TOP, bool), np.zeros(TOP, bool)
     for c in "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŠŒŽŸ¢£¤¥§©®°±²³µ¶¸¹º»¼½¾¿¡¨¬¯´≈∞≤≥∂∑∏π∫Ωƒ√◊˘˙˚˝˛ˇˆ˜ı‚„‰‡†•‹›⁄€∆":
-        odd[ord(c)] = True
+        (capital if c.isupper() else odd)[ord(c)] = True
     boxes = np.zeros(TOP, bool)
     boxes[0x2500:0x2600] = True
     boxes[[0x221A, 0x2219, 0x2116]] = True
     central = np.zeros(TOP, bool)
     for p in range(0x80, 0x300):
         central[p] = bool(_CENTRAL.match(chr(p)))
-    return {"boxes": boxes, "central": central, "kinds": kinds, "latin": latin, "han": han, "broken": broken, "rare": han & ~common_han(), "high": high, "small": small, "odd": odd}
+    return {"boxes": boxes, "central": central, "kinds": kinds, "latin": latin, "han": han, "broken": broken, "rare": han & ~common_han(), "high": high, "small": small, "after": after, "odd": odd, "capital": capital}
 
 
 def screen(array: pa.Array) -> np.ndarray:
@@ -390,8 +406,9 @@ def screen(array: pa.Array) -> np.ndarray:
         high = s["high"][points]
         if n > 3:
             flags[3:] |= high[3:] & high[2:-1] & high[1:-2] & high[:-3]
-        small = s["small"][points]
-        flags[1:-1] |= s["odd"][points[1:-1]] & small[:-2]
+        ends = s["after"][points[2:]]
+        flags[1:-1] |= (s["odd"][points[1:-1]] & latin[:-2] | s["capital"][points[1:-1]] & s["small"][points[:-2]]) & ends
+        flags[1:] |= s["capital"][points[1:]] & s["small"][points[:-1]] & ~np.append(latin[2:], False)
         flags |= s["central"][points]
     marked = row_counts(flags, offsets) > 0
     if n:

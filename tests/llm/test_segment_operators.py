@@ -169,7 +169,7 @@ def test_legacy_to_legacy(text, wrong):
 
 
 @pytest.mark.parametrize(
-    "text", [ENGLISH, RUSSIAN, CHINESE, GERMAN, "", "plain", "The old spelling Ðat with the letter Ð survives, at 5 € or £4.", "Ça n’a coûté que 102 écus.", "СССР» и РФ…", "¡Qué pequeña era la cigüeña!", "每3小时", "Use 储罐 here.", "A radius of 60 μm", "ГЛАВА ПЕРВАЯ О ТОМ, КАК", "Za żółtą jaźń čeština není snadná řeč", "№ 5 и √2"]
+    "text", [ENGLISH, RUSSIAN, CHINESE, GERMAN, "", "plain", "The old spelling Ðat with the letter Ð survives, at 5 € or £4.", "Ça n’a coûté que 102 écus.", "СССР» и РФ…", "¡Qué pequeña era la cigüeña!", "每3小时", "Use 储罐 here.", "A radius of 60 μm", "ГЛАВА ПЕРВАЯ О ТОМ, КАК", "Za żółtą jaźń čeština není snadná řeč", "№ 5 и √2", "It covers 68 m².每598小时检查一次培训课程。"]
 )
 def test_clean_text_is_left(text):
     assert encoding.repair(text) == (text, False)
