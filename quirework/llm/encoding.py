@@ -172,8 +172,8 @@ def _decode_gbk(text: str) -> tuple[str, int]:
             good = _han_share(inner) >= 0.7 and (han > 1 or latin) and _han_share(m.group()) < 0.9
         else:
             good = covered == high and (latin or cyrillic or len(inner) >= 3)
-            if len(inner) == 1 and inner.isalpha() and ord(inner) < 0x250:  # a letter alone must be part of a word
-                good &= any(c.isascii() and c.isalpha() for c in (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) if c)
+            if len(inner) == 1 and inner.isalpha() and text[m.end() : m.end() + 1].isdigit():
+                good = False  # a letter stands in or for a word, not before a number
             cyrillic |= good and "а" <= inner[0].lower() <= "я"
         if good:
             out.append((m.start(), m.end(), new))
