@@ -94,6 +94,19 @@ def running_max(df: DataFrame, group: list[str], order: str, values: dict[str, C
     return out.drop("_b", *[f"_{x}_{k}" for x in "vic" for k in names])
 
 
+def running_rank(df: DataFrame, group: list[str], order: str, ties: list[str], name: str, bucket: int = BUCKET) -> DataFrame:
+    """The place of each row, from 0, in the order of an integer column and of ``ties`` after it.
+
+    Places within buckets of positions and the counts of the buckets before, so
+    that no task sorts a whole book.
+    """
+    df = df.withColumn("_b", F.floor(F.col(order) / bucket))
+    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order, *ties)) - 1
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*group, "_b").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return df.withColumn("_i", inside).join(counts, [*group, "_b"]).withColumn(name, (F.col("_i") + F.col("_base")).cast("int")).drop("_b", "_i", "_base")
+
+
 def assign_nodes(segments: DataFrame) -> DataFrame:
     """``node_ord``: the position of the latest heading at or before each segment; null before the first."""
     rows = once(segments, "book_id", "id", "ord", "kind")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quirework.functions import markdown as M
 from quirework.functions import text as T
@@ -133,13 +132,12 @@ SELECT book_id, CAST(i AS INTEGER) AS place, anchor FROM r WHERE i IN (SELECT CA
 def markdown_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine evenly spaced stretches of each book's text that stand for it in other formats.
 
-    Distinct stretches are counted first; a place in the order is asked for, so
-    the ranking window runs over stretches of a fixed length, not over texts.
+    Distinct stretches of a fixed length are ranked, not texts.
     """
     rows = _segments(spark, sf_dir, "ord", "kind", "text").where((F.col("kind") == "paragraph") & (F.length("text") > 0))
     stretches = rows.select("book_id", "ord", F.substring(T.normal_inventory(F.col("text")), 1, 180).alias("anchor")).where(F.length("anchor") >= 12)
     first = stretches.groupBy("book_id", "anchor").agg(F.min("ord").alias("ord"))
-    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("ord", "anchor")) - 1)
+    ranked = S.running_rank(first, ["book_id"], "ord", ["anchor"], "place")
     counts = first.groupBy("book_id").agg(F.count("*").alias("k"))
     wanted = counts.select("book_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("j"), "k").select("book_id", F.bround(F.col("j") * (F.col("k") - 1) / 8).cast("int").alias("place")).distinct()
     return ranked.join(wanted, ["book_id", "place"]).select("book_id", "place", "anchor")

@@ -171,9 +171,13 @@ def documents_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
   sha256(coalesce('=' || source_hash, '!') || chr(31) || '=' || coalesce(lag(source_hash) OVER (PARTITION BY book_id ORDER BY ord, unit_id), 'root')) AS dependency_hash FROM units""",
 )
 def units_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each unit with the hash of the one before it: what changes when a neighbour changes."""
-    order = Window.partitionBy("book_id").orderBy("ord", "unit_id")
-    rows = table(spark, sf_dir, "units").withColumn("previous_hash", F.coalesce(F.lag("source_hash").over(order), F.lit("root")))
+    """Each unit with the hash of the one before it: what changes when a neighbour changes.
+
+    Orders are dense (``units_problems`` says where not), so the neighbour is found by an equi-join.
+    """
+    units = table(spark, sf_dir, "units")
+    before = units.select("book_id", (F.col("ord") + 1).alias("ord"), F.col("source_hash").alias("previous_hash"))
+    rows = units.join(before, ["book_id", "ord"], "left").withColumn("previous_hash", F.coalesce("previous_hash", F.lit("root")))
     return rows.select("book_id", "unit_id", "ord", "previous_hash", fields_hash(F.col("source_hash"), F.col("previous_hash")).alias("dependency_hash"))
 
 

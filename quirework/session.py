@@ -51,9 +51,20 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    spark.sparkContext.__dict__.setdefault("_quirework_cuts", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` wrote in this session, once no result needs them; how many there were."""
+    paths = spark.sparkContext.__dict__.pop("_quirework_cuts", [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a context.
 

@@ -35,6 +35,15 @@ def test_running_max_over_bucket_borders(spark):
             assert got[g, o] == max(seen, default=None)
 
 
+def test_running_rank(spark):
+    rng = random.Random(7)
+    rows = [("a", rng.randrange(400), f"t{i}") for i in range(150)] + [("b", 5, "x")]
+    got = {(r.g, r.t): r.p for r in structure.running_rank(spark.createDataFrame(rows, "g string, o int, t string"), ["g"], "o", ["t"], "p", bucket=32).collect()}
+    for g in "ab":
+        own = sorted((o, t) for h, o, t in rows if h == g)
+        assert [got[g, t] for _, t in own] == list(range(len(own)))
+
+
 def test_units_against_brute_force(spark):
     rng = random.Random(3)
     rows = [("a", f"s{i}", i, rng.choice(["heading", *["paragraph"] * 5]), "x" * rng.randrange(3000)) for i in range(1, 120)]
