@@ -26,6 +26,8 @@ SCANNED_SHARE = 0.3
 #: A form is a misreading if the word it stands for occurs so many times as often.
 MISREAD_RATIO = 12
 
+#: Positions of a book in one bucket of its page sequence.
+BUCKET = 4096
 #: A printed line of running text is no shorter, in characters.
 LEAST_WIDTH = 36
 
@@ -255,13 +257,17 @@ def _candidates(batch: pa.RecordBatch) -> dict:
 def line_marks(scanned: DataFrame, segments: DataFrame, books: DataFrame) -> DataFrame:
     """``book_id, id, marks``: which lines hold a page number that counts on or a known head."""
     found = cut(map_batches(scanned, ["book_id", "id", "ord", "text"], _candidates, CANDIDATES))
-    order = Window.partitionBy("book_id").orderBy("ord", "id", "line_no")
+    # Neighbours are looked for within buckets of positions, in two grids half a bucket apart, so that
+    # every row has its neighbours in one of them and no task sorts a whole book.
+    numbered = found.where(F.col("page").isNotNull()).select("book_id", "id", "ord", "line_no", "page", F.explode(F.array(F.lit(0), F.lit(BUCKET // 2))).alias("grid"))
+    numbered = numbered.withColumn("bucket", F.floor((F.col("ord") + F.col("grid")) / BUCKET))
+    order = Window.partitionBy("book_id", "grid", "bucket").orderBy("ord", "id", "line_no")
     near = None
     for k in (1, 2, 3):
         for ahead in (F.lead("page", k).over(order) - F.col("page"), F.col("page") - F.lag("page", k).over(order)):
             test = F.coalesce((ahead > 0) & (ahead <= k + 2), F.lit(False))
             near = test if near is None else near | test
-    pages = found.where(F.col("page").isNotNull()).withColumn("page_ok", near).select("book_id", "id", "line_no", "page_ok")
+    pages = numbered.withColumn("near", near).groupBy("book_id", "id", "line_no").agg(F.bool_or("near").alias("page_ok"))
     fold_udf = F.pandas_udf(lambda s: s.map(lambda x: fold_head(x) if x else None), StringType())
     ids = scanned.select("book_id").distinct()
     titles = segments.where((F.col("kind") == "heading") & F.col("text").isNotNull()).select(F.col("book_id").cast("string").alias("book_id"), F.col("text").alias("title"))
