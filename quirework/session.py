@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -33,12 +32,13 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
     Only where that setting is missing (tests, a single machine) is a local
-    folder made and recorded in the session, so later calls agree on it.
+    folder made, one for each context.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"quirework-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
+        own = spark.sparkContext.__dict__
+        root = own.setdefault("_quirework_root", None) or "file://" + tempfile.mkdtemp(prefix="quirework-")
+        own["_quirework_root"] = root
     return root.rstrip("/")
 
 

@@ -1,22 +1,32 @@
-import os
-
 from quirework import session
 
 
+def exists(spark, path):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def test_cut_and_release(spark):
     df = session.cut(spark.range(5).withColumnRenamed("id", "x"))
     assert df.count() == 5 and df.schema.simpleString() == "struct<x:bigint>"
-    root = session.scratch_root(spark).removeprefix("file://")
-    assert any(n.startswith("cut-") for n in os.listdir(root))
-    assert session.release(spark) >= 1 and not any(n.startswith("cut-") for n in os.listdir(root))
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert path.rsplit("/", 1)[1].startswith("cut-") and exists(spark, path)
+    assert session.release(spark) >= 1 and not exists(spark, path)
     assert session.release(spark) == 0
 
 
+class Named:
+    """A session whose cluster has named the folder."""
+
+    class conf:  # noqa: N801
+        @staticmethod
+        def get(key, default=None):
+            return "file:///shared/folder/" if key == "spark.checkpoint.dir" else default
+
+
 def test_the_cluster_names_the_folder(spark):
-    before = session.scratch_root(spark)
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/elsewhere/")
-    assert session.scratch_root(spark) == "file:///tmp/elsewhere"
-    spark.conf.set("spark.checkpoint.dir", before)
+    assert session.scratch_root(Named) == "file:///shared/folder"
+    assert session.scratch_root(spark) == session.scratch_root(spark)
 
 
 def test_the_package_is_shipped_once(spark):
