@@ -23,8 +23,9 @@ from quirework.session import cut
 
 #: A book is scanned if so large a part of its paragraphs keep their printed lines.
 SCANNED_SHARE = 0.3
-#: A form is a misreading if the word it stands for occurs so many times as often.
-MISREAD_RATIO = 12
+#: A form is a misreading if the word it stands for occurs so many times as often; for words of
+#: ``LONG_WORD`` letters, few of which have a real neighbour, a third of that is enough.
+MISREAD_RATIO, LONG_WORD = 12, 5
 
 #: Positions of a book in one bucket of its page sequence.
 BUCKET = 4096
@@ -374,7 +375,8 @@ def line_defects(segments: DataFrame, books: DataFrame, ratio: int = MISREAD_RAT
     over = over.withColumn("divides", F.when((one == 0) & (two == 0), True).otherwise(one >= two))
     hyphens = over.where("divides").select("book_id", "id", "line_no", F.lit("hyphen").alias("defect"))
 
-    common = F.col("best_n") >= F.lit(ratio) * F.col("n")
+    times = lambda word: F.when(F.length(word) >= LONG_WORD, max(1, ratio // 3)).otherwise(ratio)
+    common = F.col("best_n") >= times("token") * F.col("n")
     odd = ~plain
     misread_words = vocabulary.join(best, "key").where((F.col("token") != F.col("best_token")) & (odd | common)).select("token", F.col("best_token").alias("right"))
     in_line = words.join(misread_words, "token").select("book_id", "id", "line_no", "token", "right")
@@ -383,7 +385,7 @@ def line_defects(segments: DataFrame, books: DataFrame, ratio: int = MISREAD_RAT
     seen = vocabulary.select(F.col("token").alias("form"), F.col("n").alias("n_form"))
     halves = halves.where(F.col("right").isNotNull() & (F.col("right") != F.col("form"))).join(seen, "form", "left")
     best_n = F.when(F.col("divides"), F.col("n_one")).otherwise(F.col("n_two"))
-    halves = halves.where(F.col("form").rlike("[0-9@]") | (best_n >= F.lit(ratio) * (F.coalesce("n_form", F.lit(0)) + 1)))
+    halves = halves.where(F.col("form").rlike("[0-9@]") | (best_n >= times("form") * (F.coalesce("n_form", F.lit(0)) + 1)))
     same = F.length(F.regexp_extract(F.concat_ws("\n", F.rpad("form", 40, " "), F.rpad("right", 40, " ")), r"^(.*).*\n\1", 1))
     halves = halves.withColumn("at", F.when(same < F.col("first"), F.col("line_no")).otherwise(F.col("line2")))
     numbers = tokens.where(F.col("what") == "number")
