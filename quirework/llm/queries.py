@@ -52,7 +52,7 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = bilingual.align_books(table(spark, sf_dir, "segments"), table(spark, sf_dir, "books"), table(spark, sf_dir, "alignment"))
+    pairs = bilingual.align_books(table(spark, sf_dir, "segments"), table(spark, sf_dir, "books"), table(spark, sf_dir, "alignment"), glossary=table(spark, sf_dir, "glossary"))
     return pairs.where(F.col("book_a") < F.col("book_b")).select("book_a", "id_a", "sent_a", "book_b", "id_b", "sent_b").distinct()
 
 

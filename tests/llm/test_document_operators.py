@@ -291,6 +291,15 @@ def test_alignment_empty(spark):
     assert bilingual.align_books(segments.where("ord < 9"), books, confirmed.limit(0)).count() > 0
 
 
+def test_a_glossary_helps_where_little_is_confirmed(spark):
+    segments, books, confirmed, want = bilingual_tables(spark)
+    terms = spark.createDataFrame([*NOUNS, ("", "x"), ("y", None), NOUNS[0]], "source string, target string")
+    few = confirmed.orderBy("source_text").limit(6)
+    got = [{(r.id_a, r.sent_a, r.id_b, r.sent_b) for r in bilingual.align_books(segments, books, few, glossary=g).collect()} for g in (None, terms)]
+    right = [len(x & want) for x in got]
+    assert right[1] >= right[0] and right[1] >= 0.8 * len(want) and right[1] >= 0.9 * len(got[1])
+
+
 def test_sentences_and_numbers():
     assert bilingual.sentences("See No. 415 here. Next! 没有。是吗？") == ["See No. 415 here.", "Next!", "没有。", "是吗？"]
     assert bilingual.sentences("Abb. 772 zeigt. Ende") == ["Abb. 772 zeigt.", "Ende"]
