@@ -332,3 +332,23 @@ def test_whole_tables_agree_with_the_operators(spark, small):
 def test_normal_form_of_symbols():
     data, offsets = leakage.symbols(pa.array(["Ab-C é ß", None, "漢字！"]))
     assert offsets.tolist() == [0, 5, 5, 7]
+
+
+@pytest.mark.parametrize("change", ["first_omitted", "swapped", "one_moved"])
+def test_distance_hides_no_pair(spark, change):
+    rng = random.Random(31)
+    confirmed = [tuple(" ".join(x) for x in zip(*[pair_of(rng) for _ in range(2)], strict=True)) for _ in range(120)]
+    source = [[pair_of(rng) for _ in range(3)] for _ in range(400)]
+    kept = list(range(400))
+    kept = {"first_omitted": kept[100:], "swapped": kept[200:] + kept[:200], "one_moved": kept[1:360] + kept[:1] + kept[360:]}[change]
+    rows = [("a", f"s{k}", k + 1, "paragraph", " ".join(p[0] for p in x)) for k, x in enumerate(source)]
+    rows += [("b", f"t{k}", n, "paragraph", " ".join(p[1] for p in source[k])) for n, k in enumerate(kept, 1)]
+    segments = spark.createDataFrame(rows, "book_id string, id string, ord int, kind string, text string")
+    books = spark.createDataFrame([("a", None), ("b", "a")], "book_id string, source_book_id string")
+    found = bilingual.align_books(segments, books, spark.createDataFrame(confirmed, "source_text string, target_text string")).collect()
+    got = {(r.id_a, r.sent_a, r.id_b, r.sent_b) for r in found}
+    want = {(f"s{k}", i, f"t{k}", i) for k in kept for i in (1, 2, 3)}
+    print(change, len(want), len(got), len(got & want))
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    if change == "one_moved":
+        assert {("s0", i, "t0", i) for i in (1, 2, 3)} <= got
