@@ -93,6 +93,17 @@ def test_search_against_brute_force():
         assert got == want
 
 
+@pytest.mark.parametrize("shares,part", [((0.37, 0.15), 2), ((0.44, 0.09), 6)])
+def test_a_small_second_run_counts(shares, part):
+    rng = random.Random(5)
+    one, filler = ("".join(rng.choice("abcdefghilmnoprstu") for _ in range(400)) for _ in range(2))
+    first, second = one[: int(400 * shares[0])], one[400 - int(400 * shares[1]) :]
+    edit = len(second) // part
+    second = second[:edit] + "z" + second[edit + 1 :]
+    found = leakage.Index([(1, one)]).leaks(pa.array([f"{first} {filler} {second}", f"{first} {filler}", f"{filler} {second}"]))
+    assert [(r, i) for r, i, _ in found] == [(0, 1)]
+
+
 # --- mixing ------------------------------------------------------------------
 
 
