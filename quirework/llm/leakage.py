@@ -240,13 +240,22 @@ def _share(text: np.ndarray, passage: np.ndarray, where: np.ndarray, at: np.ndar
         back, _ = _extend(passage[: p + m][::-1], text[: w + m][::-1], 0, 0, firm)
         begin = p + m - back
         runs.append((begin, end, w - p, end - begin))
-    runs = sorted({(a, b) for a, b, _, _ in runs if b - a >= m}, key=lambda r: r[0] - r[1])
-    best = 0
-    for k, (a, b) in enumerate(runs[:50]):
-        best = max(best, b - a)
-        for c, d in runs[k + 1 : 50]:
-            best = max(best, b - a + d - c - max(0, min(b, d) - max(a, c)))
-    return best / len(passage)
+    return _best_two({(a, b) for a, b, _, _ in runs if b - a >= m}) / len(passage)
+
+
+def _best_two(runs: set[tuple[int, int]]) -> int:
+    """How much at most two of the runs cover together, by a sweep over those that no other contains."""
+    outer: list[tuple[int, int]] = []
+    for a, b in sorted(runs, key=lambda r: (r[0], -r[1])):
+        if not outer or b > outer[-1][1]:
+            outer.append((a, b))
+    best = done = longest = 0
+    for a, b in outer:  # starts and ends both rise
+        while outer[done][1] <= a:
+            longest = max(longest, outer[done][1] - outer[done][0])
+            done += 1
+        best = max(best, b - a + longest, b - outer[done][0])  # with the longest that ended before, or the first that still overlaps
+    return best
 
 
 @lru_cache(4)

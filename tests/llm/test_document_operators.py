@@ -104,6 +104,22 @@ def test_a_small_second_run_counts(shares, part):
     assert [(r, i) for r, i, _ in found] == [(0, 1)]
 
 
+def test_best_two_runs_against_brute_force():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 5, 70):
+        for _ in range(20):
+            runs = {(a, a + rng.randrange(1, 60)) for a in (rng.randrange(200) for _ in range(n))}
+            assert leakage._best_two(runs) == max((len(set(range(*x)) | set(range(*y))) for x in runs for y in runs), default=0)
+
+
+def test_no_run_is_left_out_for_many_longer_ones():
+    rng = random.Random(6)
+    one = "".join(rng.choice("abcdefghilmnoprstu") for _ in range(400))
+    longer = " ".join(one[:n] + "zzzzzzzzzzzzzzz" for n in range(110, 171))
+    found = leakage.Index([(1, one)]).leaks(pa.array([f"{longer} {one[-100:]}"]))
+    assert [(r, i, s) for r, i, s in found] == [(0, 1, 0.675)]
+
+
 # --- mixing ------------------------------------------------------------------
 
 
