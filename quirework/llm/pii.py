@@ -29,7 +29,7 @@ GIVEN_NAMES = (
     "Alena Anselm Bettany Bram Caspar Corwin Darian Desna Emeric Fenna Ferelith Gudrun Halina Hugo Ingrun Isolde Jasper Jorik Kasimir Kerensa Leopold "
     "Lidka Linnea Maren Marta Mirela Neva Nikola Oskar Ottilie Pavel Quentin Runa Selma Teodor Tobin Yelka"
 ).split()
-#: Names learnt need so many different surnames; of the learnt no more are sent out than this.
+#: A name learnt from addresses alone needs so many different surnames; more names than these aren't sent out whole, but joined.
 LEAST_SURNAMES, MOST_NAMES = 3, 20_000
 
 
@@ -85,10 +85,22 @@ _NO_SURNAME = frozenset(
 )
 
 
+_WORD = re.compile(r"(?<!\w)[A-ZÀ-Þ]\w*")
+
+
 @lru_cache(8)
-def _given(names: tuple[str, ...]) -> re.Pattern:
-    forms = sorted({f for n in names for f in (n, n.upper())}, key=len, reverse=True)
-    return re.compile("(?:" + "|".join(map(re.escape, forms)) + r")(?!\w)")
+def _given(names: tuple[str, ...]) -> tuple[frozenset[str], re.Pattern | None]:
+    """The names that are one capitalised word, and a pattern of the others."""
+    forms = {f for n in names for f in (n, n.upper())}
+    words = frozenset(f for f in forms if _WORD.fullmatch(f))
+    rest = sorted(forms - words - {""}, key=len, reverse=True)
+    return words, re.compile("(?:" + "|".join(map(re.escape, rest)) + r")(?!\w)") if rest else None
+
+
+def _given_places(text: str, names: tuple[str, ...], own: frozenset[str]) -> list[tuple[int, int]]:
+    words, rest = _given(names)
+    out = [m.span() for m in _WORD.finditer(text) if m.group() in words or m.group() in own]
+    return sorted(out + [m.span() for m in rest.finditer(text)]) if rest else out
 
 
 def _emails(text: str, out: list[Mention]) -> None:
@@ -165,13 +177,11 @@ def _is_surname(word: str) -> bool:
     return all(len(p) > 1 and p not in _NO_SURNAME and p.capitalize() not in _NO_SURNAME for p in parts)
 
 
-def _names(text: str, names: tuple[str, ...], han: bool, cyrillic: bool, out: list[Mention]) -> None:
+def _names(text: str, names: tuple[str, ...], own: frozenset[str], han: bool, cyrillic: bool, out: list[Mention]) -> None:
     done = -1
-    for m in _given(names).finditer(text):
-        start = m.start()
+    for start, end in _given_places(text, names, own):
         if start < done or start and (text[start - 1].isalnum() or text[start - 1] in "_.@+-"):
             continue
-        end = m.end()
         if text[end : end + 1] in "@_" and end < len(text) or text[end : end + 1] == "." and text[end + 1 : end + 2].isalpha():
             continue
         after = _AFTER_GIVEN.match(text, end)
@@ -226,14 +236,14 @@ _HAN = re.compile("[一-鿿]")
 _CYRILLIC = re.compile("[А-Яа-я]")
 
 
-def mentions(text: str, names: tuple[str, ...] = tuple(GIVEN_NAMES)) -> list[Mention]:
-    """All mentions in ``text``, in order and apart; of two that overlap the surer kind stays."""
+def mentions(text: str, names: tuple[str, ...] = tuple(GIVEN_NAMES), own: frozenset[str] = frozenset()) -> list[Mention]:
+    """All mentions in ``text``, in order and apart; of two that overlap the surer kind stays. ``own`` are given names as this text writes them."""
     out: list[Mention] = []
     han, cyrillic = bool(_HAN.search(text)), bool(_CYRILLIC.search(text))
     _emails(text, out)
     _numbers(text, out)
     _addresses(text, han, out)
-    _names(text, names, han, cyrillic, out)
+    _names(text, names, own, han, cyrillic, out)
     kept: list[Mention] = []
     for m in sorted(out, key=lambda m: (_RANK[m.kind], m.start, -m.end)):
         if all(m.end <= k.start or k.end <= m.start for k in kept):
@@ -394,63 +404,91 @@ REDACTED = "doc_id bigint, text string, n_mentions int"
 MENTIONS = "doc_id bigint, start_at int, length int, pii_kind string, placeholder string"
 
 
-def learn_given_names(documents: DataFrame, least: int = LEAST_SURNAMES, most: int = MOST_NAMES) -> tuple[str, ...]:
-    """Given names from the corpus's own mail addresses of the form given.surname@.
+def learnt_names(documents: DataFrame, least: int = LEAST_SURNAMES) -> DataFrame:
+    """``given``: given names from the corpus's own mail addresses of the form given.surname@, each once and all of them.
 
-    Counted over all documents; a name needs ``least`` different surnames. The
-    vocabulary of names is bounded, and no more than ``most`` are taken, the most
-    frequent first.
+    One address is enough where its document also writes that name and surname
+    next to one another, in either order, so what is found in a document by its
+    own address doesn't depend on the size of the corpus. A name without that
+    needs ``least`` different surnames.
     """
-    found = (
-        documents.where(F.col("text").contains("@"))
-        .select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\w.+-])([a-z]{3,}[._][a-z]{3,})@"), F.lit(1))).alias("local"))
-        .select(F.split("local", "[._]").alias("p"))
-        .groupBy(F.initcap(F.col("p")[0]).alias("given"))
-        .agg(F.approx_count_distinct(F.col("p")[1]).alias("n"))
-        .where(F.col("n") >= least)
-        .orderBy(F.desc("n"), "given")
-        .limit(most)
-    )
-    return tuple(sorted(set(GIVEN_NAMES) | {r.given for r in found.collect()}))
-
-
-def find_mentions(documents: DataFrame, names: tuple[str, ...] | None = None, key: str = DEFAULT_KEY) -> DataFrame:
+    local = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)(?<![\w.+-])([a-z]{3,}[._][a-z]{3,})@"), F.lit(1))))
+    parts = documents.where(F.col("text").contains("@")).select("text", local.alias("local")).withColumn("p", F.split("local", "[._]"))
+    given, surname = F.initcap(F.col("p")[0]), F.initcap(F.col("p")[1])
+    places = [F.concat(*x) for g, s in ((given, surname), (F.upper(given), F.upper(surname))) for x in ((g, F.lit(" "), s), (s, F.lit(", "), g))]
+    written = F.lit(False)
+    for place in places:
+        written = written | F.col("text").contains(place)
+    usual = F.col("given").isin(*_NO_SURNAME) | F.col("surname").isin(*_NO_SURNAME)
+    rows = parts.select(given.alias("given"), surname.alias("surname"), written.alias("written"), (F.col("local") == F.lower("local")).alias("small"))
+    rows = rows.withColumn("written", F.col("written") & ~usual).groupBy("given", "surname").agg(F.max("written").alias("written"), F.max("small").alias("small"))
+    found = rows.groupBy("given").agg(F.max("written").alias("written"), F.sum(F.col("small").cast("int")).alias("n"))
+    return found.where(F.col("written") | (F.col("n") >= least)).select("given")
+
+
+def learn_given_names(documents: DataFrame, least: int = LEAST_SURNAMES) -> tuple[str, ...]:
+    """The stated names and all that ``learnt_names`` finds, here at the driver."""
+    return tuple(sorted(set(GIVEN_NAMES) | {r.given for r in learnt_names(documents, least).toLocalIterator()}))
+
+
+def known_names(documents: DataFrame, least: int = LEAST_SURNAMES, most: int = MOST_NAMES) -> tuple[str, ...] | DataFrame:
+    """The stated and the learnt names to send out, or the table of the learnt where they are more than ``most``."""
+    table = learnt_names(documents, least)
+    sent = table.limit(most + 1).collect()
+    if len(sent) > most:
+        return table
+    return tuple(sorted(set(GIVEN_NAMES) | {r.given for r in sent}))
+
+
+def _with_own(documents: DataFrame, names: tuple[str, ...] | DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``doc_id, text, own``: the names of a table that each text holds, joined by its words; nothing of the table is sent out whole."""
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if not isinstance(names, DataFrame):
+        return rows.withColumn("own", F.array().cast("array<string>")), names
+    rows = rows.withColumn("_key", F.xxhash64("text"))
+    words = rows.select("_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(?<!\w)(\p{Lu}\w*)"), F.lit(1)))).alias("word")).distinct()
+    forms = names.select(F.explode(F.array("given", F.upper("given"))).alias("word")).distinct()
+    own = words.join(forms, "word").groupBy("_key").agg(F.collect_set("word").alias("own"))
+    return rows.join(own, "_key", "left").select("doc_id", "text", F.coalesce("own", F.array().cast("array<string>")).alias("own")), tuple(GIVEN_NAMES)
+
+
+def find_mentions(documents: DataFrame, names: tuple[str, ...] | DataFrame | None = None, key: str = DEFAULT_KEY) -> DataFrame:
     """One row per mention with its place, kind and placeholder.
 
     Needs ``doc_id, text``; other columns are ignored. Null and empty texts give
     no row; a document without mentions gives none; a row delivered twice gives
-    equal rows. Texts go through once, whole, and nothing is shuffled.
+    equal rows. Texts go through once, whole, and nothing is shuffled unless the
+    names are a table (``known_names``).
     """
-    names = tuple(GIVEN_NAMES) if names is None else names
+    rows, names = _with_own(documents, tuple(GIVEN_NAMES) if names is None else names)
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {n: [] for n in ("doc_id", "start_at", "length", "pii_kind", "placeholder")}
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for m in mentions(text, names) if text else ():
+        for doc, text, own in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "own")), strict=True):
+            for m in mentions(text, names, frozenset(own)) if text else ():
                 values = (doc, m.start, m.end - m.start, m.kind, f"[{m.kind.upper()}:{pseudonym(text[m.start : m.end], m.kind, key)}]")
                 for column, value in zip(out.values(), values, strict=True):
                     column.append(value)
         kinds = {"doc_id": pa.int64(), "start_at": pa.int32(), "length": pa.int32()}
         return {k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()}
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") > 0)
-    return map_batches(rows, ["doc_id", "text"], run, MENTIONS)
+    return map_batches(rows.where(F.length("text") > 0), ["doc_id", "text", "own"], run, MENTIONS)
 
 
-def redact_documents(documents: DataFrame, names: tuple[str, ...] | None = None, key: str = DEFAULT_KEY) -> DataFrame:
+def redact_documents(documents: DataFrame, names: tuple[str, ...] | DataFrame | None = None, key: str = DEFAULT_KEY) -> DataFrame:
     """Every document with its mentions replaced by typed placeholders.
 
     Null stays null and empty stays empty, each with 0 mentions; other columns
     are ignored; a row delivered twice gives equal rows.
     """
-    names = tuple(GIVEN_NAMES) if names is None else names
+    rows, names = _with_own(documents, tuple(GIVEN_NAMES) if names is None else names)
 
     def run(batch: pa.RecordBatch) -> dict:
         texts, counts = [], []
-        for text in batch.column("text").to_pylist():
-            found = mentions(text, names) if text else []
+        for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
+            found = mentions(text, names, frozenset(own)) if text else []
             texts.append(redact(text, found, key) if found else text)
             counts.append(len(found))
         return {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string()), "n_mentions": pa.array(counts, pa.int32())}
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ["doc_id", "text"], run, REDACTED)
+    return map_batches(rows, ["doc_id", "text", "own"], run, REDACTED)

@@ -266,6 +266,18 @@ def test_given_names_are_learnt(spark):
     assert set(pii.learn_given_names(documents(spark, []))) == set(pii.GIVEN_NAMES)
 
 
+def test_names_learnt_have_no_limit(spark):
+    rows = [(1, "Ask Brunhild Oswick, brunhild.oswick@example.org, or Thyra."), (2, "Then Brunhild Vance and VANCE, BRUNHILD wrote; Thyra Moss did not."), (3, "Sent by chapter.seven@example.org"), (4, None)]
+    df = documents(spark, rows)
+    names = pii.known_names(df)
+    assert "Brunhild" in names and not {"Thyra", "Chapter"} & set(names)
+    table = pii.known_names(df, most=0)
+    assert [r.given for r in table.collect()] == ["Brunhild"]
+    sent, joined = ({(r.doc_id, r.start_at, r.pii_kind) for r in pii.find_mentions(df, x).collect()} for x in (names, table))
+    assert sent == joined and {x[:2] for x in sent if x[2] == "name"} == {(1, 4), (2, 5), (2, 24)}
+    assert {r.doc_id: r.text for r in pii.redact_documents(df, names).collect()} == {r.doc_id: r.text for r in pii.redact_documents(df, table).collect()}
+
+
 # --- bilingual books ---------------------------------------------------------
 
 NOUNS = [("pump", "Pumpe"), ("mill", "Mühle"), ("lamp", "Lampe"), ("gear", "Getriebe"), ("boiler", "Kessel"), ("ledger", "Hauptbuch"), ("wall", "Mauer"), ("belt", "Riemen")]
