@@ -173,11 +173,13 @@ def documents_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def units_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit with the hash of the one before it: what changes when a neighbour changes.
 
-    Orders are dense (``units_problems`` says where not), so the neighbour is found by an equi-join.
+    Units are ranked by order and id, so gaps and repeated orders (``units_problems`` names them) do no harm, and the neighbour is found by an equi-join on ranks.
     """
-    units = table(spark, sf_dir, "units")
-    before = units.select("book_id", (F.col("ord") + 1).alias("ord"), F.col("source_hash").alias("previous_hash"))
-    rows = units.join(before, ["book_id", "ord"], "left").withColumn("previous_hash", F.coalesce("previous_hash", F.lit("root")))
+    units = table(spark, sf_dir, "units").select("book_id", "unit_id", "ord", "source_hash")
+    keyed = units.withColumns({"book": F.coalesce(F.concat(F.lit("="), "book_id"), F.lit("!")), "place": F.coalesce("ord", F.lit(2147483647))})
+    ranked = S.running_rank(keyed, ["book"], "place", ["unit_id", "source_hash"], "rank")
+    before = ranked.select("book", (F.col("rank") + 1).alias("rank"), F.col("source_hash").alias("previous_hash"))
+    rows = ranked.join(before, ["book", "rank"], "left").withColumn("previous_hash", F.coalesce("previous_hash", F.lit("root")))
     return rows.select("book_id", "unit_id", "ord", "previous_hash", fields_hash(F.col("source_hash"), F.col("previous_hash")).alias("dependency_hash"))
 
 

@@ -154,3 +154,12 @@ def test_streamed_state_equals_the_batch(spark, tmp_path):
 def test_every_query_runs(spark, small, name):
     df = registry.QUERIES[name](spark, small)
     assert df.columns and df.limit(1).count() <= 1
+
+
+def test_units_chain_over_gaps_and_repeated_orders(spark, tmp_path):
+    from quirework.plans.pages import units_chain
+
+    rows = [("b", "u1", 1, "h1"), ("b", "u2", 4, "h2"), ("b", "u4", 5, "h4"), ("b", "u3", 5, "h3"), ("b", "u5", 6, "h5"), ("c", "u1", 3, "k1")]
+    spark.createDataFrame(rows, "book_id string, unit_id string, ord int, source_hash string").write.parquet(f"{tmp_path}/units.parquet")
+    got = sorted((r.book_id, r.unit_id, r.previous_hash) for r in units_chain(spark, str(tmp_path)).collect())
+    assert got == [("b", "u1", "root"), ("b", "u2", "h1"), ("b", "u3", "h2"), ("b", "u4", "h3"), ("b", "u5", "h4"), ("c", "u1", "root")]
