@@ -4,7 +4,8 @@ A passage is cut into overlapping test strings of one length. A shift table
 over blocks of symbols tells how far the search may jump, buckets by the hash of
 the whole window pick the test strings that may end there, and a comparison
 symbol by symbol confirms them. Every text and passage with a hit are a candidate
-pair, whose runs are then measured symbol by symbol with small edits.
+pair, whose runs are then measured symbol by symbol with small edits, all hits of
+a batch at once.
 
 The search runs over all documents of an Arrow batch at once: each text is
 divided into lanes, every lane has its own cursor, and a step moves all cursors
@@ -14,6 +15,7 @@ by their own shifts.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.arrow import code_points, map_batches
+from quirework.session import cut
 
 #: Test strings: symbols, step between two, symbols in a block of the shift table.
 LATIN_SHAPE = (20, 5, 8)
@@ -29,8 +32,8 @@ HAN_SHAPE = (8, 2, 3)
 SHORT_SHAPE = (4, 1, 2)
 #: Share of a passage that makes a case, in at most two runs; a run has the length of a test string at least.
 LEAST_SHARE = 0.5
-#: Characters of passages that one search holds; more are searched in further blocks.
-BLOCK_CHARS = 20_000_000
+#: Characters of passages that one search, and the driver, hold at a time; more are searched in further blocks.
+BLOCK_CHARS = 4_000_000
 LANE = 512
 TABLE_BITS = 22
 
@@ -160,6 +163,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         data, offsets = symbols(pa.array([t for _, t in items], pa.string()))
+        self.data, self.starts = data, offsets
         self.items = [(i, data[offsets[k] : offsets[k + 1]]) for k, (i, _) in enumerate(items)]
         self.ids = np.array([i for i, _ in items], np.int64)
         self.searchers = []
@@ -181,66 +185,92 @@ class Index:
             where = np.repeat(starts, times)
             item = own[searcher.owner[place]]
             row = np.searchsorted(offsets, where, side="right") - 1
-            out += self._measure(text, offsets, row, item, where - offsets[row], searcher.at[place], shape[0])
+            out += self._measure(text, offsets, row, item, where, searcher.at[place], shape[0])
         return out
 
     def _measure(self, text, offsets, row, item, where, at, m) -> list[tuple[int, int, float]]:
+        """Shares of all pairs with a hit; ``where`` counts from the start of ``text``, ``at`` from the passage's."""
         n_items = len(self.items)
         pair = row.astype(np.int64) * n_items + item
-        out = []
         order = np.lexsort((at, where - at, pair))
         pair, where, at = pair[order], where[order], at[order]
-        cut = np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(pair))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            r, k = divmod(int(pair[a]), n_items)
-            passage = self.items[k][1]
-            share = _share(text[offsets[r] : offsets[r + 1]], passage, where[a:b], at[a:b], m)
+        # test strings that touch one another on one line are one equal stretch
+        goes_on = np.zeros(len(pair), bool)
+        goes_on[1:] = (pair[1:] == pair[:-1]) & ((where - at)[1:] == (where - at)[:-1]) & (at[1:] - at[:-1] <= m)
+        first = np.flatnonzero(~goes_on)
+        last = np.append(first[1:], len(pair)) - 1
+        pair, begin, end, place = pair[first], at[first], at[last] + m, where[first]
+        r, k = np.divmod(pair, n_items)
+        low, high = self.starts[k], self.starts[k + 1]
+        firm = 10 if m >= 20 else 5 if m >= 8 else 3
+        ends = _extend(self.data, low + end, high, text, place + (end - begin), offsets[r + 1], end - begin, firm) - low
+        n, t = len(self.data), len(text)
+        back = _extend(self.data[::-1], n - low - begin, n - low, text[::-1], t - place, t - offsets[r], np.full(len(r), m), firm)
+        begins = n - low - back
+        size = ends - begins
+        length = high - low
+        # two runs are at most twice the longest
+        edges = np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(pair))
+        longest = np.maximum.reduceat(size, edges[:-1])
+        out = []
+        for g in np.flatnonzero(2 * longest >= LEAST_SHARE * length[edges[:-1]]):
+            a, b = edges[g], edges[g + 1]
+            runs = {(x, y) for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True) if y - x >= m}
+            share = _best_two(runs) / int(length[a])
             if share >= LEAST_SHARE:
-                out.append((r, int(self.ids[k]), round(share, 4)))
+                out.append((int(r[a]), int(self.ids[k[a]]), round(share, 4)))
         return out
 
 
 _EDITS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2))
+_WIDTH, _SEEDS = 64, 20_000
 
 
-def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int, firm: int) -> tuple[int, int]:
-    """How far ``a[i:]`` and ``b[j:]`` agree but for small edits, each followed by ``firm`` equal symbols; (end in a, edits)."""
-    edits, start = 0, i
-    while True:
-        n = min(len(a) - i, len(b) - j)
-        same = a[i : i + n] == b[j : j + n]
-        wrong = np.flatnonzero(~same[:4096])
-        run = int(wrong[0]) if len(wrong) else min(n, 4096)
-        i, j = i + run, j + run
-        if not len(wrong):
-            if n > 4096:
-                continue
-            return i, edits
-        for di, dj in _EDITS:
-            x, y = i + di, j + dj
-            left = min(len(a) - x, len(b) - y)
-            if left >= 1 and (a[x : x + firm] == b[y : y + firm]).all() if left >= firm else (0 < left == len(a) - x and (a[x:] == b[y : y + left]).all()):
-                if (edits + max(di, dj)) > 1 + 0.06 * (x - start):
-                    return i, edits
-                edits += max(di, dj)
-                i, j = x, y
-                break
-        else:
-            return i, edits
-
-
-def _share(text: np.ndarray, passage: np.ndarray, where: np.ndarray, at: np.ndarray, m: int) -> float:
-    """Share of the passage in its best runs."""
-    firm = 10 if m >= 20 else 5 if m >= 8 else 3
-    runs: list[tuple[int, int, int, int]] = []
-    for w, p in zip(where.tolist(), at.tolist(), strict=True):
-        if any(a <= p and p + m <= b and abs((w - p) - line) <= 16 for a, b, line, _ in runs):
-            continue
-        end, _ = _extend(passage, text, p, w, firm)
-        back, _ = _extend(passage[: p + m][::-1], text[: w + m][::-1], 0, 0, firm)
-        begin = p + m - back
-        runs.append((begin, end, w - p, end - begin))
-    return _best_two({(a, b) for a, b, _, _ in runs if b - a >= m}) / len(passage)
+def _extend(a: np.ndarray, i: np.ndarray, a_end: np.ndarray, b: np.ndarray, j: np.ndarray, b_end: np.ndarray, done: np.ndarray, firm: int) -> np.ndarray:
+    """How far ``a[i:a_end]`` and ``b[j:b_end]`` agree but for small edits, each followed by ``firm`` equal symbols, for all seeds at once.
+
+    ``done`` is how long each run is already; a run of n symbols may have 1 + 0.06 n edits.
+    """
+    room = np.zeros(_WIDTH + firm + 2, a.dtype)
+    a, b = np.concatenate((a, room)), np.concatenate((b, room))
+    out = i.copy()
+    for k in range(0, len(i), _SEEDS):
+        part = slice(k, k + _SEEDS)
+        out[part] = _extend_part(a, i[part].copy(), a_end[part], b, j[part].copy(), b_end[part], i[part] - done[part], firm)
+    return out
+
+
+def _extend_part(a, i, a_end, b, j, b_end, start, firm) -> np.ndarray:
+    edits = np.zeros(len(i), np.int64)
+    live = np.arange(len(i))
+    ahead, near = np.arange(_WIDTH), np.arange(firm)
+    while len(live):
+        left = np.minimum(a_end[live] - i[live], b_end[live] - j[live])
+        differ = a[i[live][:, None] + ahead] != b[j[live][:, None] + ahead]
+        differ |= ahead >= left[:, None]
+        run = np.where(differ.any(1), differ.argmax(1), _WIDTH)
+        i[live] += run
+        j[live] += run
+        going = live[run == _WIDTH]
+        live = live[(run < _WIDTH) & (run < left)]
+        if len(live):
+            x = a[i[live][:, None] + np.arange(firm + 2)]
+            y = b[j[live][:, None] + np.arange(firm + 2)]
+            left_a, left_b = a_end[live] - i[live], b_end[live] - j[live]
+            cost = np.zeros(len(live), np.int64)
+            step_a, step_b = np.zeros_like(cost), np.zeros_like(cost)
+            for di, dj in _EDITS:
+                left = np.minimum(left_a - di, left_b - dj)
+                same = ((x[:, di : di + firm] == y[:, dj : dj + firm]) | (near >= left[:, None])).all(1)
+                fits = same & ((left >= firm) | (left > 0) & (left == left_a - di)) & (cost == 0)
+                cost[fits], step_a[fits], step_b[fits] = max(di, dj), di, dj
+            taken = (cost > 0) & (edits[live] + cost <= 1 + 0.06 * (i[live] + step_a - start[live]))
+            live, cost, step_a, step_b = live[taken], cost[taken], step_a[taken], step_b[taken]
+            edits[live] += cost
+            i[live] += step_a
+            j[live] += step_b
+        live = np.concatenate((going, live))
+    return i
 
 
 def _best_two(runs: set[tuple[int, int]]) -> int:
@@ -274,29 +304,40 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, block_chars: int = BL
 
     Needs ``doc_id, text`` and ``item_id, text``; other columns are ignored. The
     stated passages are read in blocks of at most ``block_chars`` characters and
-    each block is held against all documents, so nothing of unbounded size is
-    sent out. Null and empty texts on either side give no row; a passage of
-    fewer than four letters and digits is never searched; equal passages under
-    several ids each give a row; a repeated document id counts once. Copies of a
-    document give a row each. Only the found pairs are shuffled.
+    each block is held against all documents. Of more than one block each one's
+    pairs are written before the next is read, so neither the driver nor a task
+    ever holds more than a block. Null and empty texts on either side give no
+    row; a passage of fewer than four letters and digits is never searched;
+    equal passages under several ids each give a row; a repeated document id
+    counts once. Copies of a document give a row each. Only the found pairs are
+    shuffled.
     """
     passages = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("item_id").isNotNull() & (F.length("text") > 0)).distinct()
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item in passages.orderBy("item_id", "text").toLocalIterator():
-        if size and size + len(item.text) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item.item_id, item.text))
-        size += len(item.text)
     found = None
-    for block in blocks:
-        one = map_batches(rows, ["doc_id", "text"], _finder(tuple(block)), LEAKS)
+    blocks = _blocks(passages.orderBy("item_id", "text").toLocalIterator(), block_chars)
+    block, later = next(blocks), next(blocks, None)
+    while block is not None:
+        one = map_batches(rows, ["doc_id", "text"], _finder(block), LEAKS)
+        one = one if found is None and later is None else cut(one)
         found = one if found is None else found.unionByName(one)
+        block, later = later, next(blocks, None)
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
+def _blocks(items, most: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The passages in tuples of at most ``most`` characters; at least one tuple, which may be empty."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for item in items:
+        if block and size + len(item.text) > most:
+            yield tuple(block)
+            block, size = [], 0
+        block.append((item.item_id, item.text))
+        size += len(item.text)
+    yield tuple(block)
+
+
 def _finder(block: tuple[tuple[int, str], ...]):
     def run(batch: pa.RecordBatch) -> dict:
         ids = batch.column("doc_id").to_pylist()
