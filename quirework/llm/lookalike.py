@@ -21,6 +21,8 @@ from quirework.llm.arrow import code_points, map_batches, row_counts, strings
 from quirework.llm.encoding import repair_array
 
 TOP = 0x110000
+# Korean syllables are put together from these by the rule of the Unicode standard.
+SYLLABLE, LEAD, VOWEL, FINAL, LEADS, VOWELS, FINALS = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
 LATIN, CYRILLIC, GREEK, OTHER = 1, 2, 3, 4
 
 # Letters that look like a Latin letter (Unicode confusables, single letters only).
@@ -113,6 +115,21 @@ class Tables:
         pairs.sort()
         self.pair_key = np.array([(a << 32) | b for a, b, _ in pairs], np.uint64)
         self.pair_to = np.array([p for _, _, p in pairs], np.uint32)
+        self.rank = np.zeros(TOP, np.uint8)  # canonical combining class
+        self.second = np.zeros(TOP, bool)  # may join with, or move before, what stands before it
+        self.parts_width = np.zeros(TOP, np.uint8)  # how many letters and marks a character is made of, 0 for itself
+        self.parts: dict[int, np.ndarray] = {}
+        for p in range(0x80, 0x32000):
+            if 0xD800 <= p < 0xE000 or 0x3400 <= p < 0xA000 or 0xAC00 <= p < 0xD7B0:
+                continue
+            self.rank[p] = unicodedata.combining(chr(p))
+            apart = unicodedata.normalize("NFD", chr(p))
+            if apart != chr(p):
+                self.parts_width[p] = len(apart)
+                self.parts[p] = np.array([ord(x) for x in apart], np.uint32)
+        self.second |= self.rank > 0
+        self.second[[b for _, b, _ in pairs]] = True
+        self.second[VOWEL : VOWEL + VOWELS] = self.second[FINAL + 1 : FINAL + FINALS] = True
         self.look = {}
         for to, frm, names in ((LATIN, CYRILLIC, CYRILLIC_AS_LATIN), (LATIN, GREEK, GREEK_AS_LATIN), (CYRILLIC, LATIN, LATIN_AS_CYRILLIC), (GREEK, LATIN, LATIN_AS_GREEK)):
             gather = np.zeros(0x2000, np.uint32)
@@ -121,6 +138,18 @@ class Tables:
             self.look[to, frm] = gather
 
 
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What each pair of characters is as one, 0 where it is none."""
+        key = (a.astype(np.uint64) << np.uint64(32)) | b
+        i = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        out = np.where(self.pair_key[i] == key, self.pair_to[i], 0).astype(np.int64)
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        lead, vowel, final, whole = a - LEAD, b - VOWEL, b - FINAL, a - SYLLABLE
+        open_ = (lead >= 0) & (lead < LEADS) & (vowel >= 0) & (vowel < VOWELS)
+        closed = (whole >= 0) & (whole < LEADS * VOWELS * FINALS) & (whole % FINALS == 0) & (final > 0) & (final < FINALS)
+        return np.where(open_, SYLLABLE + (lead * VOWELS + vowel) * FINALS, np.where(closed, a + final, out))
+
+
 @lru_cache(1)
 def tables() -> Tables:
     return Tables()
@@ -148,28 +177,73 @@ def _remove(points: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple[
 
 
 def _compose(points: np.ndarray, offsets: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Join marks with the characters before them until nothing joins; rows stay apart. Also counts joins by row."""
+    """Bring every base and the marks after it into canonical composition; rows stay apart. Also counts what changed by row.
+
+    Bases with marks are taken apart, the marks put into canonical order and
+    joined again, the n-th mark of all of them in one step.
+    """
     counts = np.zeros(len(offsets) - 1, np.int64)
-    while len(points) > 1 and len(t.pair_key):
-        second = np.flatnonzero(t.mark[points])
-        second = second[second > 0]
-        second = second[~np.isin(second, offsets)]  # a mark that begins a row has no base
-        if not len(second):
-            break
-        key = (points[second - 1].astype(np.uint64) << np.uint64(32)) | points[second]
-        i = np.minimum(np.searchsorted(t.pair_key, key), len(t.pair_key) - 1)
-        hit = t.pair_key[i] == key
-        # of marks in a row only the first can join in this round
-        if not hit.any():
-            break
-        joined, to = second[hit], t.pair_to[i[hit]]
-        points = points.copy()
-        points[joined - 1] = to
-        gone = np.zeros(len(points), bool)
-        gone[joined] = True
-        counts += row_counts(gone, offsets)
-        points, offsets = _remove(points, offsets, gone)
-    return points, offsets, counts
+    second = t.second[points]
+    second[offsets[:-1][offsets[:-1] < len(points)]] = False  # a mark that begins a row has no base
+    if not second.any():
+        return points, offsets, counts
+    base = np.zeros(len(points), bool)
+    base[:-1] = second[1:] & ~second[:-1]
+    member = np.flatnonzero(second | base)
+    base_at = np.flatnonzero(base)
+    before = points[member]
+    run = np.cumsum(base[member]) - 1
+    width = t.parts_width[before].astype(np.int64)
+    if (width > 0).any():
+        apart, width = width > 0, np.maximum(width, 1)
+        sub, at = np.repeat(before, width), np.cumsum(width) - width
+        for p in np.unique(before[apart]):
+            where = at[before == p]
+            for k, value in enumerate(t.parts[int(p)]):
+                sub[where + k] = value
+        run = np.repeat(run, width)
+    else:
+        sub = before.copy()
+    rank = t.rank[sub]
+    order = np.lexsort((rank, np.cumsum((rank == 0) | np.append(True, run[1:] != run[:-1]))))  # marks of one starter by class, those of a class as they stand
+    sub, rank = sub[order], rank[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    place = np.arange(len(sub)) - first[run]
+    by_place = np.argsort(place, kind="stable")
+    steps = np.searchsorted(place[by_place], np.arange(1, place.max() + 2))
+    starter, last = first.copy(), np.full(len(first), -1)  # -1: nothing stands between the starter and what comes
+    gone = np.zeros(len(sub), bool)
+    for x, y in zip(steps[:-1], steps[1:], strict=True):
+        e = by_place[x:y]
+        r, c = run[e], rank[e]
+        to = t.pair(sub[starter[r]], sub[e])
+        hit = (to > 0) & ((last[r] == -1) | (c > 0) & (last[r] < c))
+        sub[starter[r][hit]] = to[hit]
+        gone[e[hit]] = True
+        r, c, e = r[~hit], c[~hit], e[~hit]
+        last[r] = np.where(c == 0, -1, c)
+        starter[r[c == 0]] = e[c == 0]
+    kept, run = sub[~gone], run[~gone]
+    size = np.bincount(run, minlength=len(first))
+    width = np.ones(len(points), np.int64)
+    width[member] = 0
+    width[base_at] = size
+    ends = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(width, out=ends[1:])
+    out = np.repeat(points, width)
+    into = ends[base_at][run] + np.arange(len(run)) - np.searchsorted(run, np.arange(len(first)))[run]
+    out[into] = kept
+    had = np.bincount(np.cumsum(base[member]) - 1, minlength=len(first))
+    changed = had != size
+    same = np.flatnonzero(~changed)
+    if len(same):
+        inside = np.isin(run, same)
+        differs = np.zeros(len(first), bool)
+        np.logical_or.at(differs, run[inside], kept[inside] != before[np.isin(np.cumsum(base[member]) - 1, same)])
+        changed |= differs
+    flags = np.zeros(len(points), bool)
+    flags[base_at[changed]] = True
+    return out, ends[offsets], row_counts(flags, offsets)
 
 
 def _words(points: np.ndarray, offsets: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
