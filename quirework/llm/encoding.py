@@ -14,6 +14,7 @@ taken one by one.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +27,15 @@ from quirework.llm.arrow import code_points, map_batches, row_counts
 
 TOP = 0x110000
 #: Encodings that UTF-8 bytes may have been read with, one byte a character.
+CYRILLIC_LETTERS = ("cp1251", "koi8_r", "cp866")
 SINGLE = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "cp1253", "iso8859_15")
-CONT, LEAD2, LEAD3, LEAD4 = 1, 2, 3, 4
+#: Classes of bytes in the automaton: three of continuation bytes, and leads by what may follow them first.
+CONT_LOW, CONT_MID, CONT_HIGH, LEAD2, LEAD3, LEAD3_HIGH, LEAD3_LOW, LEAD4, LEAD4_HIGH, LEAD4_LOW = range(1, 11)
+#: Lead -> length of its sequence, least and greatest class of the next byte: no overlong forms, surrogates or values beyond Unicode.
+STEPS = {
+    LEAD2: (2, CONT_LOW, CONT_HIGH), LEAD3: (3, CONT_LOW, CONT_HIGH), LEAD3_HIGH: (3, CONT_HIGH, CONT_HIGH), LEAD3_LOW: (3, CONT_LOW, CONT_MID),
+    LEAD4: (4, CONT_LOW, CONT_HIGH), LEAD4_HIGH: (4, CONT_MID, CONT_HIGH), LEAD4_LOW: (4, CONT_LOW, CONT_LOW),
+}
 
 
 @lru_cache(None)
@@ -45,27 +53,42 @@ def byte_of(codec: str) -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def byte_classes() -> np.ndarray:
+    """Byte -> its class in the automaton; 256 stands for no byte."""
+    classes = np.zeros(257, np.uint8)
+    for low, high, c in (
+        (0x80, 0x90, CONT_LOW), (0x90, 0xA0, CONT_MID), (0xA0, 0xC0, CONT_HIGH), (0xC2, 0xE0, LEAD2), (0xE0, 0xE1, LEAD3_HIGH), (0xE1, 0xF0, LEAD3), (0xED, 0xEE, LEAD3_LOW),
+        (0xF0, 0xF1, LEAD4_HIGH), (0xF1, 0xF4, LEAD4), (0xF4, 0xF5, LEAD4_LOW),
+    ):
+        classes[low:high] = c
+    return classes
+
+
 @lru_cache(None)
 def class_of(codec: str) -> np.ndarray:
     """Code point -> class of its byte in the automaton."""
-    classes = np.zeros(257, np.uint8)
-    classes[0x80:0xC0] = CONT
-    classes[0xC2:0xE0] = LEAD2
-    classes[0xE0:0xF0] = LEAD3
-    classes[0xF0:0xF5] = LEAD4
-    return classes[byte_of(codec)]
+    return byte_classes()[byte_of(codec)]
 
 
 def sequences(classes: np.ndarray) -> np.ndarray:
     """Length of the well-formed sequence that starts at each place, 0 where none does."""
     n = len(classes)
-    cont = np.zeros(n + 3, bool)
-    cont[:n] = classes == CONT
-    one, two, three = cont[1 : n + 1], cont[2 : n + 2], cont[3 : n + 3]
     out = np.zeros(n, np.uint8)
-    out[(classes == LEAD2) & one] = 2
-    out[(classes == LEAD3) & one & two] = 3
-    out[(classes == LEAD4) & one & two & three] = 4
+    leads = np.flatnonzero(classes >= LEAD2)
+    if not len(leads):
+        return out
+    room = np.zeros(n + 3, np.uint8)
+    room[:n] = classes
+    lead, second = classes[leads], room[leads + 1]
+    third, fourth = room[leads + 2], room[leads + 3]
+    third, fourth = (third > 0) & (third <= CONT_HIGH), (fourth > 0) & (fourth <= CONT_HIGH)
+    length, least, most = (np.zeros(LEAD4_LOW + 1, np.uint8) for _ in range(3))
+    for c, step in STEPS.items():
+        length[c], least[c], most[c] = step
+    size = length[lead]
+    good = (second >= least[lead]) & (second <= most[lead]) & ((size < 3) | third) & ((size < 4) | fourth)
+    out[leads[good]] = size[good]
     return out
 
 
@@ -101,30 +124,60 @@ def decode_spans(text: str, codec: str) -> tuple[str, int]:
     if not len(starts):
         return text, 0
     data = byte_of(codec)[points]
-    out, done, spans, i = [], 0, 0, 0
+    found: list[tuple[int, int, str]] = []
+    doubtful: list[tuple[int, int, str]] = []
+    i = 0
     while i < len(starts):
         a = b = int(starts[i])
         while b < len(text) and length[b]:
             b += int(length[b])
         while i < len(starts) and starts[i] < b:
             i += 1
-        raw = data[a:b].astype(np.uint8).tobytes()
-        new = raw.decode("utf-8", "ignore")
+        new = data[a:b].astype(np.uint8).tobytes().decode("utf-8")
         left, right = a, b
         while left and points[left - 1] >= 0x80:
             left -= 1
         while right < len(points) and points[right] >= 0x80:
             right += 1
-        run_ok = (b - a) >= 0.6 * (right - left)
-        if not run_ok:
-            covered = sum(int(x) for x in length[left:right])
-            run_ok = covered >= 0.6 * (right - left)
-        lonely = len(new) == 1 and a and text[a - 1].isalpha() and ord(text[a - 1]) >= 0x80 and a == left + 1
-        if new and len(new.encode()) == len(raw) and run_ok and not lonely and _PLAUSIBLE.fullmatch(new) and _reads(text, a, b, new, codec):
-            out.append(text[done:a] + new)
-            done = b
-            spans += b - a
-    return ("".join(out) + text[done:], spans) if spans else (text, 0)
+        if (b - a) < 0.6 * (right - left) and sum(int(x) for x in length[left:right]) < 0.6 * (right - left):
+            continue
+        if len(new) == 1 and a and text[a - 1].isalpha() and ord(text[a - 1]) >= 0x80 and a == left + 1:
+            continue
+        (found if _plausible(new, text[a:b], codec, a == left and b == right) and _reads(text, a, b, new, codec) else doubtful).append((a, b, new))
+    # short spans of a script that longer ones of this text are in
+    sure = {x for _, _, new in found for c in new if (x := _script(c)) and (x not in ("LATIN", "CYRILLIC", "GREEK", "HAN") or "\u1e00" <= c <= "\u1eff")}
+    if sure:
+        found = sorted(found + [x for x in doubtful if {_script(c) for c in x[2]} - {""} <= sure])
+    out, done = [], 0
+    for a, b, new in found:
+        out.append(text[done:a] + new)
+        done = b
+    return "".join(out) + text[done:], sum(b - a for a, b, _ in found)
+
+
+@lru_cache(1 << 12)
+def _script(c: str) -> str:
+    """The script of a letter by its name; empty for marks, digits and signs, ``?`` for what is no character of text."""
+    category = unicodedata.category(c)
+    if category in ("Cn", "Co", "Cs", "Cc"):
+        return "?"
+    name = unicodedata.name(c, "")
+    return "" if category[0] != "L" else "HAN" if name.startswith(("CJK", "HIRAGANA", "KATAKANA", "FULLWIDTH", "HALFWIDTH", "KATAKANA-HIRAGANA")) else name.split(" ")[0].split("-")[0]
+
+
+def _plausible(new: str, old: str, codec: str, whole: bool) -> bool:
+    """Whether what well-formed bytes give is text: usual signs, or any script where the span is too long for chance and a ``whole`` run outside ASCII."""
+    if _PLAUSIBLE.fullmatch(new):
+        return True
+    if not whole:
+        return False
+    scripts = {_script(c) for c in new}
+    if "?" in scripts or len(scripts - {"", "LATIN"}) > 1:
+        return False
+    if codec in CYRILLIC_LETTERS and scripts != {"LATIN"}:
+        # bytes of usual Russian letters may be well-formed by chance
+        return len(new) >= 4 or len(new) == 3 and bool(re.search("[^\u0410-\u044f]", old))
+    return len(new) >= 3 or len(old) >= 3 * len(new)
 
 
 def _reads(text: str, a: int, b: int, new: str, codec: str) -> bool:
@@ -156,9 +209,7 @@ def _decode_gbk(text: str) -> tuple[str, int]:
         except UnicodeEncodeError:
             raw = m.group().encode("gb18030", "ignore")
         data = np.frombuffer(raw, np.uint8)
-        classes = np.zeros(256, np.uint8)
-        classes[0x80:0xC0], classes[0xC2:0xE0], classes[0xE0:0xF0], classes[0xF0:0xF5] = CONT, LEAD2, LEAD3, LEAD4
-        length = sequences(classes[data])
+        length = sequences(byte_classes()[data])
         high = int((data >= 0x80).sum())
         covered = int(length.sum())
         if not covered or covered < 0.75 * high:
@@ -342,7 +393,9 @@ def repair(text: str) -> tuple[str, bool]:
         return text, False
     before = text
     damaged = "�" in text or any("\x80" <= c <= "\x9f" and c != "\x85" for c in text)
-    for _ in range(4):
+    seen = set()
+    while text not in seen:
+        seen.add(text)
         best, spans = text, 0
         for codec in SINGLE:
             new, n = decode_spans(text, codec)
@@ -352,7 +405,7 @@ def repair(text: str) -> tuple[str, bool]:
             best, spans = _decode_gbk(text)
         if not spans:
             best, spans = _decode_legacy(text)
-        if not spans or best == text:
+        if not spans:
             break
         text = best
     return text, damaged or text != before
@@ -415,41 +468,38 @@ def screen(array: pa.Array) -> np.ndarray:
         capitals, small_ones = row_counts(s["kinds"][points] == 2, offsets), row_counts(s["kinds"][points] == 1, offsets)
         marked |= (capitals >= 6) & (capitals > 0.3 * small_ones)
         marked |= (capitals + small_ones > 0) & (row_counts(s["boxes"][points], offsets) > 0)
-    # a single ideograph in Latin text
+    # ideographs among more Latin letters
     if n:
         h = row_counts(s["han"][points], offsets)
-        marked |= (h > 0) & (h <= 12)
+        marked |= (h > 0) & (h < row_counts(s["latin"][points], offsets))
     return marked
 
 
-REPAIRED = "book_id string, id string, text string, title string, affected boolean, restored boolean"
+REPAIRED = "book_id string, id string, text string, title string, affected boolean, title_affected boolean, restored boolean"
 
 
 def repair_segments(segments: DataFrame, only_affected: bool = False) -> DataFrame:
     """Restore ``text`` and ``title`` of segments decoded with the wrong encoding.
 
     Needs ``book_id, id, text, title``; other columns are ignored. ``affected``
-    is about ``text``; ``restored`` says whether the result differs and holds no
-    replacement character. Null stays null and is no case; empty text and plain
-    ASCII are no cases and, with ``only_affected``, never leave the JVM. A row
-    delivered twice gives equal rows. There is no shuffle.
+    is about ``text``, ``title_affected`` about ``title``; ``restored`` says
+    whether the text differs now and holds no replacement character. Null stays
+    null and is no case; empty text and plain ASCII are no cases. With
+    ``only_affected`` rows of which neither is affected are left out, and plain
+    ones never leave the JVM. A row delivered twice gives equal rows. There is
+    no shuffle.
     """
     rows = segments.select(F.col("book_id").cast("string"), F.col("id").cast("string"), F.col("text").cast("string"), F.col("title").cast("string"))
     if only_affected:
-        rows = rows.where(F.col("text").isNotNull() & (F.octet_length("text") > F.char_length("text")))
+        wide = [F.coalesce(F.octet_length(c) > F.char_length(c), F.lit(False)) for c in ("text", "title")]
+        rows = rows.where(wide[0] | wide[1])
 
     def run(batch: pa.RecordBatch) -> dict:
         text, affected = repair_array(batch.column("text"))
-        columns = {"book_id": batch.column("book_id"), "id": batch.column("id"), "text": text, "title": batch.column("title"), "affected": pa.array(affected)}
-        if only_affected:
-            keep = pa.array(affected)
-            columns = {k: v.filter(keep) for k, v in columns.items()}
-            source = batch.column("text").filter(keep)
-        else:
-            source = batch.column("text")
-        columns["title"], _ = repair_array(columns["title"])
-        columns["restored"] = pa.array([a is not None and a != b and "�" not in a for a, b in zip(columns["text"].to_pylist(), source.to_pylist(), strict=True)], pa.bool_()) if only_affected else _differs(columns["text"], source)
-        return columns
+        title, title_affected = repair_array(batch.column("title"))
+        columns = {"book_id": batch.column("book_id"), "id": batch.column("id"), "text": text, "title": title, "affected": pa.array(affected), "title_affected": pa.array(title_affected), "restored": _differs(text, batch.column("text"))}
+        keep = pa.array(affected | title_affected)
+        return {k: v.filter(keep) for k, v in columns.items()} if only_affected else columns
 
     return map_batches(rows, ["book_id", "id", "text", "title"], run, REPAIRED)
 

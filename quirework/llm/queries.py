@@ -31,7 +31,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.repair_segments(table(spark, sf_dir, "segments"), only_affected=True).select("book_id", "id").distinct()
+    return encoding.repair_segments(table(spark, sf_dir, "segments"), only_affected=True).where("affected").select("book_id", "id").distinct()
 
 
 @_query

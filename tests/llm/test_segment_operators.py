@@ -1,11 +1,16 @@
 """Operators on segments.text: scanned pages, encodings, splitting, look-alikes, markup."""
 
 import random
+import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quirework.llm import encoding, lookalike, markup, scanned, splitting
+from quirework.llm.arrow import code_points, strings
 
 SEGMENT = "book_id string, id string, ord int, kind string, text string, heading_level int, title string"
 #: Every operator must ignore columns it does not know, whatever their names.
@@ -345,3 +350,56 @@ def test_misreadings_share_a_key(right, wrong):
 def test_misread_numbers():
     assert all(map(scanned.is_misread_number, ("l966", "I98O", "7O6")))
     assert not any(map(scanned.is_misread_number, ("1990s", "v2", "2nd", "1966", "mill")))
+
+
+def _composed(texts):
+    points, offsets = code_points(pa.array(texts, pa.string()))
+    points, offsets, counts = lookalike._compose(points, offsets, lookalike.tables())
+    return strings(points, offsets).to_pylist(), counts.tolist()
+
+
+def test_every_assigned_character_is_composed_as_the_standard_does():
+    every = [chr(p) for p in range(0x20, 0x32000) if not 0xD800 <= p < 0xE000 and unicodedata.category(chr(p)) != "Cn"]
+    apart = [unicodedata.normalize("NFD", c) for c in every]
+    assert _composed(apart)[0] == [unicodedata.normalize("NFC", c) for c in apart]
+
+
+@given(st.lists(st.text(st.sampled_from("sSae\u00e1\u1e61\u304b\u304c\u3099\u1112\u1161\u11ab\ud55c\u0338\u0327\u0323\u0307\u0301\u0308\u0958\u0623"), max_size=9), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_marks_in_any_order_are_composed_as_the_standard_does(texts):
+    assert _composed(texts)[0] == [unicodedata.normalize("NFC", x) for x in texts]
+
+
+def test_equal_looking_marks_come_to_one_form():
+    texts = ["s\u0307\u0323", "s\u0323\u0307", "\u1e61\u0323", "\u304b\u3099", "\u1112\u1161\u11ab", "plain"]
+    new, found = lookalike.normalise(pa.array(texts))
+    assert new.to_pylist() == ["\u1e69"] * 3 + ["\u304c", "\ud55c", "plain"] and (found > 0).tolist() == [True] * 5 + [False]
+
+
+SCRIPTS = {
+    "ru": "Привет, это русский текст", "ja": "日本語の文章です", "ko": "안녕하세요 한국어 문장입니다", "he": "שלום עולם זה טקסט", "ar": "مرحبا بالعالم هذا نص", "th": "สวัสดีชาวโลก",
+    "vi": "Tiếng Việt là ngôn ngữ của người Việt", "hi": "नमस्ते दुनिया",
+}
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1", "cp1251", "cp437", "koi8_r", "mac_roman"])
+@pytest.mark.parametrize("language", SCRIPTS)
+def test_any_script_is_restored_and_left_alone(language, codec):
+    text = SCRIPTS[language]
+    garbled = "".join(bytes([b]).decode(codec, "ignore") or chr(b) for b in text.encode())
+    assert encoding.repair(garbled) == (text, True)
+    assert encoding.repair(text) == (text, False)
+
+
+@pytest.mark.parametrize("bad", [b"\xc0\xaf", b"\xe0\x80\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xf0\x80\x80\xaf", b"\xe3\x81"])
+def test_the_automaton_takes_well_formed_sequences_only(bad):
+    classes = encoding.byte_classes()
+    assert not encoding.sequences(classes[np.frombuffer(bad, np.uint8)]).any()
+    mixed = np.frombuffer(bad + "é漢".encode(), np.uint8)
+    assert encoding.sequences(classes[mixed])[len(bad) :].tolist() == [2, 0, 3, 0, 0]
+
+
+def test_a_garbled_title_alone_is_repaired_too(spark):
+    rows = [("b", "1", "plain", "CafÃ©"), ("b", "2", "plain", "plain"), ("b", "3", "CafÃ©", None), ("b", "4", None, None)]
+    got = {r.id: r for r in encoding.repair_segments(spark.createDataFrame(rows, "book_id string, id string, text string, title string"), only_affected=True).collect()}
+    assert sorted(got) == ["1", "3"] and got["1"].title == "Café" and not got["1"].affected and got["1"].title_affected and got["3"].affected
