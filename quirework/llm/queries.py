@@ -41,7 +41,7 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = splitting.split_oversized(table(spark, sf_dir, "segments"))
+    pieces = splitting.split_oversized(table(spark, sf_dir, "segments"), once=False)
     return pieces.where(F.col("n_pieces") > 1).select("book_id", "id").distinct()
 
 
