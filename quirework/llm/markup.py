@@ -14,6 +14,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from html.entities import html5
 from typing import NamedTuple
 
@@ -49,7 +51,7 @@ _ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(\bhidden
 
 # LaTeX commands known by name even without an argument.
 LATEX_BARE = "item ldots dots textbackslash LaTeX TeX par noindent newline linebreak maketitle tableofcontents hline centering quad qquad bigskip medskip smallskip clearpage newpage"
-_MATH = re.compile(r"\$\$.+?\$\$|\$(?!\s*\d[\d.,]*\s+[a-z]{2,})(?:\\.|[^$\n\\]){1,300}\$", re.S)
+_MATH = re.compile(r"\$\$.+?\$\$|\$(?!\s*\d[\d.,]*\s+[a-z]{2,})(?:\\.|[^$\n\\])+\$", re.S)
 
 #: What makes a segment one with markup, by language. Formulas in dollar signs are blanked before.
 DETECT = {
@@ -109,7 +111,7 @@ class _Kept:
         return f"\ue000{len(self.items) - 1}\ue001"
 
     def back(self, text: str) -> str:
-        for _ in range(6):
+        while True:
             new = re.sub("\ue000(\\d+)\ue001", lambda m: self.items[int(m.group(1))] if int(m.group(1)) < len(self.items) else "", text)
             if new == text:
                 break
@@ -139,7 +141,7 @@ def _latex(text: str, kept: _Kept) -> str:
     text = re.sub(r"\s*\\item\b(?:\[([^\]]*)\])?\s*", lambda m: "<li>" + (f"{m.group(1)}: " if m.group(1) else ""), text)
     text = re.sub(r"(?<![A-Za-z0-9:\\])\\(?:ldots|dots)(?:\{\})?", "…", text)
     levels = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
-    for _ in range(4):
+    while True:  # the innermost braces first, until none are left
         text = re.sub(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}", lambda m: f"<h{levels[m.group(1)]}>{m.group(2)}</h{levels[m.group(1)]}>", text)
         text = re.sub(r"~?\\(?:label|cite[pt]?|citep|index|vspace|hspace|includegraphics|usepackage|bibliography\w*|pagestyle)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "", text)
         text = re.sub(r"\\(?:ref|eqref|pageref|autoref)\{([^{}]*)\}", r"\1", text)
@@ -167,8 +169,8 @@ def _wiki(text: str, kept: _Kept) -> str:
     text = re.sub(r"<nowiki>(.*?)</nowiki>", lambda m: kept.put(html.escape(m.group(1), quote=False)), text, flags=re.S)
     text = re.sub(r"<ref[^<>/]*>(.*?)</ref>", r" (\1)", text, flags=re.S)
     text = re.sub(r"<ref[^<>]*/>", "", text)
-    for _ in range(3):
-        text = re.sub(r"\{\{([^{}\n]+)\}\}", lambda m: _template(m.group(1)), text)
+    while (new := re.sub(r"\{\{([^{}\n]+)\}\}", lambda m: _template(m.group(1)), text)) != text:
+        text = new
     text = re.sub(r"\[\[(?:[Ff]ile|[Ii]mage):[^\[\]\n]*?(?:\|([^\[\]|\n]*))?\]\]", lambda m: m.group(1) or "", text)
     text = re.sub(r"\[\[[Cc]ategory:[^\[\]\n]*\]\]", "", text)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", r"\1", text)
@@ -213,7 +215,7 @@ def _inline(text: str) -> str:
 
 
 def _markdown(text: str, kept: _Kept, lists: bool) -> str:
-    text = re.sub(r"^(```|~~~)(\w*)[^\n]*\n(.*?)^\1[ \t]*$", lambda m: _code(kept, m.group(3), True, m.group(2)), text, flags=re.S | re.M)
+    text = re.sub(r"^(```|~~~)(\w*)[^\n]*\n(.*?)(?:^\1[ \t]*$|\Z)", lambda m: _code(kept, m.group(3), True, m.group(2)), text, flags=re.S | re.M)
     text = re.sub(r"(?<!`)`(?!`)([^`\n]+)`(?!`)", lambda m: _code(kept, m.group(1), False), text)
     text = re.sub(r"^([^\n]*\w[^\n]*)\n(={3,}|-{3,})[ \t]*$", lambda m: f"<h{1 if m.group(2)[0] == '=' else 2}>{m.group(1).strip()}</h{1 if m.group(2)[0] == '=' else 2}>", text, flags=re.M)
     text = re.sub(r"^(#{1,6})[ \t]+([^\n]*?)[ \t]*#*$", lambda m: f"<h{len(m.group(1))}>{m.group(2)}</h{len(m.group(1))}>", text, flags=re.M) if not lists else text
@@ -255,17 +257,24 @@ def build(source: str) -> Node:
     """The tree of ``source``: missing end tags are implied, stray ones ignored."""
     root = Node("body")
     stack = [root]
+    open_: Counter[str] = Counter()
+
+    def drop(i: int) -> None:
+        open_.subtract(n.name for n in stack[i:])
+        del stack[i:]
 
     def text(value: str) -> None:
         if value:
             stack[-1].children.append(html.unescape(value) if "&" in value else value)
 
     def close(names: set[str], scope: set[str]) -> None:
+        if not any(open_[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in scope:
                 return
             if stack[i].name in names:
-                del stack[i:]
+                drop(i)
 
     at = 0
     for m in _ALL.finditer(source):
@@ -275,9 +284,9 @@ def build(source: str) -> Node:
             continue
         name = m.group(2).lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[name] else ():
                 if stack[i].name == name:
-                    del stack[i:]
+                    drop(i)
                     break
                 if stack[i].name in ("td", "th", "table") and name not in ("tr", "table", "tbody", "thead", "tfoot"):
                     break
@@ -285,12 +294,13 @@ def build(source: str) -> Node:
         if name in IMPLIED:
             close(IMPLIED[name], SCOPE.get(name, set()))
         elif name in ENDS_PARAGRAPH and stack[-1].name == "p":
-            stack.pop()
+            drop(len(stack) - 1)
         attrs = {(a or c).lower(): b.strip("\"'") for a, b, c in _ATTRIBUTE.findall(m.group(3) or "")}
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name not in VOID and not m.group(4):
             stack.append(node)
+            open_[name] += 1
     text(source[at:])
     return root
 
@@ -307,6 +317,19 @@ def _wide(text: str) -> int:
 # --- layout ---------------------------------------------------------------------
 
 
+def _run(job: Iterator) -> object:
+    """Run a generator that yields the generators it waits for; trees may be of any depth."""
+    jobs, value = [job], None
+    while jobs:
+        try:
+            jobs.append(jobs[-1].send(value))
+            value = None
+        except StopIteration as end:
+            jobs.pop()
+            value = end.value
+    return value
+
+
 def render(root: Node) -> str:
     """Visible text, blocks on lines of their own."""
     lines: list[str] = []
@@ -323,21 +346,42 @@ def render(root: Node) -> str:
         if gap and lines and lines[-1].strip():
             lines.append("")
 
-    def inline(node: Node) -> str:
-        keep, out = list(buffer), ""
-        buffer.clear()
+    def inside(node: Node) -> Iterator:
         for child in node.children:
-            walk(child)
+            if isinstance(child, str):
+                buffer.append(child)
+            elif _visible(child):
+                yield walk(child)
+
+    def inline(node: Node) -> Iterator:
+        keep = list(buffer)
+        buffer.clear()
+        yield inside(node)
         out = re.sub(r"\s+", " ", "".join(buffer)).strip()
         buffer[:] = keep
         return out
 
-    def walk(node: Node | str, order: list[int] | None = None) -> None:
-        if isinstance(node, str):
-            buffer.append(node)
-            return
-        if not _visible(node):
-            return
+    def items(node: Node) -> Iterator:
+        number = 0
+        for child in node.children:
+            if isinstance(child, Node) and child.name == "li" and _visible(child):
+                flush()
+                number += 1
+                mark = f"{number}. " if node.name == "ol" else "- "
+                start = len(lines)
+                prefix.append(prefix[-1] + " " * len(mark))
+                yield inside(child)
+                flush()
+                own = prefix.pop()
+                if len(lines) > start:
+                    lines[start] = prefix[-1] + mark + lines[start][len(own) :]
+            elif isinstance(child, str):
+                if child.strip():
+                    buffer.append(child)
+            elif _visible(child):
+                yield walk(child)
+
+    def walk(node: Node) -> Iterator:
         name = node.name
         if name == "br":
             buffer.append("\n")
@@ -347,13 +391,10 @@ def render(root: Node) -> str:
         elif name == "img":
             if node.attrs.get("alt"):
                 buffer.append(f" {html.unescape(node.attrs['alt'])} ")
-        elif name == "wbr":
-            pass
         elif name == "pre":
             flush()
-            code = _raw(node).strip("\n")
             lines.append(f"{prefix[-1]}```{node.attrs.get('lang', '')}")
-            lines.extend(prefix[-1] + x for x in code.split("\n"))
+            lines.extend(prefix[-1] + x for x in _raw(node).strip("\n").split("\n"))
             lines.append(f"{prefix[-1]}```")
         elif name in ("code", "kbd", "samp", "tt"):
             buffer.append(f"`{_raw(node)}`")
@@ -362,57 +403,35 @@ def render(root: Node) -> str:
         elif name == "formula":
             flush()
             lines.append(f"{prefix[-1]}$${_raw(node)}$$")
-        elif name == "sup":
-            value = inline(node)
-            buffer.append(f"^{value}" if value else "")
-        elif name == "sub":
-            value = inline(node)
-            buffer.append(f"_{value}" if value else "")
+        elif name in ("sup", "sub"):
+            value = yield inline(node)
+            buffer.append(("^" if name == "sup" else "_") + value if value else "")
         elif name[0] == "h" and name[1:].isdigit():
             flush(True)
-            lines.append("#" * int(name[1:]) + " " + inline(node))
-            lines.append("")
+            title = yield inline(node)
+            lines.extend(("#" * int(name[1:]) + " " + title, ""))
         elif name in ("ul", "ol"):
             flush()
-            number = [0] if name == "ol" else None
-            for child in node.children:
-                if isinstance(child, Node) and child.name == "li" and _visible(child):
-                    flush()
-                    if number is not None:
-                        number[0] += 1
-                    mark = f"{number[0]}. " if number is not None else "- "
-                    start = len(lines)
-                    prefix.append(prefix[-1] + " " * len(mark))
-                    for c in child.children:
-                        walk(c)
-                    flush()
-                    own = prefix.pop()
-                    if len(lines) > start:
-                        lines[start] = prefix[-1] + mark + lines[start][len(own) :]
-                elif not (isinstance(child, str) and not child.strip()):
-                    walk(child)
+            yield items(node)
             flush()
         elif name == "table":
             flush()
-            lines.extend(prefix[-1] + row for row in _table(node, inline))
+            rows = yield _table(node, inline)
+            lines.extend(prefix[-1] + row for row in rows)
         elif name == "blockquote":
             flush()
             prefix.append(prefix[-1] + "> ")
-            for c in node.children:
-                walk(c)
+            yield inside(node)
             flush()
             prefix.pop()
         elif name in BLOCKS:
             flush()
-            for c in node.children:
-                walk(c)
+            yield inside(node)
             flush(name in ("p", "section", "article"))
-        else:
-            for c in node.children:
-                walk(c)
+        elif name != "wbr":
+            yield inside(node)
 
-    for child in root.children:
-        walk(child)
+    _run(inside(root))
     flush()
     while lines and not lines[-1].strip():
         lines.pop()
@@ -422,34 +441,55 @@ def render(root: Node) -> str:
 
 
 def _raw(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else _raw(c) for c in node.children)
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.name == "br":
+            out.append("\n")
+        else:
+            todo.extend(reversed(c.children))
+    return "".join(out)
+
+
+def _span(cell: Node, name: str) -> int:
+    value = cell.attrs.get(name, "1")
+    return min(int(value), 1000) if value.isdigit() and len(value) < 10 and int(value) else 1
 
 
-def _table(node: Node, inline) -> list[str]:
+def _table(node: Node, inline) -> Iterator:
+    """Lines of a table; a cell that spans columns or rows leaves the others it covers empty."""
     rows: list[list[str]] = []
     header = False
-
-    def visit(n: Node) -> None:
-        nonlocal header
-        for c in n.children:
-            if not isinstance(c, Node) or not _visible(c):
-                continue
-            if c.name == "tr":
-                cells = [x for x in c.children if isinstance(x, Node) and x.name in ("td", "th")]
-                if not rows and cells and all(x.name == "th" for x in cells):
-                    header = True
-                row = []
-                for x in cells:
-                    row.append(inline(x).replace("|", "\\|"))
-                    span = x.attrs.get("colspan", "1")
-                    row += [""] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
-                rows.append(row)
-            elif c.name == "caption":
-                rows.append([inline(c)])
-            elif c.name != "table":
-                visit(c)
-
-    visit(node)
+    covered: dict[int, int] = {}  # column -> rows that a cell above still covers
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if not isinstance(c, Node) or not _visible(c):
+            continue
+        if c.name == "tr":
+            cells = [x for x in c.children if isinstance(x, Node) and x.name in ("td", "th")]
+            if not rows and cells and all(x.name == "th" for x in cells):
+                header = True
+            row: list[str] = []
+            below = {k: n - 1 for k, n in covered.items() if n > 1}
+            for x in cells:
+                while covered.get(len(row)):
+                    row.append("")
+                value = yield inline(x)
+                for k in range(_span(x, "colspan")):
+                    if _span(x, "rowspan") > 1:
+                        below[len(row)] = _span(x, "rowspan") - 1
+                    row.append("" if k else value.replace("|", "\\|"))
+            while covered.get(len(row)):
+                row.append("")
+            covered = below
+            rows.append(row)
+        elif c.name == "caption":
+            rows.append([(yield inline(c))])
+        elif c.name != "table":
+            todo.extend(reversed(c.children))
     rows = [r for r in rows if r]
     if not rows:
         return []
@@ -468,9 +508,13 @@ class Cleaned(NamedTuple):
 
 
 def clean(text: str, kind: str | None) -> Cleaned:
-    """Clean text of one segment, and the markup languages found in it; a text without markup is returned as it is."""
-    found = languages(text, kind)
-    if not found:
+    """Clean text of one segment, and the markup languages found in it; a text without markup is returned as it is.
+
+    ``languages`` only says what a text may hold; it counts as found if its
+    constructs become elements of the tree.
+    """
+    maybe = languages(text, kind)
+    if not maybe:
         return Cleaned(text, [])
     mark = ""
     body = text
@@ -478,20 +522,37 @@ def clean(text: str, kind: str | None) -> Cleaned:
         mark, body = m.group(), body[m.end() :]
     kept = _Kept()
     body = body.replace("\ue000", "").replace("\ue001", "")
-    body = re.sub(r"<pre[^<>]*>(.*?)</pre>", lambda m: kept.put("<pre>" + html.escape(html.unescape(re.sub(r"</?[a-z]+[^<>]*>", "", m.group(1))), quote=False) + "</pre>"), body, flags=re.S | re.I)
-    body = re.sub(r"<(code|kbd|samp|tt)(?:\s[^<>]*)?>(.*?)</\1>", lambda m: kept.put(f"<code>{html.escape(html.unescape(m.group(2)), quote=False)}</code>"), body, flags=re.S | re.I)
+    found: list[str] = []
+
+    def step(language: str, new: str) -> str:
+        if new != body and language not in found:
+            found.append(language)
+        return new
+
+    body = step("html", re.sub(r"<pre[^<>]*>(.*?)</pre>", lambda m: kept.put("<pre>" + html.escape(html.unescape(re.sub(r"</?[a-z]+[^<>]*>", "", m.group(1))), quote=False) + "</pre>"), body, flags=re.S | re.I))
+    body = step("html", re.sub(r"<(code|kbd|samp|tt)(?:\s[^<>]*)?>(.*?)</\1>", lambda m: kept.put(f"<code>{html.escape(html.unescape(m.group(2)), quote=False)}</code>"), body, flags=re.S | re.I))
     body = _MATH.sub(lambda m: kept.put(f"<formula>{html.escape(m.group()[2:-2].strip(), quote=False)}</formula>" if m.group().startswith("$$") else html.escape(m.group(), quote=False)), body)
-    if "latex" in found:
-        body = _latex(body, kept)
-    if "wiki" in found:
-        body = _wiki(body, kept)
-    if "markdown" in found or "wiki" in found:
+    if "html" in maybe and "html" not in found:
+        children = build(body).children
+        if len(children) != 1 or children[0] != body:
+            found.append("html")
+    if "latex" in maybe:
+        body = step("latex", _latex(body, kept))
+    if "wiki" in maybe:
+        body = step("wiki", _wiki(body, kept))
+    if "markdown" in maybe or "wiki" in maybe:
+        language = "markdown" if "markdown" in maybe else "wiki"
         if kind == "list":
-            body = "\n".join(_line_in_list(x, kept) for x in body.split("\n"))
+            body = step(language, "\n".join(_line_in_list(x, kept) for x in body.split("\n")))
         elif kind == "table":
-            body = _inline(body)
+            body = step(language, _inline(body))
         else:
-            body = _markdown(body, kept, "wiki" in found and bool(re.search(r"(?m)^(?:[*#]{2,}|\*[ \t])", body)))
+            if "markdown" in maybe and _LIST_LINES.search(body):
+                found.append(language)  # a list of its own stays as it is written
+            body = step(language, _markdown(body, kept, "wiki" in maybe and bool(re.search(r"(?m)^(?:[*#]{2,}|\*[ \t])", body))))
+    if not found:
+        return Cleaned(text, [])
+    found = [x for x in ("html", "wiki", "markdown", "latex") if x in found]
     if kind == "list":
         return Cleaned("\n".join(_keep_indent(x, kept) for x in body.split("\n")), found)
     return Cleaned(mark + render(build(kept.back(body))), found)
