@@ -13,23 +13,27 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
+from bisect import bisect_left
 from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm.arrow import map_batches
 
-DEFAULT_KEY = "quirework"
-
-#: Given names known beforehand; more are learnt from the addresses of the corpus, see ``learn_given_names``.
+# Common given names of many countries. The corpus's own are learnt, see ``learnt_names``.
 GIVEN_NAMES = (
-    "Alena Anselm Bettany Bram Caspar Corwin Darian Desna Emeric Fenna Ferelith Gudrun Halina Hugo Ingrun Isolde Jasper Jorik Kasimir Kerensa Leopold "
-    "Lidka Linnea Maren Marta Mirela Neva Nikola Oskar Ottilie Pavel Quentin Runa Selma Teodor Tobin Yelka"
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Michelle Laura Rebecca Helen Anna Emma Julia Alice Jane Katherine "
+    "Hans Karl Heinrich Wolfgang Jürgen Klaus Günther Stefan Andreas Ursula Ingrid Sabine Monika Claudia Jean Pierre François Jacques Philippe Nicolas Isabelle Sophie Camille "
+    "José Juan Carlos Luis Miguel Antonio Francisco Manuel Pedro María Carmen Ana Lucía Giovanni Giuseppe Marco Paolo Giulia Francesca João Paulo Ivan Dmitri Sergei Olga Natalia Tatiana Svetlana "
+    "Wei Ming Hiroshi Kenji Yuki Haruto Sakura Min-jun Ji-woo Mohammed Muhammad Ahmed Ali Omar Hassan Fatima Aisha Layla Yusuf Ibrahim Raj Amit Sanjay Priya Anjali Deepak Sunita Kofi Amara Chidi "
+    "Lars Erik Anders Björn Astrid Ingeborg Sven Piotr Krzysztof Agnieszka Katarzyna Dimitris Eleni Mehmet Ayşe Nguyen Thanh"
 ).split()
-#: A name learnt from addresses alone needs so many different surnames; more names than these aren't sent out whole, but joined.
+#: A name learnt from addresses or titles alone needs so many different surnames; more names than these aren't sent out whole, but joined.
 LEAST_SURNAMES, MOST_NAMES = 3, 20_000
 
 
@@ -57,12 +61,16 @@ _PHONES = re.compile(
     re.A,
 )
 _IDS = re.compile(r"\d{3}([ -])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{17}[\dXx]", re.A)
-_LETTER_IDS = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{8}|\d{8}-?[A-HJ-NP-TV-Z])(?![A-Za-z0-9-])", re.A)
+_LETTER_IDS = re.compile(r"[A-Z0-9](?:(?<=[A-Z])(?:[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8})|(?<=\d)\d{7}-?[A-HJ-NP-TV-Z])(?![A-Za-z0-9-])", re.A)
+
+#: Numbers whose check digits must be right: payment cards and international account numbers.
+_CARD = re.compile(r"(?:4\d{3}|5[1-5]\d\d|2[2-7]\d\d|6011|65\d\d)(?:([ -]?)\d{4})(?:\1\d{4}){2}|3[47]\d\d([ -]?)\d{6}\2\d{5}", re.A)
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)
 
 _STREET = "Rd|Road|St|Street|Lane|Ln|Ave|Avenue|Terrace|Close|Drive|Court|Crescent|Square|Row|Walk|Way|Hill|Place"
 _ADDRESS_EN = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{{1,4}}[A-Za-z]?,\s*)?\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’]+ ){{1,4}}(?:{_STREET})\b\.?"
-    r"(?:,\s+[A-Z][\w'’]+(?: [A-Z][a-z'’]+)?(?:[ ,]+(?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|\d{5}))?)?"
+    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{{1,4}}[A-Za-z]?,\s*)?\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’]+ ){{1,4}}(?:{_STREET})\b\.?(?: (?:[NS][EW]?|[EW])\b\.?)?"
+    r"(?:,\s+[A-Z][\w'’]+(?: [A-Z][a-z'’]+)?(?:,? [A-Z]{2}(?= \d{5}))?(?:[ ,]+(?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|\d{5}(?:-\d{4})?\b))?)?"
 )
 _ADDRESS_DE = re.compile(r"\b[A-ZÄÖÜ][\wäöüß-]*(?:str\.|stra(?:ß|ss)e|allee|gasse|weg|platz|ufer|damm|ring)\s+\d{1,4} ?[a-z]?\b(?:,\s+\d{5} [A-ZÄÖÜ][\w-]+)?")
 _ADDRESS_FR = re.compile(r"\b\d{1,4}(?: (?:bis|ter|quater))?,? (?:rue|quai|impasse|avenue|boulevard|place|allée|chemin|cours) [^,;.\n]{3,60}?(?:,\s+\d{5} [A-ZÀ-Þ][\w-]+|(?=[,;.\n]|$))")
@@ -74,6 +82,20 @@ _BEFORE_GIVEN = re.compile(rf"(?<![\w.@-])({_SURNAME}),[ \n]$")
 _MIDDLE = re.compile(r" [A-Z]\.(?=\W|$)")
 _INITIAL = re.compile(rf"[A-Z]\.(?: ?[A-Z]\.)?[ \n]?({_SURNAME})")
 _ANY_INITIAL = re.compile(r"[A-Z]\.[ \n]?(?=[A-ZÀ-Þ])")
+# Titles, labels and closing words that a person's whole name follows.
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Signor|Signora"
+LABELS = "Full name|Name|Signed|Signed by|Contact|Attn|Translator|Author|Nombre|Contacto|Nom|Kontakt|Ansprechpartner|Ansprechpartnerin"
+CLOSINGS = "regards|wishes|sincerely|faithfully|truly|Grüßen|Gruß|Grüße|cordialement|salutations|saludo|saludos|atentamente|saluti"
+#: A given name, a middle initial perhaps, and a surname.
+_WHOLE = r"\p{Lu}\p{Ll}{2,}(?: \p{Lu}\.)? \p{Lu}[\p{L}’'-]+"
+#: What stands before such a name where no list is needed to know it; or an initial in its middle does.
+CUES = rf"(?<![\w.-])(?:{TITLES})\b\.? +(?:Dr\.? |Prof\.? )?|(?<!\w)(?:{LABELS}): *|(?<!\w)(?i:{CLOSINGS}),?[ \t]*\n"
+_CUE_END = re.compile(rf"(?:{CUES})$")
+_PAIR = re.compile(r"[A-ZÀ-ÞĀ-Ž](?=[a-zß-ÿā-ž]{2,}(?: [A-Z]\.)? [A-ZÀ-ÞĀ-Ž])")
+_MID_SENTENCE = re.compile(r"[a-zß-ÿ,;:)] $")
+#: No cue is longer.
+_CUE_CHARS = 40
+_WHOLE_NAME = re.compile(rf"([A-ZÀ-Þ]\w+(?:-[A-ZÀ-Þ]\w+)?)(?: [A-Z]\.)? ({_SURNAME})")
 _NAME_RU = re.compile(r"[А-ЯЁ](?:[а-яё]+|\.) (?:[А-ЯЁ]\. ?)?[А-ЯЁ][а-яё]{2,}(?:-[А-ЯЁ][а-яё]+)?(?![а-яё])")
 _NAME_ZH = re.compile(r"(?:联系人?|译者|作者|编辑|收件人|寄给|姓名[:：]?|签名[:：]?)([一-鿿]{2,4}?)(?=，|。|、|；|的身份证|的电话|先生|女士|住在|电话|\s|$)|(?:^|(?<=[^一-鿿]))([一-鿿]{2,4})(?=住在)")
 #: Words that follow a given name without being a surname, or begin a sentence after an initial.
@@ -139,7 +161,7 @@ def _numbers(text: str, out: list[Mention]) -> None:
         value = text[start:end]
         if before in "(（" and before and ")" not in value and "）" not in value:
             start, value = start + 1, value[1:]
-        if _IDS.fullmatch(value):
+        if _IDS.fullmatch(value) or _CARD.fullmatch(value) and _luhn(value):
             out.append(Mention(start, end, "id"))
             continue
         while " " in value and not _PHONES.fullmatch(value):
@@ -155,7 +177,23 @@ def _numbers(text: str, out: list[Mention]) -> None:
                 continue
             out.append(Mention(start, end, "phone"))
     for m in _LETTER_IDS.finditer(text):
+        if (c := text[m.start() - 1 : m.start()]).isalnum() and c.isascii():
+            continue
         out.append(Mention(m.start(), m.end(), "id"))
+    for m in _IBAN.finditer(text):
+        if not text[m.start() - 1 : m.start()].isalnum() and _mod_97(m.group()) == 1:
+            out.append(Mention(m.start(), m.end(), "id"))
+
+
+def _luhn(value: str) -> bool:
+    digits = [int(c) for c in value if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def _mod_97(value: str) -> int:
+    """The remainder of an account number, its country and check digits put last and letters as numbers; 1 if they are right."""
+    bare = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
 
 
 def _addresses(text: str, han: bool, out: list[Mention]) -> None:
@@ -200,6 +238,14 @@ def _names(text: str, names: tuple[str, ...], own: frozenset[str], han: bool, cy
         if after and _is_surname(_bare(after.group(1))):
             done = after.start(1) + len(_bare(after.group(1)))
             out.append(Mention(start, done, "name"))
+    for m in _PAIR.finditer(text):
+        start = m.start()
+        before = text[max(0, start - _CUE_CHARS) : start]
+        if before and (before[-1].isalnum() or before[-1] in "_.@&+-’'"):
+            continue
+        whole = _WHOLE_NAME.match(text, start)
+        if whole and (_CUE_END.search(before) or whole.start(2) - whole.end(1) > 1 and _MID_SENTENCE.search(before)) and _is_surname(whole.group(1)) and _is_surname(_bare(whole.group(2))):
+            out.append(Mention(start, whole.start(2) + len(_bare(whole.group(2))), "name"))
     taken = {i for mention in out if mention.kind == "name" for i in range(mention.start, mention.end)} if out else set()
     for m in _ANY_INITIAL.finditer(text):
         start = m.start()
@@ -244,11 +290,12 @@ def mentions(text: str, names: tuple[str, ...] = tuple(GIVEN_NAMES), own: frozen
     _numbers(text, out)
     _addresses(text, han, out)
     _names(text, names, own, han, cyrillic, out)
-    kept: list[Mention] = []
+    kept: list[Mention] = []  # in order and apart, so that only the neighbours of a place can overlap
     for m in sorted(out, key=lambda m: (_RANK[m.kind], m.start, -m.end)):
-        if all(m.end <= k.start or k.end <= m.start for k in kept):
-            kept.append(m)
-    return sorted(kept)
+        i = bisect_left(kept, m)
+        if (not i or kept[i - 1].end <= m.start) and (i == len(kept) or m.end <= kept[i].start):
+            kept.insert(i, m)
+    return kept
 
 
 # --- pseudonyms -----------------------------------------------------------------
@@ -352,7 +399,7 @@ def _network(key: str) -> Feistel:
     return Feistel(key)
 
 
-def pseudonym(value: str, kind: str, key: str = DEFAULT_KEY, back: bool = False) -> str:
+def pseudonym(value: str, kind: str, key: str, back: bool = False) -> str:
     """``value`` permuted within its format, or turned ``back``."""
     f = _network(key)
     if kind == "phone":
@@ -389,7 +436,7 @@ def _identity(value: str, f: Feistel, back: bool) -> str:
     return new + (_check_cn(new) if _check_cn(body) == check else value[17])
 
 
-def redact(text: str, found: list[Mention], key: str = DEFAULT_KEY) -> str:
+def redact(text: str, found: list[Mention], key: str) -> str:
     """``text`` with each mention replaced; all else is unchanged."""
     out, at = [], 0
     for m in found:
@@ -404,24 +451,33 @@ REDACTED = "doc_id bigint, text string, n_mentions int"
 MENTIONS = "doc_id bigint, start_at int, length int, pii_kind string, placeholder string"
 
 
-def learnt_names(documents: DataFrame, least: int = LEAST_SURNAMES) -> DataFrame:
-    """``given``: given names from the corpus's own mail addresses of the form given.surname@, each once and all of them.
+def session_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms, from ``spark.quirework.pii.key``; without it a new one that nobody knows."""
+    return spark.conf.get("spark.quirework.pii.key", None) or secrets.token_hex(32)
+
 
-    One address is enough where its document also writes that name and surname
-    next to one another, in either order, so what is found in a document by its
-    own address doesn't depend on the size of the corpus. A name without that
-    needs ``least`` different surnames.
+def learnt_names(documents: DataFrame, least: int = LEAST_SURNAMES) -> DataFrame:
+    """``given``: given names the corpus itself tells, each once and all of them.
+
+    Evidence are mail addresses of the form given.surname@, names after a title,
+    a label or the closing words of a letter, and names with an initial in their
+    middle. One address is enough where its document also writes that name and
+    surname next to one another, in either order, so what is found in a document
+    by its own address doesn't depend on the size of the corpus. A name without
+    that needs ``least`` different surnames, counted exactly.
     """
-    local = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)(?<![\w.+-])([a-z]{3,}[._][a-z]{3,})@"), F.lit(1))))
-    parts = documents.where(F.col("text").contains("@")).select("text", local.alias("local")).withColumn("p", F.split("local", "[._]"))
-    given, surname = F.initcap(F.col("p")[0]), F.initcap(F.col("p")[1])
+    local = F.regexp_extract_all("text", F.lit(r"(?i)(?<![\w.+-])([a-z]{3,}[._][a-z]{3,})@"), F.lit(1))
+    titled = F.regexp_extract_all("text", F.lit(rf"(?U)(?:{CUES}|(?<=[\p{{Ll}},;:)] )(?=\S+ \p{{Lu}}\.))({_WHOLE})"), F.lit(1))
+    evidence = F.concat(F.transform(F.array_distinct(local), lambda x: F.struct(x.alias("local"), F.lit(False).alias("titled"))), F.transform(F.array_distinct(titled), lambda x: F.struct(x.alias("local"), F.lit(True).alias("titled"))))
+    parts = documents.where(F.col("text").isNotNull()).select("text", F.explode(evidence).alias("e")).select("text", "e.local", "e.titled").withColumn("p", F.split("local", "[._ ]+"))
+    given, surname = F.initcap(F.col("p")[0]), F.initcap(F.element_at("p", -1))
     places = [F.concat(*x) for g, s in ((given, surname), (F.upper(given), F.upper(surname))) for x in ((g, F.lit(" "), s), (s, F.lit(", "), g))]
     written = F.lit(False)
     for place in places:
         written = written | F.col("text").contains(place)
     usual = F.col("given").isin(*_NO_SURNAME) | F.col("surname").isin(*_NO_SURNAME)
-    rows = parts.select(given.alias("given"), surname.alias("surname"), written.alias("written"), (F.col("local") == F.lower("local")).alias("small"))
-    rows = rows.withColumn("written", F.col("written") & ~usual).groupBy("given", "surname").agg(F.max("written").alias("written"), F.max("small").alias("small"))
+    rows = parts.select(given.alias("given"), surname.alias("surname"), (written & ~F.col("titled")).alias("written"), (F.col("titled") | (F.col("local") == F.lower("local"))).alias("small"), "titled")
+    rows = rows.where(~(usual & F.col("titled"))).withColumn("written", F.col("written") & ~usual).groupBy("given", "surname").agg(F.max("written").alias("written"), F.max("small").alias("small"))
     found = rows.groupBy("given").agg(F.max("written").alias("written"), F.sum(F.col("small").cast("int")).alias("n"))
     return found.where(F.col("written") | (F.col("n") >= least)).select("given")
 
@@ -452,7 +508,7 @@ def _with_own(documents: DataFrame, names: tuple[str, ...] | DataFrame) -> tuple
     return rows.join(own, "_key", "left").select("doc_id", "text", F.coalesce("own", F.array().cast("array<string>")).alias("own")), tuple(GIVEN_NAMES)
 
 
-def find_mentions(documents: DataFrame, names: tuple[str, ...] | DataFrame | None = None, key: str = DEFAULT_KEY) -> DataFrame:
+def find_mentions(documents: DataFrame, key: str, names: tuple[str, ...] | DataFrame | None = None) -> DataFrame:
     """One row per mention with its place, kind and placeholder.
 
     Needs ``doc_id, text``; other columns are ignored. Null and empty texts give
@@ -475,7 +531,7 @@ def find_mentions(documents: DataFrame, names: tuple[str, ...] | DataFrame | Non
     return map_batches(rows.where(F.length("text") > 0), ["doc_id", "text", "own"], run, MENTIONS)
 
 
-def redact_documents(documents: DataFrame, names: tuple[str, ...] | DataFrame | None = None, key: str = DEFAULT_KEY) -> DataFrame:
+def redact_documents(documents: DataFrame, key: str, names: tuple[str, ...] | DataFrame | None = None) -> DataFrame:
     """Every document with its mentions replaced by typed placeholders.
 
     Null stays null and empty stays empty, each with 0 mentions; other columns

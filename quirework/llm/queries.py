@@ -102,13 +102,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return pii.find_mentions(documents, pii.known_names(documents)).select("doc_id", "start_at", "pii_kind").distinct()
+    return pii.find_mentions(documents, pii.session_key(spark), pii.known_names(documents)).select("doc_id", "start_at", "pii_kind").distinct()
 
 
 @_query
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return pii.redact_documents(documents, pii.known_names(documents)).distinct()
+    return pii.redact_documents(documents, pii.session_key(spark), pii.known_names(documents)).distinct()
 
 
 ORACLES["p3_found"] = "SELECT DISTINCT book_id, id FROM segments WHERE length(text) > 9000"
