@@ -15,6 +15,7 @@ import hashlib
 import re
 import secrets
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -68,12 +69,18 @@ _CARD = re.compile(r"(?:4\d{3}|5[1-5]\d\d|2[2-7]\d\d|6011|65\d\d)(?:([ -]?)\d{4}
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)
 
 _STREET = "Rd|Road|St|Street|Lane|Ln|Ave|Avenue|Terrace|Close|Drive|Court|Crescent|Square|Row|Walk|Way|Hill|Place"
+#: From the house number on; a flat before it is looked for behind.
 _ADDRESS_EN = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{{1,4}}[A-Za-z]?,\s*)?\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’]+ ){{1,4}}(?:{_STREET})\b\.?(?: (?:[NS][EW]?|[EW])\b\.?)?"
+    rf"\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’]+ ){{1,4}}(?:{_STREET})\b\.?(?: (?:[NS][EW]?|[EW])\b\.?)?"
     r"(?:,\s+[A-Z][\w'’]+(?: [A-Z][a-z'’]+)?(?:,? [A-Z]{2}(?= \d{5}))?(?:[ ,]+(?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|\d{5}(?:-\d{4})?\b))?)?"
 )
-_ADDRESS_DE = re.compile(r"\b[A-ZÄÖÜ][\wäöüß-]*(?:str\.|stra(?:ß|ss)e|allee|gasse|weg|platz|ufer|damm|ring)\s+\d{1,4} ?[a-z]?\b(?:,\s+\d{5} [A-ZÄÖÜ][\w-]+)?")
-_ADDRESS_FR = re.compile(r"\b\d{1,4}(?: (?:bis|ter|quater))?,? (?:rue|quai|impasse|avenue|boulevard|place|allée|chemin|cours) [^,;.\n]{3,60}?(?:,\s+\d{5} [A-ZÀ-Þ][\w-]+|(?=[,;.\n]|$))")
+_FLAT_END = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{1,4}[A-Za-z]?,\s*$")
+#: From the end of the street's name on; its beginning is looked for behind.
+_ADDRESS_DE = re.compile(r"(?:str\.|stra(?:ß|ss)e|allee|gasse|weg|platz|ufer|damm|ring)\s+\d{1,4} ?[a-z]?\b(?:,\s+\d{5} [A-ZÄÖÜ][\w-]+)?")
+_STREET_DE_BEGIN = re.compile(r"(?<!\w)[A-ZÄÖÜ][\wäöüß-]*$")
+_FR = "rue|quai|impasse|avenue|boulevard|place|allée|chemin|cours"
+_FR_HINT = re.compile(rf"[\drs],? (?:{_FR}) ")
+_ADDRESS_FR = re.compile(rf"\b\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:{_FR}) [^,;.\n]{{3,60}}?(?:,\s+\d{{5}} [A-ZÀ-Þ][\w-]+|(?=[,;.\n]|$))")
 _ADDRESS_ZH = re.compile(r"(?:[一-鿿]{2,6}?(?:省|自治区))?(?:(?<=[到在至往址：:，。])|(?<![一-鿿]))[一-鿿]{2,6}?(?:市|县)(?:[一-鿿]{1,6}?区)?[一-鿿]{1,8}?(?:路|街|巷|大道|胡同|弄)\d+号(?:\d+(?:栋|幢|号楼))?(?:\d+单元)?(?:\d+室)?")
 
 _SURNAME = r"[A-ZÀ-Þ][\w’']+(?:-[A-ZÀ-Þ][\w’']+)?"
@@ -86,9 +93,7 @@ _ANY_INITIAL = re.compile(r"[A-Z]\.[ \n]?(?=[A-ZÀ-Þ])")
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Signor|Signora"
 LABELS = "Full name|Name|Signed|Signed by|Contact|Attn|Translator|Author|Nombre|Contacto|Nom|Kontakt|Ansprechpartner|Ansprechpartnerin"
 CLOSINGS = "regards|wishes|sincerely|faithfully|truly|Grüßen|Gruß|Grüße|cordialement|salutations|saludo|saludos|atentamente|saluti"
-#: A given name, a middle initial perhaps, and a surname.
-_WHOLE = r"\p{Lu}\p{Ll}{2,}(?: \p{Lu}\.)? \p{Lu}[\p{L}’'-]+"
-#: What stands before such a name where no list is needed to know it; or an initial in its middle does.
+#: What stands before a whole name where no list is needed to know it.
 CUES = rf"(?<![\w.-])(?:{TITLES})\b\.? +(?:Dr\.? |Prof\.? )?|(?<!\w)(?:{LABELS}): *|(?<!\w)(?i:{CLOSINGS}),?[ \t]*\n"
 _CUE_END = re.compile(rf"(?:{CUES})$")
 _PAIR = re.compile(r"[A-ZÀ-ÞĀ-Ž](?=[a-zß-ÿā-ž]{2,}(?: [A-Z]\.)? [A-ZÀ-ÞĀ-Ž])")
@@ -107,7 +112,7 @@ _NO_SURNAME = frozenset(
 )
 
 
-_WORD = re.compile(r"(?<!\w)[A-ZÀ-Þ]\w*")
+_WORD = re.compile(r"[A-ZÀ-Þ]\w*")
 
 
 @lru_cache(8)
@@ -198,13 +203,18 @@ def _mod_97(value: str) -> int:
 
 def _addresses(text: str, han: bool, out: list[Mention]) -> None:
     for m in _ADDRESS_EN.finditer(text):
-        if text[max(0, m.start() - 4) : m.start()] == "The " and re.match(r" [a-z]", text[m.end() : m.end() + 2]):
+        flat = _FLAT_END.search(text, max(0, m.start() - 40), m.start())
+        start = flat.start() if flat else m.start()
+        if text[max(0, start - 4) : start] == "The " and re.match(r" [a-z]", text[m.end() : m.end() + 2]):
             continue  # a house named in a title, not a place of delivery
-        out.append(Mention(m.start(), m.end(), "address"))
+        out.append(Mention(start, m.end(), "address"))
     for m in _ADDRESS_DE.finditer(text):
-        out.append(Mention(m.start(), m.end(), "address"))
-    for m in _ADDRESS_FR.finditer(text):
-        out.append(Mention(m.start(), m.end(), "address"))
+        begin = _STREET_DE_BEGIN.search(text, max(0, m.start() - 60), m.start())
+        if begin:
+            out.append(Mention(begin.start(), m.end(), "address"))
+    if _FR_HINT.search(text):
+        for m in _ADDRESS_FR.finditer(text):
+            out.append(Mention(m.start(), m.end(), "address"))
     if han:
         for m in _ADDRESS_ZH.finditer(text):
             out.append(Mention(m.start(), m.end(), "address"))
@@ -215,6 +225,18 @@ def _is_surname(word: str) -> bool:
     return all(len(p) > 1 and p not in _NO_SURNAME and p.capitalize() not in _NO_SURNAME for p in parts)
 
 
+def _cued(text: str) -> Iterator[tuple[int, re.Match]]:
+    """Whole names that a title, a label, closing words or an initial in their middle give away."""
+    for m in _PAIR.finditer(text):
+        start = m.start()
+        before = text[max(0, start - _CUE_CHARS) : start]
+        if before and (before[-1].isalnum() or before[-1] in "_.@&+-’'"):
+            continue
+        whole = _WHOLE_NAME.match(text, start)
+        if whole and (_CUE_END.search(before) or whole.start(2) - whole.end(1) > 1 and _MID_SENTENCE.search(before)) and _is_surname(whole.group(1)) and _is_surname(_bare(whole.group(2))):
+            yield start, whole
+
+
 def _names(text: str, names: tuple[str, ...], own: frozenset[str], han: bool, cyrillic: bool, out: list[Mention]) -> None:
     done = -1
     for start, end in _given_places(text, names, own):
@@ -238,14 +260,8 @@ def _names(text: str, names: tuple[str, ...], own: frozenset[str], han: bool, cy
         if after and _is_surname(_bare(after.group(1))):
             done = after.start(1) + len(_bare(after.group(1)))
             out.append(Mention(start, done, "name"))
-    for m in _PAIR.finditer(text):
-        start = m.start()
-        before = text[max(0, start - _CUE_CHARS) : start]
-        if before and (before[-1].isalnum() or before[-1] in "_.@&+-’'"):
-            continue
-        whole = _WHOLE_NAME.match(text, start)
-        if whole and (_CUE_END.search(before) or whole.start(2) - whole.end(1) > 1 and _MID_SENTENCE.search(before)) and _is_surname(whole.group(1)) and _is_surname(_bare(whole.group(2))):
-            out.append(Mention(start, whole.start(2) + len(_bare(whole.group(2))), "name"))
+    for start, whole in _cued(text):
+        out.append(Mention(start, whole.start(2) + len(_bare(whole.group(2))), "name"))
     taken = {i for mention in out if mention.kind == "name" for i in range(mention.start, mention.end)} if out else set()
     for m in _ANY_INITIAL.finditer(text):
         start = m.start()
@@ -315,11 +331,12 @@ class Feistel:
     """A keyed permutation of words over an alphabet, by length."""
 
     def __init__(self, key: str) -> None:
-        self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
+        self.keyed = hashlib.blake2b(key=hashlib.blake2b(key.encode(), digest_size=32).digest(), digest_size=16)
 
     def _round(self, tweak: str, i: int, value: int, modulus: int) -> int:
-        digest = hashlib.blake2b(f"{tweak}|{i}|{value}|{modulus}".encode(), key=self.key, digest_size=16).digest()
-        return int.from_bytes(digest, "big") % modulus
+        state = self.keyed.copy()
+        state.update(b"%b|%d|%x|%x" % (tweak.encode(), i, value, modulus))
+        return int.from_bytes(state.digest(), "big") % modulus
 
     def permute(self, digits: list[int], radix: int, tweak: str = "", back: bool = False) -> list[int]:
         """A word of numbers below ``radix`` becomes another of the same length."""
@@ -399,6 +416,7 @@ def _network(key: str) -> Feistel:
     return Feistel(key)
 
 
+@lru_cache(1 << 15)
 def pseudonym(value: str, kind: str, key: str, back: bool = False) -> str:
     """``value`` permuted within its format, or turned ``back``."""
     f = _network(key)
@@ -456,6 +474,27 @@ def session_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.quirework.pii.key", None) or secrets.token_hex(32)
 
 
+EVIDENCE = "given string, surname string, written boolean, counts boolean"
+_LOCAL = re.compile(r"([A-Za-z]{3,})[._]([A-Za-z]{3,})@")
+
+
+def _evidence(batch: pa.RecordBatch) -> dict:
+    """Given names and surnames of each text's addresses and cues; whether an address and the name beside it agree, and whether it counts at all."""
+    out: set[tuple[str, str, bool, bool]] = set()
+    for text in batch.column("text").to_pylist():
+        for m in _LOCAL.finditer(text) if "@" in text else ():
+            if re.match(r"[\w.+-]", text[m.start() - 1 : m.start()], re.A):
+                continue
+            given, surname = m.group(1).capitalize(), m.group(2).capitalize()
+            usual = given in _NO_SURNAME or surname in _NO_SURNAME
+            written = not usual and any(f"{g} {n}" in text or f"{n}, {g}" in text for g, n in ((given, surname), (given.upper(), surname.upper())))
+            out.add((given, surname, written, m.group().islower()))
+        for _, whole in _cued(text):
+            out.add((whole.group(1), _bare(whole.group(2)), False, True))
+    given, surname, written, counts = zip(*out, strict=True) if out else ((),) * 4
+    return {"given": pa.array(given, pa.string()), "surname": pa.array(surname, pa.string()), "written": pa.array(written, pa.bool_()), "counts": pa.array(counts, pa.bool_())}
+
+
 def learnt_names(documents: DataFrame, least: int = LEAST_SURNAMES) -> DataFrame:
     """``given``: given names the corpus itself tells, each once and all of them.
 
@@ -466,18 +505,8 @@ def learnt_names(documents: DataFrame, least: int = LEAST_SURNAMES) -> DataFrame
     by its own address doesn't depend on the size of the corpus. A name without
     that needs ``least`` different surnames, counted exactly.
     """
-    local = F.regexp_extract_all("text", F.lit(r"(?i)(?<![\w.+-])([a-z]{3,}[._][a-z]{3,})@"), F.lit(1))
-    titled = F.regexp_extract_all("text", F.lit(rf"(?U)(?:{CUES}|(?<=[\p{{Ll}},;:)] )(?=\S+ \p{{Lu}}\.))({_WHOLE})"), F.lit(1))
-    evidence = F.concat(F.transform(F.array_distinct(local), lambda x: F.struct(x.alias("local"), F.lit(False).alias("titled"))), F.transform(F.array_distinct(titled), lambda x: F.struct(x.alias("local"), F.lit(True).alias("titled"))))
-    parts = documents.where(F.col("text").isNotNull()).select("text", F.explode(evidence).alias("e")).select("text", "e.local", "e.titled").withColumn("p", F.split("local", "[._ ]+"))
-    given, surname = F.initcap(F.col("p")[0]), F.initcap(F.element_at("p", -1))
-    places = [F.concat(*x) for g, s in ((given, surname), (F.upper(given), F.upper(surname))) for x in ((g, F.lit(" "), s), (s, F.lit(", "), g))]
-    written = F.lit(False)
-    for place in places:
-        written = written | F.col("text").contains(place)
-    usual = F.col("given").isin(*_NO_SURNAME) | F.col("surname").isin(*_NO_SURNAME)
-    rows = parts.select(given.alias("given"), surname.alias("surname"), (written & ~F.col("titled")).alias("written"), (F.col("titled") | (F.col("local") == F.lower("local"))).alias("small"), "titled")
-    rows = rows.where(~(usual & F.col("titled"))).withColumn("written", F.col("written") & ~usual).groupBy("given", "surname").agg(F.max("written").alias("written"), F.max("small").alias("small"))
+    rows = map_batches(documents.select(F.col("text").cast("string").alias("text")).where(F.length("text") > 0), ["text"], _evidence, EVIDENCE)
+    rows = rows.groupBy("given", "surname").agg(F.max("written").alias("written"), F.max("counts").alias("small"))
     found = rows.groupBy("given").agg(F.max("written").alias("written"), F.sum(F.col("small").cast("int")).alias("n"))
     return found.where(F.col("written") | (F.col("n") >= least)).select("given")
 
