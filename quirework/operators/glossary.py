@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.session import ship
+
 #: A glossary is a stated table; its surfaces are searched in blocks of so many.
-SURFACES_PER_PASS = 2000
+SURFACES_PER_PASS = 200_000
 
 
 def surfaces(glossary: DataFrame) -> DataFrame:
@@ -32,35 +37,101 @@ def overlay(base: DataFrame, later: DataFrame) -> DataFrame:
     return base.join(redefined, "id", "left_anti").unionByName(later)
 
 
-def surface_pattern(surface: str) -> str:
-    """A regular expression for a term and the regular English forms of its last word."""
-    body = re.escape(surface).replace("\\ ", " ")
-    if not surface.isascii() or not any(c.isalnum() for c in surface):
-        return body
-    if re.search("[^aeiou]y$", surface, re.I):
-        body = re.escape(surface[:-1]).replace("\\ ", " ") + "(?:y|ies|y['’]s)"
-    elif surface[-1].isalpha():
-        body += "(?:s|es|['’]s)?"
-    return f"(?<![\\p{{L}}\\p{{N}}_]){body}(?![\\p{{L}}\\p{{N}}_])"
+# Regular endings of an English word; one that ends in a consonant and y changes its end.
+ENDINGS = ("", "s", "es", "'s", "’s")
+Y_ENDINGS = ("y", "ies", "y's", "y’s")
+_CONSONANT_Y = re.compile("[^aeiou]y$", re.I)
+_WORD = re.compile(r"\w")
+
+
+def forms(surface: str) -> tuple[list[str], bool]:
+    """What a surface may look like in a text, and whether it must stand as words of its own."""
+    if not surface.isascii() or not re.search("[A-Za-z0-9]", surface):
+        return [surface], False
+    if _CONSONANT_Y.search(surface):
+        return [surface[:-1] + e for e in Y_ENDINGS], True
+    return [surface + e for e in (ENDINGS if surface[-1].isalpha() else ("",))], True
+
+
+class Finder:
+    """An Aho-Corasick automaton over all forms of all surfaces; its cost a text does not depend on how many there are."""
+
+    def __init__(self, stated: tuple[tuple[str, str], ...]) -> None:
+        import ahocorasick
+
+        owners: dict[str, list[tuple[int, bool]]] = {}
+        for k, (_, surface) in enumerate(stated):
+            found, whole = forms(surface)
+            for form in found:
+                owners.setdefault(form, []).append((k, whole))
+        self.automaton = ahocorasick.Automaton()
+        for form, claims in owners.items():
+            self.automaton.add_word(form, (len(form), claims))
+        if owners:
+            self.automaton.make_automaton()
+        self.ids = [e for e, _ in stated]
+
+    def counts(self, text: str) -> dict[str, int]:
+        """Entry -> how often its surfaces occur; occurrences of one surface don't overlap, the earliest and longest count."""
+        if not len(self.automaton):
+            return {}
+        found: dict[int, list[tuple[int, int]]] = {}
+        for last, (size, claims) in self.automaton.iter(text):
+            start, end = last + 1 - size, last + 1
+            alone = not (start and _WORD.match(text, start - 1)) and not _WORD.match(text, end)
+            for k, whole in claims:
+                if alone or not whole:
+                    found.setdefault(k, []).append((start, -end))
+        out: dict[str, int] = {}
+        for k, spans in found.items():
+            at = n = 0
+            for start, end in sorted(spans):
+                if start >= at:
+                    at, n = -end, n + 1
+            out[self.ids[k]] = out.get(self.ids[k], 0) + n
+        return out
+
+
+@lru_cache(2)
+def _finder(stated: tuple[tuple[str, str], ...]) -> Finder:
+    return Finder(stated)
 
 
 def matches(texts: DataFrame, glossary: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``key, id, n``: how often the surfaces of each entry occur in each text.
 
-    The terms are stated and few; their patterns are read to the driver in
-    blocks and every text is gone through once for a block, in the scan's stage,
-    without a join. Only rows with a hit are exploded and summed.
+    The terms are stated; they are read to the driver in blocks, and every text
+    is gone through once for a block, in the scan's stage, without a join. Only
+    the keys of rows with a hit go on, with a hash of the text, so that a row
+    delivered twice counts once and no text is ever shuffled.
     """
-    stated = [(r.id, r.surface) for r in surfaces(glossary).orderBy("id", "surface").toLocalIterator()]
+    stated = surfaces(glossary).orderBy("id", "surface").toLocalIterator()
+    texts = texts.select(*key, F.lower(text).alias("_lower")).where(F.length("_lower") > 0).select(*key, F.xxhash64("_lower").alias("_text"), "_lower")
+    carried = [*key, "_text"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*carried).schema), "id string", "n bigint"])
     hits = None
-    for i in range(0, max(1, len(stated)), SURFACES_PER_PASS):
-        block = stated[i : i + SURFACES_PER_PASS]
-        counts = [F.struct(F.lit(e).alias("id"), F.when(F.contains("_lower", F.lit(s[:-1] if s.endswith("y") else s)), F.regexp_count("_lower", F.lit(surface_pattern(s)))).otherwise(0).alias("n")) for e, s in block]
-        if not counts:
-            counts = [F.struct(F.lit("").alias("id"), F.lit(0).alias("n"))]
-        found = texts.select(*key, F.lower(text).alias("_lower")).select(*key, F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("hit"))
+    while hits is None or block:
+        block = tuple((r.id, r.surface) for r in islice(stated, SURFACES_PER_PASS))
+        if hits is not None and not block:
+            break
+
+        def search(batches, block=block):
+            finder = _finder(block)
+            for batch in batches:
+                at, ids, counts = [], [], []
+                for i, value in enumerate(batch.column(len(carried)).to_pylist()):
+                    for e, n in finder.counts(value).items() if value else ():
+                        at.append(i)
+                        ids.append(e)
+                        counts.append(n)
+                keys = batch.take(pa.array(at, pa.int32())).columns[: len(carried)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(ids, pa.string()), pa.array(counts, pa.int64())], names=[*carried, "id", "n"])
+
+        ship(texts.sparkSession)
+        found = texts.mapInArrow(search, schema)
         hits = found if hits is None else hits.unionByName(found)
-    return hits.groupBy(*key, F.col("hit.id").alias("id")).agg(F.sum("hit.n").alias("n"))
+    once = hits.repartition(*key, "id").groupBy(*carried, "id").agg(F.max("n").alias("n"))
+    return once.groupBy(*key, "id").agg(F.sum("n").alias("n"))
 
 
 def newest(entries: DataFrame, key: list[str], order: list) -> DataFrame:

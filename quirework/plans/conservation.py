@@ -77,7 +77,7 @@ def conservation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spelled_values() -> str:
-    return ", ".join(f"({n}, '{form}', {str(form.isascii()).lower()})" for n in range(100) for form in N.spelled(n))
+    return ", ".join(f"({n}, '{form}', {str(form.isascii()).lower()})" for n, forms in N.SPELLINGS.items() for form in forms)
 
 
 @query(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quirework.functions.hashing import fields_hash
 from quirework.operators import glossary as G
-from quirework.operators import structure as S
 from quirework.plans.registry import query
 from quirework.session import table
 
@@ -69,8 +68,7 @@ SELECT book_id, segment_id, id, CAST(sum(n) AS BIGINT) AS n FROM m WHERE n > 0 G
 def glossary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms in segments, with the inflected forms of their last word."""
     segments = table(spark, sf_dir, "segments").where(F.col("text").isNotNull())
-    texts = S.once(segments.withColumnRenamed("id", "segment_id"), "book_id", "segment_id", "text")
-    return G.matches(texts, table(spark, sf_dir, "glossary"), ["book_id", "segment_id"])
+    return G.matches(segments.select("book_id", F.col("id").alias("segment_id"), "text"), table(spark, sf_dir, "glossary"), ["book_id", "segment_id"])
 
 
 @query(

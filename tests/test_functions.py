@@ -33,7 +33,7 @@ def test_urls(spark, text, want):
 
 NUMBERS = [
     ("a shortfall of 10 million workers", "将短缺 1,000 万名工人"), ("revenue of $100,000", "收入 10 万美元"), ("since the 1990s", "自 20 世纪 90 年代以来"),
-    ("32 percent", "32%"), ("in 1998", "一九九八年"), ("in 1998", "１９９８年"), ("the fifth", "第 5"),
+    ("32 percent", "32%"), ("EXHIBIT 6.7 A Process View", "图表 6.7 流程视图"), ("1.1 million", "110万"), ("2.5 billion", "25 亿"), ("9 chapters, 8.5", "第9章 图8.5"), ("a 32 per-\ncent rise", "32%"), ("in 1998", "一九九八年"), ("in 1998", "１９９８年"), ("the fifth", "第 5"),
 ]
 
 
@@ -42,13 +42,13 @@ def test_numbers_by_value(a, b):
     assert sorted(numbers.canonical_tokens(a)) == sorted(numbers.canonical_tokens(b))
 
 
-@pytest.mark.parametrize("a,b", [("32 percentage points", "32%"), ("in 1989", "in 1998")])
+@pytest.mark.parametrize("a,b", [("32 percentage points", "32%"), ("in 1989", "in 1998"), ("a 230V supply", "230 伏电源"), ("it draws 10 A.", "10 安"), ("5 W", "5 V")])
 def test_numbers_that_differ(a, b):
     assert sorted(numbers.canonical_tokens(a)) != sorted(numbers.canonical_tokens(b))
 
 
 def test_spelled_and_roman(spark):
-    assert {"twenty-one", "twenty one", "二十一"} == set(numbers.spelled(21)) and "first" in numbers.spelled(1) and "十" in numbers.spelled(10)
+    assert {"twenty-one", "twenty one", "二十一"} == set(numbers.SPELLINGS[21]) and "first" in numbers.SPELLINGS[1] and "十" in numbers.SPELLINGS[10] and "两" in numbers.SPELLINGS[2]
     assert [numbers.roman(n) for n in (1, 4, 9, 14, 40, 99, 199)] == ["i", "iv", "ix", "xiv", "xl", "xcix", "cxcix"]
     assert numbers.spelled_table(spark).select("value").distinct().count() == 100
     assert numbers.folio_table(spark).count() == 199
