@@ -32,6 +32,50 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[[tuple, dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of each group, in ``order``; it gets the key and name -> values of ``columns`` and returns rows.
+
+    Groups follow one another in a stream of Arrow batches, so a task holds one
+    group at a time and a small one costs next to nothing.
+    """
+    kinds = pa.schema([(name, _ARROW[kind]) for name, kind in (part.strip().split(" ") for part in schema.split(","))])
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        values: dict[str, list] = {}
+        out: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_pylist() for c in columns]
+            named = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            edges = [0, *(i for i in range(1, len(named)) if named[i] != named[i - 1]), len(named)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if named[a] != key:
+                    if key is not None:
+                        out += fn(key, values)
+                    key, values = named[a], {c: [] for c in columns}
+                for c, v in zip(columns, new, strict=True):
+                    values[c] += v[a:b]
+            if len(out) > 10_000:
+                yield emit(out)
+                out = []
+        if key is not None:
+            out += fn(key, values)
+        if out:
+            yield emit(out)
+
+    ship(df.sparkSession)
+    names = list(dict.fromkeys([*keys, *order, *columns]))
+    return df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def _top_level(schema: str) -> list[str]:
     parts, depth, start = [], 0, 0
     for i, c in enumerate(schema):
