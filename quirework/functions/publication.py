@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quirework.functions import markdown as M
 
-# Roles that EPUB readers know.
-ROLES = "doc-abstract doc-appendix doc-bibliography doc-chapter doc-cover doc-endnotes doc-epigraph doc-footnote doc-foreword doc-glossary doc-index doc-noteref doc-part doc-preface doc-toc".split()
+# Roles that a checker of EPUB packages accepts on a link.
+ROLES = "button checkbox doc-backlink doc-biblioref doc-glossref doc-noteref link menuitem menuitemcheckbox menuitemradio option radio switch tab treeitem".split()
 #: A paragraph under an image that is no longer than this is its caption.
 CAPTION_CHARS = 80
 
@@ -49,10 +49,9 @@ def slashes(text: Column) -> Column:
 
 
 def known_roles(text: Column) -> Column:
-    """Without role attributes that readers don't know."""
-    found = F.regexp_extract_all(text, F.lit("(\\srole\\s*=\\s*[\"'][^\"']*[\"'])"), F.lit(1))
-    strange = F.filter(found, lambda x: ~F.regexp_extract(x, "[\"']([^\"']*)[\"']", 1).isin(*ROLES))
-    return _for_each(strange, text, lambda x: F.lit(""))
+    """Links without role attributes that checkers don't accept there."""
+    role = "\\s+role\\s*=\\s*[\"'](?!(?:" + "|".join(ROLES) + ")[\"'])[^\"']*[\"']"
+    return F.regexp_replace(text, f"(?i)(<a\\b[^>]*?){role}([^>]*>)", "$1$2")
 
 
 def bind_captions(xhtml: Column) -> Column:

@@ -80,10 +80,10 @@ def plain(text: Column) -> Column:
     return F.btrim(F.regexp_replace(bare, "\\s+", " "), F.lit(" #"))
 
 
-def slug(text: Column) -> Column:
-    """A file-name-like key of at most 64 characters, or null if nothing is left."""
-    key = F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9\\x{4e00}-\\x{9fff}]+", "-"), F.lit("-"))
-    return F.nullif(F.btrim(F.substring(key, 1, 64), F.lit("-")), F.lit(""))
+def slug(text: Column, fallback: Column) -> Column:
+    """A file-name-like key of at most 64 characters; ``book-`` and the first eight of the ``fallback`` hash if nothing is left."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9._-]+", "-"), "^[-._]+|[-._]+$", "")
+    return F.coalesce(F.nullif(F.substring(key, 1, 64), F.lit("")), F.concat(F.lit("book-"), F.substring(fallback, 1, 8)))
 
 
 def display_width(text: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,6 +134,43 @@ def matches(texts: DataFrame, glossary: DataFrame, key: list[str], text: str = "
     return once.groupBy(*key, "id").agg(F.sum("n").alias("n"))
 
 
+def target_present(text: Column, target: Column) -> Column:
+    """Whether a target stands in a text in its own case: as a word with a regular ending if it is Latin, else anywhere."""
+    quoted = F.regexp_replace(target, "([^\\p{L}\\p{N}\\s_])", "\\\\$1")
+    body = (
+        F.when(target.rlike("(?i)[^aeiou]y$"), F.concat(F.regexp_replace(quoted, ".$", ""), F.lit("(?:y|ies|y['’]s)")))
+        .when(target.rlike("[A-Za-z]$"), F.concat(quoted, F.lit("(?:s|es|['’]s)?")))
+        .otherwise(quoted)
+    )
+    alone = F.concat(F.lit("(?<![\\p{L}\\p{N}_])"), body, F.lit("(?![\\p{L}\\p{N}_])"))
+    latin = target.rlike("^[\\x00-\\x7f]*$") & target.rlike("[A-Za-z0-9]")
+    return F.when(latin, F.regexp_like(text, alone)).otherwise(F.contains(text, target))
+
+
+def in_scope(scopes: Column, node: Column) -> Column:
+    """Whether an entry holds for a node: it names no scope, the whole book, or the node."""
+    return (F.coalesce(F.size(scopes), F.lit(0)) <= 0) | F.array_contains(scopes, "book") | F.coalesce(F.array_contains(scopes, node), F.lit(False))
+
+
+def selected(texts: DataFrame, glossary: DataFrame, key: list[str], node: str, text: str = "text", status: str = "confirmed") -> DataFrame:
+    """``key, id, n``: the confirmed entries in scope of each text's node that occur in it."""
+    entries = glossary.where(F.col("status") == status).select("id", "scopes")
+    found = matches(texts, glossary, key, text).join(entries, "id")
+    nodes = texts.select(*key, F.col(node).alias("_node")).distinct()
+    return found.join(nodes, key).where(in_scope(F.col("scopes"), F.col("_node"))).select(*key, "id", "n").distinct()
+
+
+#: The fields of an entry that say what it means, in the order of canonical JSON.
+MEANING = ("aliases", "category", "domain", "grammatical", "scopes", "source", "status", "target")
+
+
+def entry_hash(glossary: DataFrame) -> Column:
+    """SHA-256 of the entry's meaning as canonical JSON: sorted keys, no spaces; a missing field is null."""
+    known = set(glossary.columns)
+    fields = [F.col(c) if c in known else F.lit(None).cast("string").alias(c) for c in MEANING]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
 def newest(entries: DataFrame, key: list[str], order: list) -> DataFrame:
     """The last of several versions of a row."""
     last = Window.partitionBy(*key).orderBy(*order)

@@ -14,35 +14,40 @@ from quirework.functions import numbers as N
 NARROW, WIDE, LEFT_OF, RIGHT_OF, SHARED = 0.7, 0.72, 0.46, 0.54, 0.2
 HEADING_RATIO, BOLD_RATIO, HEADING_CHARS, BOLD_CHARS = 1.15, 0.95, 120, 80
 LEAST_PAGES = 3
+PAGE = ["book_id", "page"]
+#: Height of a slice of a page within which blocks are looked for side by side.
+SLICE = 100.0
 
 
 def columns(blocks: DataFrame) -> DataFrame:
-    """Layout of each page: single_column, multi_column or mixed.
+    """Layout of each page of each book: single_column, multi_column or mixed.
 
-    Left and right blocks of a page are paired by an equi-join on the page with
-    an overlap test; pages hold few blocks.
+    Whether a left and a right block overlap is told by an equi-join on the page
+    and on slices of its height, so a crowded page makes no pairs of blocks that
+    lie far apart.
     """
     middle = G.centre(F.col("x0"), F.col("x1"))
     span = F.col("x1") - F.col("x0")
     narrow = blocks.where((F.length("text") >= 20) & (span <= F.col("page_width") * NARROW))
-    left = narrow.where(middle < F.col("page_width") * LEFT_OF).select("page", F.col("y0").alias("a0"), F.col("y1").alias("a1"))
-    right = narrow.where(middle > F.col("page_width") * RIGHT_OF).select("page", F.col("y0").alias("b0"), F.col("y1").alias("b1"))
-    paired = left.join(right, "page").where(G.vertical_overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) >= SHARED).select("page").distinct().withColumn("paired", F.lit(True))
-    pages = blocks.groupBy("page").agg(F.bool_or(span > F.col("page_width") * WIDE).alias("has_wide"))
+    slices = F.explode(F.sequence(F.floor(F.col("y0") / SLICE), F.floor(F.greatest("y0", "y1") / SLICE))).alias("slice")
+    left = narrow.where(middle < F.col("page_width") * LEFT_OF).select(*PAGE, F.col("y0").alias("a0"), F.col("y1").alias("a1"), slices)
+    right = narrow.where(middle > F.col("page_width") * RIGHT_OF).select(*PAGE, F.col("y0").alias("b0"), F.col("y1").alias("b1"), slices)
+    paired = left.join(right, [*PAGE, "slice"]).where(G.vertical_overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) >= SHARED).select(*PAGE).distinct().withColumn("paired", F.lit(True))
+    pages = blocks.groupBy(*PAGE).agg(F.bool_or(span > F.col("page_width") * WIDE).alias("has_wide"))
     kind = F.when(F.col("paired").isNull(), "single_column").when(F.col("has_wide"), "mixed").otherwise("multi_column")
-    return pages.join(paired, "page", "left").select("page", kind.alias("layout"))
+    return pages.join(paired, PAGE, "left").select(*PAGE, kind.alias("layout"))
 
 
 def reading_order(blocks: DataFrame, layouts: DataFrame) -> DataFrame:
     """The place of each block: wide ones above the columns, the left column, the right one, wide ones below."""
-    rows = blocks.join(layouts, "page")
+    rows = blocks.join(layouts, PAGE)
     wide = F.col("x1") - F.col("x0") > F.col("page_width") * WIDE
-    top = F.min(F.when(~wide, F.col("y0"))).over(Window.partitionBy("page"))
+    top = F.min(F.when(~wide, F.col("y0"))).over(Window.partitionBy(*PAGE))
     left = G.centre(F.col("x0"), F.col("x1")) < F.col("page_width") / 2
     zone = F.when(F.col("layout") == "single_column", 0).when(wide & (F.col("y0") < F.coalesce("top", "page_width")), 0).when(wide, 3).when(left, 1).otherwise(2)
     placed = rows.withColumn("top", top).withColumn("zone", zone)
-    order = F.row_number().over(Window.partitionBy("page").orderBy("zone", "y0", "x0", "block"))
-    return placed.select("page", "block", F.col("zone").cast("int").alias("zone"), order.alias("place"))
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("zone", "y0", "x0", "block"))
+    return placed.select(*PAGE, "block", F.col("zone").cast("int").alias("zone"), order.alias("place"))
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -89,8 +94,8 @@ def folio_offsets(spark: SparkSession, lines: DataFrame) -> DataFrame:
 def duplicate_pages(pages: DataFrame) -> DataFrame:
     """Pages with text whose image is that of an earlier page; the latest such page is named."""
     before = Window.partitionBy("book_id", "image_sha").orderBy("page")
-    rows = pages.where(F.col("n_chars") > 0).withColumn("same_as", F.lag("page").over(before))
-    return rows.where(F.col("same_as").isNotNull()).select("book_id", "page", "same_as")
+    rows = pages.withColumn("same_as", F.lag("page").over(before))
+    return rows.where(F.col("same_as").isNotNull() & (F.col("n_chars") > 0)).select("book_id", "page", "same_as")
 
 
 def risks(pages: DataFrame) -> DataFrame:
@@ -149,9 +154,10 @@ def clusters(boxes: DataFrame, gap: float = 24.0) -> DataFrame:
         order["cluster"] = [top(i) for i in range(len(order))]
         out = order.groupby("cluster").agg(x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"), n=("x0", "size")).reset_index(drop=True)
         out.insert(0, "page", page["page"].iloc[0])
-        return out[["page", "x0", "y0", "x1", "y1", "n"]]
+        out.insert(0, "book_id", page["book_id"].iloc[0])
+        return out[["book_id", "page", "x0", "y0", "x1", "y1", "n"]]
 
-    return boxes.select("page", "x0", "y0", "x1", "y1").groupBy("page").applyInPandas(one, "page int, x0 double, y0 double, x1 double, y1 double, n long")
+    return boxes.select(*PAGE, "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(one, "book_id string, page int, x0 double, y0 double, x1 double, y1 double, n long")
 
 
 def ocr_words(rows: DataFrame) -> DataFrame:
@@ -161,20 +167,20 @@ def ocr_words(rows: DataFrame) -> DataFrame:
     a negative confidence marks a row without a word.
     """
     cells = F.split("line", "\t")
-    words = rows.select("page", "pos", F.get(cells, F.lit(10)).try_cast("double").alias("conf"), F.trim(F.get(cells, F.lit(11))).alias("word"))
+    words = rows.select(*PAGE, "pos", F.get(cells, F.lit(10)).try_cast("double").alias("conf"), F.trim(F.get(cells, F.lit(11))).alias("word"))
     words = words.where((F.col("conf") >= 0) & (F.length("word") > 0))
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
-    return words.groupBy("page").agg(F.count("*").alias("n_words"), F.round(F.avg("conf"), 6).alias("confidence"), ordered.alias("text"))
+    return words.groupBy(*PAGE).agg(F.count("*").alias("n_words"), F.round(F.avg("conf"), 6).alias("confidence"), ordered.alias("text"))
 
 
 def line_wraps(lines: DataFrame, share: float = 0.85, probe: int = 20) -> DataFrame:
     """Pairs of lines that are one sentence: the first is full and open, the second goes on."""
-    order = Window.partitionBy("page", "block").orderBy("line")
+    order = Window.partitionBy(*PAGE, "block").orderBy("line")
     following = F.lead("text").over(order)
-    full = F.max(F.length("text")).over(Window.partitionBy("page", "block")) * share
+    full = F.max(F.length("text")).over(Window.partitionBy(*PAGE, "block")) * share
     rows = lines.withColumn("next", following).withColumn("full", full)
     goes_on = (F.length("text") >= F.col("full")) & ~F.col("text").rlike("[.!?:;\\x{2026}\"'\\x{201d}\\x{2019})\\]]$") & F.col("next").rlike("^[\\p{Ll}0-9]")
-    return rows.where(F.col("next").isNotNull() & goes_on).select("page", "block", "line", F.expr(f"right(text, {probe})").alias("tail"), F.expr(f"left(next, {probe})").alias("head"))
+    return rows.where(F.col("next").isNotNull() & goes_on).select(*PAGE, "block", "line", F.expr(f"right(text, {probe})").alias("tail"), F.expr(f"left(next, {probe})").alias("head"))
 
 
 def hyphens(breaks: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.operators.layout import PAGE
+
 # Bands, sizes and lengths the rules go by.
 MARGIN, BODY_CHARS, IMAGE_SHARE = 0.08, 20, 0.5
 NOTE_TOP, NOTE_SIZE, TITLE_SIZE, TITLE_CHARS, SIDE_WIDTH, SIDE_CHARS, FORMULA_CHARS = 0.82, 0.9, 1.3, 180, 0.38, 40, 300
@@ -18,7 +20,7 @@ PROBE = 40
 def roles(blocks: DataFrame) -> DataFrame:
     """What each block of a page is and how much care it needs, by the first rule that fits.
 
-    ``page, block, is_image, text, size, median, x0, y0, x1, page_width, page_height, layout``.
+    ``book_id, page, block, is_image, text, size, median, x0, y0, x1, page_width, page_height, layout``.
     """
     several = F.col("layout").isin("multi_column", "mixed")
     rules = [
@@ -32,7 +34,7 @@ def roles(blocks: DataFrame) -> DataFrame:
     role, risk = F.lit("body"), F.when(several, 2).otherwise(0)
     for test, name, level in reversed(rules):
         role, risk = F.when(test, name).otherwise(role), F.when(test, level).otherwise(risk)
-    return blocks.select("page", "block", role.alias("role"), risk.alias("risk"))
+    return blocks.select(*PAGE, "block", role.alias("role"), risk.alias("risk"))
 
 
 def scanned_pages(blocks: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def scanned_pages(blocks: DataFrame) -> DataFrame:
     inside = (F.col("y0") >= F.col("page_height") * MARGIN) & (F.col("y1") <= F.col("page_height") * (1 - MARGIN))
     chars = F.sum(F.when(inside & ~F.col("is_image"), F.length("text")).otherwise(0))
     area = F.sum(F.when(F.col("is_image"), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).otherwise(0.0))
-    pages = blocks.groupBy("page").agg(chars.alias("body_chars"), F.round(F.least(F.lit(1.0), area / F.first(F.col("page_width") * F.col("page_height"))), 6).alias("coverage"))
+    pages = blocks.groupBy(*PAGE).agg(chars.alias("body_chars"), F.round(F.least(F.lit(1.0), area / F.first(F.col("page_width") * F.col("page_height"))), 6).alias("coverage"))
     return pages.withColumn("scanned", (F.col("body_chars") < BODY_CHARS) & (F.col("coverage") >= IMAGE_SHARE))
 
 
@@ -52,11 +54,11 @@ def folio_position(folios: DataFrame) -> DataFrame:
 
 def heading_runs(lines: DataFrame) -> DataFrame:
     """Heading lines of one level right under each other as one heading."""
-    order = Window.partitionBy("page").orderBy("line")
+    order = Window.partitionBy(*PAGE).orderBy("line")
     follows = (F.col("line") == F.lag("line").over(order) + 1) & (F.col("level") == F.lag("level").over(order))
     runs = lines.withColumn("run", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ")
-    return runs.groupBy("page", "run", "level").agg(F.min("line").alias("line"), F.count("*").alias("n"), text.alias("title")).drop("run")
+    return runs.groupBy(*PAGE, "run", "level").agg(F.min("line").alias("line"), F.count("*").alias("n"), text.alias("title")).drop("run")
 
 
 def page_breaks(pages: DataFrame) -> DataFrame:

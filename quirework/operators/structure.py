@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import text as T
-from quirework.session import ship
+from quirework.session import cut, ship
 
 #: Sizes of a work unit in characters, and what a segment costs beside its text.
 TARGET, OVERHEAD = 6000, 2
@@ -127,46 +128,72 @@ def heading_parents(segments: DataFrame) -> DataFrame:
     return rows.select("book_id", "id", "ord", "level", F.greatest(*smaller).alias("parent_ord"))
 
 
-def pack_units(segments: DataFrame, target: int = TARGET) -> DataFrame:
-    """Work units: consecutive segments of one node, filled while they fit.
+UNITS = "book_id string, node_ord int, unit_in_node int, first_ord int, last_ord int, n_segments int, n_chars int"
 
-    A unit never spans two nodes, so the greedy fold runs over one node's sizes,
-    not over a book. ``book_id, node_ord, unit_in_node, first_ord, last_ord,
-    n_segments, n_chars``.
+
+def pack_units(segments: DataFrame, target: int = TARGET, most: int | None = None) -> DataFrame:
+    """Work units: consecutive segments of one node, filled while they fit; over-long segments are cut into pieces first.
+
+    ``book_id, node_ord, unit_in_node, first_ord, last_ord, n_segments, n_chars``;
+    pieces count as segments. A unit never spans two nodes. The rows of a node
+    come sorted and are folded as they stream by: a task holds one open unit,
+    however long a node is.
     """
-    sized = once(segments.withColumn("size", F.coalesce(F.length("text"), F.lit(0)) + OVERHEAD), "book_id", "id", "ord", "kind", "size")
-    sized = running_max(sized, ["book_id"], "ord", {"node_ord": F.when(F.col("kind") == "heading", F.col("ord"))})
-    node = sized.groupBy("book_id", "node_ord").agg(F.sort_array(F.collect_list(F.struct("ord", "size"))).alias("items"))
-    unit = "struct<no:int,used:int,first:int,last:int,n:int>"
-    start = F.struct(F.array().cast(f"array<{unit}>").alias("done"), F.lit(None).cast(unit).alias("open"))
-
-    def add(state: Column, item: Column) -> Column:
-        open_ = state["open"]
-        fits = open_.isNotNull() & (open_["used"] + item["size"] <= target)
-        grown = F.struct(open_["no"].alias("no"), (open_["used"] + item["size"]).alias("used"), open_["first"].alias("first"), item["ord"].alias("last"), (open_["n"] + 1).alias("n"))
-        new = F.struct((F.coalesce(open_["no"], F.lit(0)) + 1).alias("no"), item["size"].alias("used"), item["ord"].alias("first"), item["ord"].alias("last"), F.lit(1).alias("n"))
-        done = F.when(fits | open_.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(open_)))
-        return F.struct(done.alias("done"), F.when(fits, grown.cast(unit)).otherwise(new.cast(unit)).alias("open"))
-
-    units = F.aggregate("items", start, add, lambda s: F.concat(s["done"], F.array(s["open"])))
-    rows = node.select("book_id", "node_ord", F.explode(units).alias("u"))
-    return rows.select("book_id", "node_ord", F.col("u.no").alias("unit_in_node"), F.col("u.first").alias("first_ord"), F.col("u.last").alias("last_ord"), F.col("u.n").alias("n_segments"), F.col("u.used").alias("n_chars"))
-
-
-def tree(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """``book_id, id, parent_id, root_id, depth`` of a node table with children arrays.
-
-    A heading tree is at most as deep as there are heading levels, so the root
-    is reached by a fixed number of equi-joins.
+    pieces = split_long(segments, most or HARD).select("book_id", "id", "ord", "part", (F.coalesce("n_chars", F.lit(0)) + OVERHEAD).cast("int").alias("size"))
+    heads = once(segments, "book_id", "id", "ord", "kind")
+    node = running_max(heads, ["book_id"], "ord", {"node_ord": F.when(F.col("kind") == "heading", F.col("ord"))}).select("book_id", "id", "ord", "node_ord")
+    sized = pieces.join(node, ["book_id", "id", "ord"])
+
+    def fold(batches):
+        key = open_ = None
+        for batch in batches:
+            out = []
+            for book, node_ord, order, size in zip(*(batch.column(c).to_pylist() for c in ("book_id", "node_ord", "ord", "size")), strict=True):
+                if key == (book, node_ord) and open_[5] + size <= target:
+                    open_[3:] = order, open_[4] + 1, open_[5] + size
+                    continue
+                if open_:
+                    out.append((key[0], key[1], *open_[1:]))
+                open_ = [None, open_[1] + 1 if key == (book, node_ord) else 1, order, order, 1, size]
+                key = (book, node_ord)
+            yield _units(out)
+        if open_:
+            yield _units([(key[0], key[1], *open_[1:])])
+
+    ship(segments.sparkSession)
+    rows = sized.select("book_id", "node_ord", "ord", "part", "id", "size").repartition("book_id", "node_ord").sortWithinPartitions("book_id", "node_ord", "ord", "id", "part")
+    return rows.mapInArrow(fold, UNITS)
+
+
+def _units(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.strip().split(" ") for x in UNITS.split(",")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.string() if t == "string" else pa.int32()) for v, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
+def tree(nodes: DataFrame) -> DataFrame:
+    """``book_id, id, parent_id, root_id, depth`` of a node table with children arrays, of any depth.
+
+    Each round replaces a node's ancestor by that one's own ancestor, so the
+    distance doubles; after the third it is looked whether any is left.
     """
     parents = nodes.select("book_id", F.col("id").alias("parent_id"), F.explode("children").alias("id"))
     parents = parents.groupBy("book_id", "id").agg(F.min("parent_id").alias("parent_id"))
     rows = nodes.select("book_id", "id").distinct().join(parents, ["book_id", "id"], "left")
-    step = parents.select(F.col("book_id"), F.col("id").alias("root_id"), F.col("parent_id").alias("up"))
-    out = rows.withColumn("root_id", F.coalesce("parent_id", "id")).withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
-    for _ in range(depth):
-        out = out.join(step, ["book_id", "root_id"], "left")
-        out = out.withColumn("depth", F.col("depth") + F.when(F.col("up").isNotNull(), 1).otherwise(0)).withColumn("root_id", F.coalesce("up", "root_id")).drop("up")
+    out = rows.withColumns({"root_id": F.coalesce("parent_id", "id"), "depth": F.col("parent_id").isNotNull().cast("int")})
+    above = out.where(F.col("depth") > 0).select("book_id", "id", "root_id", "depth")
+
+    def round_(df: DataFrame, step: DataFrame) -> DataFrame:
+        step = step.select("book_id", F.col("id").alias("root_id"), F.col("root_id").alias("_up"), F.col("depth").alias("_more"))
+        return df.join(step, ["book_id", "root_id"], "left").withColumns({"depth": F.col("depth") + F.coalesce("_more", F.lit(0)), "root_id": F.coalesce("_up", "root_id")}).drop("_up", "_more")
+
+    for _ in range(3):
+        out, above = round_(out, above), round_(above, above)
+    out = cut(out)
+    last = parents.select("book_id", F.col("id").alias("root_id"))
+    while not out.join(last, ["book_id", "root_id"], "left_semi").isEmpty():
+        above = out.where(F.col("depth") > 0).select("book_id", "id", "root_id", "depth")
+        out = cut(round_(out, above))
     return out.select("book_id", "id", "parent_id", "root_id", "depth")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.functions.hashing import fields_hash
 from quirework.operators import glossary as G
 from quirework.plans.registry import query
 from quirework.session import table
@@ -87,38 +86,53 @@ def glossary_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("id").agg(F.sum("n").alias("frequency"), F.count("*").alias("n_documents"))
 
 
+IN_SCOPE = "(coalesce(len(g.scopes), 0) = 0 OR list_contains(g.scopes, 'book') OR coalesce(list_contains(g.scopes, {node}), false))"
+ALONE = r"""CASE WHEN regexp_matches(g.target, '^[\x00-\x7f]*$') AND regexp_matches(g.target, '[A-Za-z0-9]') THEN regexp_matches(i.target_text, '(^|[^\p{{L}}\p{{N}}_])' ||
+  CASE WHEN regexp_matches(g.target, '[^aeiouAEIOU][yY]$') THEN regexp_escape(g.target[:-2]) || '(y|ies|y[''’]s)' WHEN regexp_matches(g.target, '[A-Za-z]$') THEN regexp_escape(g.target) || '(s|es|[''’]s)?' ELSE regexp_escape(g.target) END
+  || '([^\p{{L}}\p{{N}}_]|$)') ELSE contains(i.target_text, g.target) END""".replace("{{", "{").replace("}}", "}")
+ITEMS = rf"""{NEEDLES},
+d AS (SELECT book_id, id AS item_id, book_node_id, lower(source_text) AS text, {_doubled("lower(source_text)")} AS doubled FROM alignment),
+m AS (SELECT DISTINCT d.book_id, d.item_id, p.id FROM d, p JOIN glossary g ON g.id = p.id
+      WHERE contains(d.text, CASE WHEN suffix(p.surface, 'y') THEN p.surface[:-2] ELSE p.surface END) AND {_hits("d.doubled", "d.text")} > 0 AND g.status = 'confirmed' AND {IN_SCOPE.format(node="d.book_node_id")})"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "alignment").select("book_id", F.col("id").alias("item_id"), "book_node_id", "source_text", "target_text")
+
+
+@query("glossary_selected", rf"WITH {ITEMS} SELECT book_id, item_id, id FROM m")
+def glossary_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmed entries in scope that a source paragraph uses."""
+    return G.selected(_items(spark, sf_dir), table(spark, sf_dir, "glossary"), ["book_id", "item_id"], "book_node_id", "source_text").drop("n")
+
+
 @query(
     "glossary_missing_targets",
     rf"""
-WITH {NEEDLES},
-d AS (SELECT book_id, id AS item_id, lower(source_text) AS text, {_doubled("lower(source_text)")} AS doubled, target_text FROM alignment),
-m AS (SELECT DISTINCT d.book_id, d.item_id, p.id, d.target_text FROM d, p
-      WHERE contains(d.text, CASE WHEN suffix(p.surface, 'y') THEN p.surface[:-2] ELSE p.surface END) AND {_hits("d.doubled", "d.text")} > 0)
-SELECT m.book_id, m.item_id, m.id FROM m JOIN glossary g ON g.id = m.id
-WHERE g.status = 'confirmed' AND g.target IS NOT NULL AND (regexp_matches(m.target_text, '\p{{Han}}') = (lower(g.target_lang) LIKE 'zh%')) AND NOT contains(m.target_text, g.target)""",
+WITH {ITEMS}
+SELECT m.book_id, m.item_id, m.id FROM m JOIN alignment i ON i.book_id = m.book_id AND i.id = m.item_id JOIN glossary g ON g.id = m.id
+WHERE g.target IS NOT NULL AND (regexp_matches(i.target_text, '\p{{Han}}') = (lower(g.target_lang) LIKE 'zh%')) AND NOT ({ALONE})""",
 )
 def glossary_missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confirmed terms of a source paragraph whose target the aligned paragraph lacks."""
-    items = table(spark, sf_dir, "alignment").select("book_id", F.col("id").alias("item_id"), "source_text", "target_text")
-    glossary = table(spark, sf_dir, "glossary")
-    found = G.matches(items, glossary, ["book_id", "item_id", "target_text"], "source_text").join(
-        glossary.where((F.col("status") == "confirmed") & F.col("target").isNotNull()).select("id", "target", "target_lang"), "id"
-    )
+    """Confirmed terms of a source paragraph whose target the aligned paragraph lacks; a Latin target must stand as a word of its own, in its own case."""
+    items, glossary = _items(spark, sf_dir), table(spark, sf_dir, "glossary")
+    found = G.selected(items, glossary, ["book_id", "item_id"], "book_node_id", "source_text")
+    found = found.join(glossary.where(F.col("target").isNotNull()).select("id", "target", "target_lang"), "id").join(items.select("book_id", "item_id", "target_text"), ["book_id", "item_id"])
     same = F.col("target_text").rlike("\\p{IsHan}") == F.lower("target_lang").like("zh%")
-    return found.where(same & ~F.contains(F.col("target_text"), F.col("target"))).select("book_id", "item_id", "id")
+    return found.where(same & ~G.target_present(F.col("target_text"), F.col("target"))).select("book_id", "item_id", "id")
 
 
 @query(
     "glossary_hashes",
     r"""
-SELECT id, sha256(concat_ws(chr(31), coalesce('=' || source, '!'), coalesce('=' || target, '!'), coalesce('=' || array_to_string(list_sort(aliases), '|'), '!'), coalesce('=' || category, '!'),
-  coalesce('=' || domain, '!'), coalesce('=' || status, '!'), coalesce('=' || array_to_string(list_sort(scopes), '|'), '!'))) AS entry_hash FROM glossary""",
+SELECT id, sha256('{"aliases":' || coalesce(CAST(to_json(aliases) AS VARCHAR), 'null') || ',"category":' || coalesce(CAST(to_json(category) AS VARCHAR), 'null') || ',"domain":' || coalesce(CAST(to_json(domain) AS VARCHAR), 'null')
+  || ',"grammatical":null,"scopes":' || coalesce(CAST(to_json(scopes) AS VARCHAR), 'null') || ',"source":' || coalesce(CAST(to_json(source) AS VARCHAR), 'null') || ',"status":' || coalesce(CAST(to_json(status) AS VARCHAR), 'null')
+  || ',"target":' || coalesce(CAST(to_json(target) AS VARCHAR), 'null') || '}') AS entry_hash FROM glossary""",
 )
 def glossary_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of what an entry means; notes and confidence don't count."""
-    joined = lambda c: F.array_join(F.sort_array(c), "|")
-    fields = [F.col("source"), F.col("target"), joined("aliases"), F.col("category"), F.col("domain"), F.col("status"), joined("scopes")]
-    return table(spark, sf_dir, "glossary").select("id", fields_hash(*fields).alias("entry_hash"))
+    glossary = table(spark, sf_dir, "glossary")
+    return glossary.select("id", G.entry_hash(glossary).alias("entry_hash"))
 
 
 @query(

@@ -14,22 +14,22 @@ from quirework.session import ship
 
 BLOCKS = X.values("b", X.BLOCKS, X.BLOCK_SCHEMA)
 COLUMNS = f"""{BLOCKS}, c AS (SELECT *, (x0 + x1) / 2 AS m FROM b WHERE length(text) >= 20 AND x1 - x0 <= page_width * 0.7),
-paired AS (SELECT DISTINCT l.page FROM c l JOIN c r ON l.page = r.page WHERE l.m < l.page_width * 0.46 AND r.m > r.page_width * 0.54
+paired AS (SELECT DISTINCT l.book_id, l.page FROM c l JOIN c r ON l.book_id = r.book_id AND l.page = r.page WHERE l.m < l.page_width * 0.46 AND r.m > r.page_width * 0.54
   AND greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0)) / greatest(1, least(l.y1 - l.y0, r.y1 - r.y0)) >= 0.2),
-lay AS (SELECT page, CASE WHEN page NOT IN (SELECT page FROM paired) THEN 'single_column' WHEN bool_or(x1 - x0 > page_width * 0.72) THEN 'mixed' ELSE 'multi_column' END AS layout FROM b GROUP BY page)"""
+lay AS (SELECT book_id, page, CASE WHEN (book_id, page) NOT IN (SELECT (book_id, page) FROM paired) THEN 'single_column' WHEN bool_or(x1 - x0 > page_width * 0.72) THEN 'mixed' ELSE 'multi_column' END AS layout FROM b GROUP BY book_id, page)"""
 LINES = X.values("l", X.LINES, X.LINE_SCHEMA)
 
 
-@query("layout_columns", f"WITH {COLUMNS} SELECT page, layout FROM lay")
+@query("layout_columns", f"WITH {COLUMNS} SELECT book_id, page, layout FROM lay")
 def layout_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.columns(X.frame(spark, X.BLOCKS, X.BLOCK_SCHEMA))
 
 
 @query(
     "layout_order",
-    f"""WITH {COLUMNS}, t AS (SELECT b.*, lay.layout, x1 - x0 > page_width * 0.72 AS wide, min(CASE WHEN NOT x1 - x0 > page_width * 0.72 THEN y0 END) OVER (PARTITION BY b.page) AS top FROM b JOIN lay USING (page)),
+    f"""WITH {COLUMNS}, t AS (SELECT b.*, lay.layout, x1 - x0 > page_width * 0.72 AS wide, min(CASE WHEN NOT x1 - x0 > page_width * 0.72 THEN y0 END) OVER (PARTITION BY b.book_id, b.page) AS top FROM b JOIN lay USING (book_id, page)),
 z AS (SELECT *, CASE WHEN layout = 'single_column' THEN 0 WHEN wide AND y0 < coalesce(top, page_width) THEN 0 WHEN wide THEN 3 WHEN (x0 + x1) / 2 < page_width / 2 THEN 1 ELSE 2 END AS zone FROM t)
-SELECT page, block, zone, CAST(row_number() OVER (PARTITION BY page ORDER BY zone, y0, x0, block) AS INTEGER) AS place FROM z""",
+SELECT book_id, page, block, zone, CAST(row_number() OVER (PARTITION BY book_id, page ORDER BY zone, y0, x0, block) AS INTEGER) AS place FROM z""",
 )
 def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = X.frame(spark, X.BLOCKS, X.BLOCK_SCHEMA)
@@ -38,13 +38,13 @@ def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "layout_boxes",
-    f"""WITH {BLOCKS}, n AS (SELECT page, block, least(1, greatest(0, x0 / page_width)) AS l, least(1, greatest(0, y0 / 800.0)) AS t, least(1, greatest(0, x1 / page_width)) AS r, least(1, greatest(0, y1 / 800.0)) AS u FROM b)
-SELECT page, block, CAST(round(l, 6) AS DOUBLE) AS x, CAST(round(t, 6) AS DOUBLE) AS y, CAST(round(greatest(0.000001, r - l), 6) AS DOUBLE) AS width, CAST(round(greatest(0.000001, u - t), 6) AS DOUBLE) AS height FROM n""",
+    f"""WITH {BLOCKS}, n AS (SELECT book_id, page, block, least(1, greatest(0, x0 / page_width)) AS l, least(1, greatest(0, y0 / 800.0)) AS t, least(1, greatest(0, x1 / page_width)) AS r, least(1, greatest(0, y1 / 800.0)) AS u FROM b)
+SELECT book_id, page, block, CAST(round(l, 6) AS DOUBLE) AS x, CAST(round(t, 6) AS DOUBLE) AS y, CAST(round(greatest(0.000001, r - l), 6) AS DOUBLE) AS width, CAST(round(greatest(0.000001, u - t), 6) AS DOUBLE) AS height FROM n""",
 )
 def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes as parts of their page."""
     box = G.normal_box(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.col("page_width"), F.lit(800.0))
-    return X.frame(spark, X.BLOCKS, X.BLOCK_SCHEMA).select("page", "block", *box)
+    return X.frame(spark, X.BLOCKS, X.BLOCK_SCHEMA).select("book_id", "page", "block", *box)
 
 
 BODY = f"""{LINES}, body AS (SELECT book_id, arg_max(size, (n, size)) AS body FROM (SELECT book_id, round(size * 2) / 2 AS size, sum(length(text)) AS n FROM l WHERE NOT in_margin GROUP BY ALL) GROUP BY book_id)"""
@@ -91,7 +91,7 @@ def layout_folios(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES = X.values("p", X.PAGES, X.PAGE_SCHEMA)
 
 
-@query("layout_duplicate_pages", f"WITH {PAGES}, w AS (SELECT *, lag(page) OVER (PARTITION BY book_id, image_sha ORDER BY page) AS same_as FROM p WHERE n_chars > 0) SELECT book_id, page, same_as FROM w WHERE same_as IS NOT NULL")
+@query("layout_duplicate_pages", f"WITH {PAGES}, w AS (SELECT *, lag(page) OVER (PARTITION BY book_id, image_sha ORDER BY page) AS same_as FROM p) SELECT book_id, page, same_as FROM w WHERE same_as IS NOT NULL AND n_chars > 0")
 def layout_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.duplicate_pages(X.frame(spark, X.PAGES, X.PAGE_SCHEMA))
 
@@ -131,8 +131,8 @@ def layout_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "layout_ocr",
-    f"""WITH {X.values("r", X.TSV, X.TSV_SCHEMA)}, w AS (SELECT page, pos, TRY_CAST(string_split(line, chr(9))[11] AS DOUBLE) AS conf, trim(string_split(line, chr(9))[12]) AS word FROM r)
-SELECT page, count(*) AS n_words, round(avg(conf), 6) AS confidence, string_agg(word, ' ' ORDER BY pos) AS text FROM w WHERE conf >= 0 AND length(word) > 0 GROUP BY page""",
+    f"""WITH {X.values("r", X.TSV, X.TSV_SCHEMA)}, w AS (SELECT book_id, page, pos, TRY_CAST(string_split(line, chr(9))[11] AS DOUBLE) AS conf, trim(string_split(line, chr(9))[12]) AS word FROM r)
+SELECT book_id, page, count(*) AS n_words, round(avg(conf), 6) AS confidence, string_agg(word, ' ' ORDER BY pos) AS text FROM w WHERE conf >= 0 AND length(word) > 0 GROUP BY book_id, page""",
 )
 def layout_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ocr_words(X.frame(spark, X.TSV, X.TSV_SCHEMA))
@@ -140,8 +140,8 @@ def layout_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "layout_wraps",
-    rf"""WITH {X.values("w", X.WRAPS, X.WRAP_SCHEMA)}, n AS (SELECT *, lead(text) OVER (PARTITION BY page, block ORDER BY line) AS next, max(length(text)) OVER (PARTITION BY page, block) * 0.85 AS "full" FROM w)
-SELECT page, block, line, right(text, 20) AS tail, left(next, 20) AS head FROM n WHERE next IS NOT NULL AND length(text) >= "full" AND NOT regexp_matches(text, '[.!?:;…"''”’)\]]$') AND regexp_matches(next, '^[\p{{Ll}}0-9]')""",
+    rf"""WITH {X.values("w", X.WRAPS, X.WRAP_SCHEMA)}, n AS (SELECT *, lead(text) OVER (PARTITION BY book_id, page, block ORDER BY line) AS next, max(length(text)) OVER (PARTITION BY book_id, page, block) * 0.85 AS "full" FROM w)
+SELECT book_id, page, block, line, right(text, 20) AS tail, left(next, 20) AS head FROM n WHERE next IS NOT NULL AND length(text) >= "full" AND NOT regexp_matches(text, '[.!?:;…"''”’)\]]$') AND regexp_matches(next, '^[\p{{Ll}}0-9]')""",
 )
 def layout_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.line_wraps(X.frame(spark, X.WRAPS, X.WRAP_SCHEMA))

@@ -25,7 +25,7 @@ ROLES = X.values("b", X.ROLES, X.ROLE_SCHEMA)
     rf"""WITH {ROLES}, r AS (SELECT *, CASE WHEN is_image THEN 'figure' WHEN regexp_matches(text, '[=∑∫√±≤≥]') AND length(text) < 300 THEN 'formula'
   WHEN regexp_matches(text, '(?i)^\s*(figure|fig\.|table|chart|exhibit|plate|图|表)\s*[0-9]') THEN 'caption' WHEN y0 > page_height * 0.82 AND size < median * 0.9 THEN 'footnote'
   WHEN size >= median * 1.3 AND length(text) <= 180 THEN 'heading' WHEN x1 - x0 < page_width * 0.38 AND layout = 'single_column' AND length(text) > 40 THEN 'sidebar' ELSE 'body' END AS role FROM b)
-SELECT page, block, role, CASE role WHEN 'figure' THEN 1 WHEN 'formula' THEN 3 WHEN 'caption' THEN 1 WHEN 'footnote' THEN 2 WHEN 'heading' THEN 0 WHEN 'sidebar' THEN 2 ELSE CASE WHEN layout IN ('multi_column', 'mixed') THEN 2 ELSE 0 END END AS risk FROM r""",
+SELECT book_id, page, block, role, CASE role WHEN 'figure' THEN 1 WHEN 'formula' THEN 3 WHEN 'caption' THEN 1 WHEN 'footnote' THEN 2 WHEN 'heading' THEN 0 WHEN 'sidebar' THEN 2 ELSE CASE WHEN layout IN ('multi_column', 'mixed') THEN 2 ELSE 0 END END AS risk FROM r""",
 )
 def pages_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.roles(X.frame(spark, X.ROLES, X.ROLE_SCHEMA))
@@ -33,9 +33,9 @@ def pages_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pages_scanned",
-    f"""WITH {ROLES}, p AS (SELECT page, CAST(sum(CASE WHEN NOT is_image AND y0 >= page_height * 0.08 AND y1 <= page_height * 0.92 THEN length(text) ELSE 0 END) AS BIGINT) AS body_chars,
-  round(least(1.0, sum(CASE WHEN is_image THEN (x1 - x0) * (y1 - y0) ELSE 0 END) / any_value(page_width * page_height)), 6) AS coverage FROM b GROUP BY page)
-SELECT page, body_chars, coverage, body_chars < 20 AND coverage >= 0.5 AS scanned FROM p""",
+    f"""WITH {ROLES}, p AS (SELECT book_id, page, CAST(sum(CASE WHEN NOT is_image AND y0 >= page_height * 0.08 AND y1 <= page_height * 0.92 THEN length(text) ELSE 0 END) AS BIGINT) AS body_chars,
+  round(least(1.0, sum(CASE WHEN is_image THEN (x1 - x0) * (y1 - y0) ELSE 0 END) / any_value(page_width * page_height)), 6) AS coverage FROM b GROUP BY book_id, page)
+SELECT book_id, page, body_chars, coverage, body_chars < 20 AND coverage >= 0.5 AS scanned FROM p""",
 )
 def pages_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.scanned_pages(X.frame(spark, X.ROLES, X.ROLE_SCHEMA))
@@ -48,9 +48,9 @@ def pages_folio_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pages_heading_runs",
-    f"""WITH {X.values("h", X.HEADINGS, X.HEADING_SCHEMA)}, m AS (SELECT *, CASE WHEN line = lag(line) OVER w + 1 AND level = lag(level) OVER w THEN 0 ELSE 1 END AS starts FROM h WINDOW w AS (PARTITION BY page ORDER BY line)),
-r AS (SELECT *, sum(starts) OVER (PARTITION BY page ORDER BY line) AS run FROM m)
-SELECT page, level, min(line) AS line, count(*) AS n, string_agg(text, ' ' ORDER BY line) AS title FROM r GROUP BY page, run, level""",
+    f"""WITH {X.values("h", X.HEADINGS, X.HEADING_SCHEMA)}, m AS (SELECT *, CASE WHEN line = lag(line) OVER w + 1 AND level = lag(level) OVER w THEN 0 ELSE 1 END AS starts FROM h WINDOW w AS (PARTITION BY book_id, page ORDER BY line)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY book_id, page ORDER BY line) AS run FROM m)
+SELECT book_id, page, level, min(line) AS line, count(*) AS n, string_agg(text, ' ' ORDER BY line) AS title FROM r GROUP BY book_id, page, run, level""",
 )
 def pages_heading_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.heading_runs(X.frame(spark, X.HEADINGS, X.HEADING_SCHEMA))
@@ -87,13 +87,13 @@ def pages_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "books_vocabulary",
     r"""WITH s AS (SELECT DISTINCT book_id, id, text FROM segments WHERE kind = 'paragraph' AND text IS NOT NULL),
-w AS (SELECT book_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+(?:-[A-Za-z]+)+'))) AS compound FROM s)
+w AS (SELECT book_id, lower(unnest(regexp_extract_all(text, '[\p{L}]+(?:-[\p{L}]+)+'))) AS compound FROM s)
 SELECT compound, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT book_id) AS BIGINT) AS n_books FROM w GROUP BY compound""",
 )
 def books_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compounds with a hyphen of their own, and how many books use them."""
     rows = S.once(table(spark, sf_dir, "segments").where((F.col("kind") == "paragraph") & F.col("text").contains("-")), "book_id", "id", "text")
-    words = rows.select("book_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:-[A-Za-z]+)+"), F.lit(0))).alias("w"))
+    words = rows.select("book_id", F.explode(F.regexp_extract_all("text", F.lit("\\p{L}+(?:-\\p{L}+)+"), F.lit(0))).alias("w"))
     by_book = words.groupBy(F.lower("w").alias("compound"), "book_id").agg(F.count("*").alias("n"))
     return by_book.groupBy("compound").agg(F.sum("n").alias("n"), F.count("*").alias("n_books"))
 
@@ -148,12 +148,6 @@ def captions_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.withColumn("place", F.row_number().over(Window.orderBy(LN.sort_key(F.col("key")), "key")))
 
 
-@query("segments_pieces")
-def segments_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments cut for work units; an iterative cut, tested against brute force."""
-    return S.split_long(table(spark, sf_dir, "segments"))
-
-
 @query(
     "documents_weights",
     r"""SELECT doc_id, n_chars = length(text) AS n_chars_fits, CAST(round(len(regexp_extract_all(regexp_replace(text, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]', ' ', 'g'), '[\p{L}]+(?:[''’][\p{L}]+)*'))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirework.functions import text as T
 from quirework.operators import structure as S
@@ -56,8 +57,8 @@ FROM rows""",
 )
 def structure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind a block parser gives a segment beside the kind it carries."""
-    segments = table(spark, sf_dir, "segments").where(F.length("text") > 0)
-    return S.once(segments, "book_id", "id", "kind", "text").select("book_id", "id", S.kind_of(F.col("text")).alias("parsed_kind"), "kind")
+    rows = table(spark, sf_dir, "segments").where(F.length("text") > 0).select("book_id", "id", "ord", "heading_level", "title", "lang", "kind", S.kind_of(F.col("text")).alias("parsed_kind"), F.xxhash64("text").alias("text"))
+    return rows.distinct().select("book_id", "id", "parsed_kind", "kind")
 
 
 @query(
@@ -75,13 +76,14 @@ FROM l GROUP BY book_id""",
 )
 def structure_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that describe a book: characters, lines, headings, images, table and formula signals."""
-    rows = S.once(table(spark, sf_dir, "segments").where(F.col("text").isNotNull()), "book_id", "id", "text")
     text = F.col("text")
     counts = {
         "n_chars": F.length(text), "n_lines": F.size(T.lines(text)), "n_headings": T.heading_lines(text), "n_images": F.size(T.images(text)), "n_table_lines": T.table_signals(text),
         "n_fences": T.code_fences(text), "n_formula_lines": T.formula_signals(text), "n_formulas": T.formulas(text),
     }
-    return rows.groupBy("book_id").agg(*[F.sum(v.cast("long")).alias(k) for k, v in counts.items()])
+    # counted where the text is read; only the counts and a hash go on to find rows delivered twice
+    rows = table(spark, sf_dir, "segments").where(text.isNotNull()).select("book_id", "id", F.xxhash64("text").alias("h"), *[v.cast("long").alias(k) for k, v in counts.items()])
+    return rows.distinct().groupBy("book_id").agg(*[F.sum(k).alias(k) for k in counts])
 
 
 @query(
@@ -120,13 +122,36 @@ def structure_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.heading_parents(table(spark, sf_dir, "segments"))
 
 
+def _after_last(*marks: str) -> str:
+    """SQL: where the last of the marks in ``w`` ends, -1 without any."""
+    return "greatest(-1, " + ", ".join(f"CASE WHEN contains(w, {m}) THEN length(w) - strpos(reverse(w), reverse({m})) + 1 ELSE -1 END" for m in marks) + ")"
+
+
+PIECES = f"""long AS (SELECT book_id, id, ord, kind, text FROM segs WHERE length(text) > 9000 AND kind NOT IN ('code', 'table')),
+cuts AS (
+  SELECT book_id, id, ord, kind, text AS rest, 0 AS part, CAST(NULL AS BIGINT) AS size FROM long
+  UNION ALL
+  SELECT book_id, id, ord, kind, regexp_replace(rest[cut + 1:], '^[\\s\\p{{Z}}]+', ''), part + 1, length(CASE WHEN cut = length(rest) THEN rest ELSE regexp_replace(rest[:cut], '[\\s\\p{{Z}}]+$', '') END)
+  FROM (SELECT *, CASE WHEN length(rest) <= 9000 THEN length(rest) WHEN a >= 4500 THEN a WHEN b >= 4500 THEN b WHEN c >= 4500 THEN c WHEN d >= 4500 THEN d ELSE 9000 END AS cut
+    FROM (SELECT *, {_after_last("chr(10)")} AS a, {_after_last("'。'", "'！'", "'？'", "'. '", "'! '", "'? '")} AS b, {_after_last("'；'", "'; '", "'，'", "', '")} AS c, {_after_last("' '")} AS d
+      FROM (SELECT *, rest[:9000] AS w FROM cuts WHERE length(rest) > 0)))),
+pieces AS (SELECT book_id, id, ord, kind, 0 AS part, length(text) AS n_chars FROM segs WHERE NOT coalesce(length(text) > 9000 AND kind NOT IN ('code', 'table'), false)
+  UNION ALL SELECT book_id, id, ord, kind, part, size FROM cuts WHERE part > 0)"""
+
+
+@query("segments_pieces", f"WITH RECURSIVE {SEGS}, {PIECES} SELECT book_id, id, ord, kind, CAST(part AS INTEGER) AS part, CAST(n_chars AS INTEGER) AS n_chars FROM pieces")
+def segments_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments cut for work units."""
+    return S.split_long(table(spark, sf_dir, "segments"))
+
+
 @query(
     "structure_units",
     f"""
-WITH RECURSIVE {SEGS}, sized AS (
-  SELECT book_id, ord, coalesce(length(text), 0) + 2 AS size,
-    max(CASE WHEN kind = 'heading' THEN ord END) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS node_ord FROM segs),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY book_id, node_ord ORDER BY ord) AS r FROM sized),
+WITH RECURSIVE {SEGS}, {PIECES}, nodes_of AS (
+  SELECT book_id, id, ord, max(CASE WHEN kind = 'heading' THEN ord END) OVER (PARTITION BY book_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS node_ord FROM segs),
+sized AS (SELECT book_id, ord, id, part, coalesce(n_chars, 0) + 2 AS size, node_ord FROM pieces JOIN nodes_of USING (book_id, id, ord)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY book_id, node_ord ORDER BY ord, id, part) AS r FROM sized),
 fold AS (
   SELECT book_id, node_ord, ord, size, r, 1 AS unit_in_node, size AS used FROM ranked WHERE r = 1
   UNION ALL
@@ -233,31 +258,35 @@ GROUP BY ALL""",
 def units_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier units of the same node, the newest first, as far as a budget of characters goes.
 
-    Prefix sums tell what lies between two units; only units of one node are paired.
+    Prefix sums tell what lies between two units, so a range of them is the answer and no units are paired.
     """
     units, segments = table(spark, sf_dir, "units"), table(spark, sf_dir, "segments")
     sizes = segments.select("book_id", "id", F.length("text").alias("n")).distinct()
     ids = units.select("book_id", "unit_id", "ord", "book_node_id", F.explode("segment_ids").alias("id"))
     u = ids.join(sizes, ["book_id", "id"], "left").groupBy("book_id", "unit_id", "ord", "book_node_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    before = F.expr("coalesce(sum(n) over (partition by book_id, book_node_id order by ord rows between unbounded preceding and 1 preceding), 0)")
-    u = u.withColumn("before", before)
-    older = u.select(F.col("book_id").alias("k"), F.col("book_node_id").alias("node"), F.col("ord").alias("o"), F.col("n").alias("m"), F.col("before").alias("b"), F.col("unit_id").alias("x"))
-    near = (F.col("book_id") == F.col("k")) & (F.col("book_node_id") == F.col("node")) & (F.col("o") < F.col("ord")) & (F.col("before") - F.col("b") <= 1800)
-    return u.join(older, near, "left").groupBy("book_id", "unit_id").agg(F.count("x").alias("n_earlier"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_chars"))
+    node = Window.partitionBy("book_id", "book_node_id")
+    u = u.withColumn("before", F.coalesce(F.sum("n").over(node.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = node.orderBy("before").rangeBetween(-1800, 0)
+    # empty units share a prefix sum with those behind them, which are not earlier ones
+    behind = Window.partitionBy("book_id", "book_node_id", "before").orderBy("ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    less = lambda f: f.over(near) - f.over(behind)
+    earlier = u.where(F.col("book_node_id").isNotNull()).select("book_id", "unit_id", less(F.count("*")).alias("n_earlier"), less(F.sum("n")).alias("n_chars"))
+    alone = u.where(F.col("book_node_id").isNull()).select("book_id", "unit_id", F.lit(0).cast("long").alias("n_earlier"), F.lit(0).cast("long").alias("n_chars"))
+    return earlier.unionByName(alone)
 
 
 @query(
     "headings_identifiers",
     rf"""
-WITH {SEGS}, h AS (SELECT book_id, id, ord, title, lower(title) AS t FROM segs WHERE kind = 'heading' AND title IS NOT NULL AND regexp_matches(title, '^[\x00-\x7f]*$')),
+WITH {SEGS}, h AS (SELECT book_id, id, ord, title, lower(title) AS t FROM segs WHERE kind = 'heading' AND title IS NOT NULL),
 k AS (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(t, '[^\p{{L}}\p{{N}}_.\s-]', '', 'g')), '\s+', '-', 'g'), '^[^\p{{L}}]+', '') AS raw FROM h),
 n AS (SELECT *, CASE WHEN raw = '' THEN 'section' ELSE raw END AS key FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY ord) - 1 AS i FROM n)
-SELECT book_id, id, CASE WHEN i = 0 THEN key ELSE key || '-' || i END AS identifier, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:64], '^-+|-+$', '', 'g'), '^$', 'none') AS slug
+SELECT book_id, id, CASE WHEN i = 0 THEN key ELSE key || '-' || i END AS identifier, coalesce(nullif(regexp_replace(regexp_replace(t, '[^a-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g')[1:64], ''), 'book-' || sha256(title)[1:8]) AS slug
 FROM r""",
 )
 def headings_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of headings within their book, and file-name keys."""
-    rows = table(spark, sf_dir, "segments").where((F.col("kind") == "heading") & F.col("title").rlike("^[\\x00-\\x7f]*$"))
+    rows = table(spark, sf_dir, "segments").where((F.col("kind") == "heading") & F.col("title").isNotNull())
     named = S.with_identifiers(S.once(rows, "book_id", "id", "ord", "title"), "book_id", "ord")
-    return named.select("book_id", "id", "identifier", F.coalesce(T.slug(F.col("title")), F.lit("none")).alias("slug"))
+    return named.select("book_id", "id", "identifier", T.slug(F.col("title"), F.sha2("title", 256)).alias("slug"))

@@ -31,11 +31,13 @@ def local_session(cores: int | str = 8, app: str = "quirework", **conf: str) ->
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a single machine) is a local
-    folder made, one for each context.
+    Only where that setting is missing and the master is this machine is a
+    local folder made, one for each context; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = spark.sparkContext.__dict__
         root = own.setdefault("_quirework_root", None) or "file://" + tempfile.mkdtemp(prefix="quirework-")
         own["_quirework_root"] = root

@@ -108,7 +108,7 @@ def test_overlay(spark):
 def test_clusters_against_brute_force(spark):
     rng = random.Random(5)
     boxes = [(p, *(v := (rng.uniform(0, 300), rng.uniform(0, 300))), v[0] + rng.uniform(1, 40), v[1] + rng.uniform(1, 40)) for p in (1, 2) for _ in range(25)]
-    got = Counter((r.page, r.n) for r in layout.clusters(spark.createDataFrame(boxes, "page int, x0 double, y0 double, x1 double, y1 double"), 10.0).collect())
+    got = Counter((r.page, r.n) for r in layout.clusters(spark.createDataFrame([("a", *b) for b in boxes], "book_id string, page int, x0 double, y0 double, x1 double, y1 double"), 10.0).collect())
     want = Counter()
     for p in (1, 2):
         rest = [b[1:] for b in boxes if b[0] == p]
@@ -163,3 +163,43 @@ def test_units_chain_over_gaps_and_repeated_orders(spark, tmp_path):
     spark.createDataFrame(rows, "book_id string, unit_id string, ord int, source_hash string").write.parquet(f"{tmp_path}/units.parquet")
     got = sorted((r.book_id, r.unit_id, r.previous_hash) for r in units_chain(spark, str(tmp_path)).collect())
     assert got == [("b", "u1", "root"), ("b", "u2", "h1"), ("b", "u3", "h2"), ("b", "u4", "h3"), ("b", "u5", "h4"), ("c", "u1", "root")]
+
+
+@pytest.mark.parametrize(
+    "text,target,want",
+    [("The iPhone sold well.", "iPhone", True), ("The Iphone sold well.", "iPhone", False), ("An iPhones' case", "iPhone", True), ("xiPhone", "iPhone", False), ("two strategies", "strategy", True), ("a.b", "a.b", True), ("axb", "a.b", False), ("压力表坏了", "压力表", True), ("a (b) c", "(b)", True)],
+)
+def test_targets_are_whole_words(spark, text, target, want):
+    row = spark.createDataFrame([(text, target)], "a string, b string").select(glossary.target_present(F.col("a"), F.col("b")).alias("x")).first()
+    assert row.x is want
+
+
+def test_entries_hold_in_their_scope(spark):
+    entries = [("g", "wheel", None, [], "confirmed", None), ("b", "wheel hub", None, [], "confirmed", ["book"]), ("n", "hub", None, [], "confirmed", ["n1"]), ("p", "wheel", None, ["hubs"], "pending", [])]
+    texts = spark.createDataFrame([("1", "n1", "A wheel hub."), ("2", "n2", "A wheel hub."), ("3", None, "A hub.")], "k string, node string, text string")
+    got = {(r.k, r.id) for r in glossary.selected(texts, spark.createDataFrame(entries, GLOSSARY + ", scopes array<string>"), ["k"], "node").collect()}
+    assert got == {("1", "g"), ("1", "b"), ("1", "n"), ("2", "g"), ("2", "b")}
+
+
+def test_tree_of_any_depth(spark):
+    n = 21
+    rows = [("b", f"n{i}", [f"n{i + 1}"] if i < n - 1 else []) for i in range(n)] + [("c", "n0", None)]
+    got = {(r.book_id, r.id): (r.root_id, r.depth) for r in structure.tree(spark.createDataFrame(rows, "book_id string, id string, children array<string>")).collect()}
+    assert got == {("b", f"n{i}"): ("n0", i) for i in range(n)} | {("c", "n0"): ("n0", 0)}
+
+
+def test_units_hold_no_more_than_they_may(spark):
+    rng = random.Random(2)
+    rows = [("b", f"s{i}", i, rng.choice(["heading", "paragraph", "code"]), "word " * rng.choice([3, 300, 4000])) for i in range(60)] + [("b", "n", 99, "paragraph", None)]
+    segments = spark.createDataFrame(rows, "book_id string, id string, ord int, kind string, text string")
+    units = structure.pack_units(segments.unionByName(segments.limit(9)), target=6000, most=9000).collect()
+    code = max(len(r[4]) for r in rows if r[3] == "code") + 2
+    assert max(u.n_chars for u in units) <= max(9002, code) and sum(u.n_segments for u in units) == structure.split_long(segments, 9000).count()
+    for u in units:
+        assert u.n_segments == 1 or u.n_chars <= 6000
+
+
+def test_pages_of_two_books_stay_apart(spark):
+    rows = [("a", 1, 1, 600.0, 40.0, 80.0, 260.0, 400.0, "x" * 30), ("b", 1, 1, 600.0, 340.0, 80.0, 560.0, 400.0, "x" * 30)]
+    got = layout.columns(spark.createDataFrame(rows, "book_id string, page int, block int, page_width double, x0 double, y0 double, x1 double, y1 double, text string")).collect()
+    assert {(r.book_id, r.layout) for r in got} == {("a", "single_column"), ("b", "single_column")}

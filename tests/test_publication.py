@@ -17,7 +17,7 @@ CASES = [
     (P.lift_images, "```\n# x ![a](b)\n```", "```\n# x ![a](b)\n```"),
     (P.flatten_page_links, "[a](p2.xhtml#x) [b](http://e.org/x.html) [c](#d) ![d](e.html)", "a [b](http://e.org/x.html) [c](#d) ![d](e.html)"),
     (P.slashes, '<img src="a\\b\\c.png"> \\emph', '<img src="a/b/c.png"> \\emph'),
-    (P.known_roles, '<section role="doc-chapter"><p role="odd">', '<section role="doc-chapter"><p>'),
+    (P.known_roles, '<a href="#x" role="doc-backlink">a</a><a role="chapterjump" href="y">b</a><p role="odd">', '<a href="#x" role="doc-backlink">a</a><a href="y">b</a><p role="odd">'),
     (P.bind_captions, '<p><img src="a"/></p>\n<p>Figure 1 A mill</p><p>Text</p>', '<figure><img src="a"/><figcaption>Figure 1 A mill</figcaption></figure><p>Text</p>'),
     (P.bind_captions, '<p><img src="a"/></p><p>' + "Figure 1 " + "x" * 90 + "</p>", '<p><img src="a"/></p><p>' + "Figure 1 " + "x" * 90 + "</p>"),
     (P.split_captions, "Prose ends. **Figure 2 A mill**", "Prose ends.\n\n**Figure 2 A mill**"),
