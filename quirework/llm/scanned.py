@@ -56,6 +56,8 @@ _ROMAN_DIGITS = (("c", 100), ("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix"
 _NUMBER = r"(\d{1,4}|[ivxlcIVXLC]{1,7})"
 _FRAMED = re.compile(rf"(?:(?:p|pp|s|с|стр|pág)\.|page|seite|página|стр)\s*{_NUMBER}(?:\s+(?:of|von|de|sur|из|/)\s*\d+)?|[\[(—–-]\s*{_NUMBER}\s*[\])—–-]", re.I)
 _PLAIN = re.compile(_NUMBER)
+#: No page number in words or signs is longer, unless it ends in a digit.
+_LONGEST_PAGE = 40
 _END_MARK = re.compile(r"([^\W\d_]+(?:[@\d][^\W\d_]*)*)([-¬=­‐][ \t]?)$")
 _MARKS = frozenset("-¬=\u00ad\u2010")
 _WORD = re.compile(r"[\w@]+(?:-[\w@]+)*")
@@ -113,17 +115,21 @@ def fold_head(text: str) -> str:
 def parts(line: str) -> tuple[str, tuple[int, bool] | None]:
     """A line as head text and page number; either may be missing."""
     text = line.strip()
-    if "  " not in text and len(text) > 24:
-        return text, None
-    page = page_value(text)
+    page = page_value(text) if len(text) <= _LONGEST_PAGE or text[-1:].isdigit() else None
     if page:
         return "", page
-    columns = re.split(r"\s{2,}", text)
-    if len(columns) == 2:
-        for head, number in (columns, columns[::-1]):
-            page = page_value(number)
-            if page:
-                return head, page
+    if "  " in text or "\t" in text:
+        columns = re.split(r"\s{2,}|\t", text)
+        if len(columns) == 2:
+            for head, number in (columns, columns[::-1]):
+                page = page_value(number)
+                if page:
+                    return head, page
+    elif text[-1:].isdigit() or text[:1].isdigit():
+        # one space between them: only a head in capitals is one beyond doubt
+        for head, number in (text.rpartition(" ")[::2], text.partition(" ")[::-2]):
+            if number.isdigit() and len(number) < 5 and is_capitals(head) and not re.search(r"\d", head):
+                return head, (int(number), False)
     return text, None
 
 
@@ -246,7 +252,7 @@ def _candidates(batch: pa.RecordBatch) -> dict:
         for i, line in enumerate(row["text"].split("\n")):
             head, page = parts(line)
             text = line.strip()
-            if page is None and not (4 <= len(text) <= 90 and (is_capitals(text) or not text.endswith((",", ";", "-", "¬")))):
+            if page is None and (len(text) < 4 or not is_capitals(text) and text.endswith((",", ";", "-", "¬"))):
                 continue
             key = fold_head(head) if head else None
             for column, value in zip(out.values(), (row["book_id"], row["id"], row["ord"], i + 1, page[0] if page else None, key or None), strict=True):

@@ -432,3 +432,55 @@ def test_a_garbled_title_alone_is_repaired_too(spark):
     rows = [("b", "1", "plain", "CafÃ©"), ("b", "2", "plain", "plain"), ("b", "3", "CafÃ©", None), ("b", "4", None, None)]
     got = {r.id: r for r in encoding.repair_segments(spark.createDataFrame(rows, "book_id string, id string, text string, title string"), only_affected=True).collect()}
     assert sorted(got) == ["1", "3"] and got["1"].title == "Café" and not got["1"].affected and got["1"].title_affected and got["3"].affected
+
+
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("THE ART OF THE BOOKBINDER 1234", ("THE ART OF THE BOOKBINDER", (1234, False))),
+        ("12 A HISTORY OF WORK", ("A HISTORY OF WORK", (12, False))),
+        ("  Page 31 of 303 ", ("", (31, True))),
+        ("x" * 100 + "   7", ("x" * 100, (7, False))),
+        ("It was sold for 12", ("It was sold for 12", None)),
+        ("HOUSE 7 AND HOUSE 8", ("HOUSE 7 AND HOUSE 8", None)),
+        ("xiv", ("", (14, False))),
+    ],
+)
+def test_heads_and_page_numbers_of_any_length(line, want):
+    assert scanned.parts(line) == want
+
+
+WORDS = "mill river stone wheel grain water roof beam yard wall gate bridge road cart horse field barn lamp rope chain".split()
+
+
+def test_a_running_head_of_a_hundred_characters_is_found(spark):
+    rng = random.Random(4)
+    head = "A very long running head that a printer set over every single page of this book on the history of looms"
+    rows = []
+    for k in range(40):
+        body = "\n".join("and " + " ".join(rng.choice(WORDS) for _ in range(10)) for _ in range(5))
+        rows.append(("b", f"s{k}", k, "paragraph", (head + "\n" if k % 4 == 0 else "") + body + " and it was so."))
+    books = spark.createDataFrame([("b", "T", "pdf")], "book_id string, title string, source_format string")
+    got = {(r.id, r.line_no) for r in scanned.line_defects(segments(spark, rows), books)[0].where("defect = 'furniture'").collect()}
+    assert got == {(f"s{k}", 1) for k in range(0, 40, 4)}
+
+
+DEEP = [
+    ("<b>" * 1500 + "deep" + "</b>" * 1500, "deep"),
+    ("<div>" * 3000 + "open", "open"),
+    ("\\textbf{\\emph{\\textit{\\texttt{\\underline{\\textsc{deep}}}}}} end", "`deep` end"),
+    ("a {{lang|fr|{{small|{{nobr|{{big|mot}}}}}}}} b", "a fr mot b"),
+]
+
+
+@pytest.mark.parametrize("text,want", DEEP)
+def test_markup_of_any_depth(text, want):
+    assert markup.clean(text, "paragraph").text == want
+
+
+def test_long_formulas_and_row_spans():
+    formula = "$" + "x_{1} + " * 100 + "y$"
+    assert formula in markup.clean(f"<b>bold</b> {formula}", "paragraph").text
+    table = "<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr><tr><td colspan=2>d</td></tr></table>"
+    rows = [[c.strip() for c in r.strip("|").split("|")] for r in markup.clean(table, "table").text.split("\n")]
+    assert rows == [["a", "b"], ["", "c"], ["d", ""]]
