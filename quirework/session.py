@@ -48,11 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends at the files, so a lost executor never makes an earlier
-    stage run again, and a table used twice is computed once.
+    stage run again, and a table used twice is computed once. The files go with
+    the driver's JVM at the latest, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     spark.sparkContext.__dict__.setdefault("_quirework_cuts", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
