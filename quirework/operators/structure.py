@@ -33,14 +33,9 @@ def kind_of(block: Column) -> Column:
     )
 
 
-def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a block: ``key, block_no, kind, heading_level, title, text``.
-
-    A block ends at a blank line; inside a code fence blank lines belong to it.
-    Lines are grouped within each document by a fold over its own array, so
-    nothing is shuffled. Null and blank texts have no blocks.
-    """
-    body = F.regexp_replace(F.col(text), "\\r\\n?", "\n")
+def block_array(text: Column) -> Column:
+    """The blocks of a text in order. A block ends at a blank line; inside a code fence blank lines belong to it."""
+    body = F.regexp_replace(text, "\\r\\n?", "\n")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("fence"))
 
     def add(state: Column, line: Column) -> Column:
@@ -64,8 +59,16 @@ def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     plain = F.split(F.regexp_replace(body, "^(?:\\s*\\n)+|\\n\\s*$", ""), "\\n\\s*\\n")
     fenced = F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~"))
     parts = F.when(fenced, F.aggregate(F.split(body, "\n"), start, add, finish)).otherwise(plain)
-    kept = F.filter(parts, lambda x: F.length(F.regexp_replace(x, "\\s", "")) > 0)
-    out = documents.select(F.col(key), F.posexplode(kept).alias("block_no", "text"))
+    return F.filter(parts, lambda x: F.length(F.regexp_replace(x, "\\s", "")) > 0)
+
+
+def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a block: ``key, block_no, kind, heading_level, title, text``.
+
+    Lines are grouped within each document by a fold over its own array, so
+    nothing is shuffled. Null and blank texts have no blocks.
+    """
+    out = documents.select(F.col(key), F.posexplode(block_array(F.col(text))).alias("block_no", "text"))
     out = out.withColumn("block_no", F.col("block_no") + 1).withColumn("kind", kind_of(F.col("text")))
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", T.HEADING, 1)))
     title = F.when(F.col("kind") == "heading", F.regexp_extract("text", T.HEADING, 2))

@@ -122,13 +122,13 @@ def glossary_missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(same & ~G.target_present(F.col("target_text"), F.col("target"))).select("book_id", "item_id", "id")
 
 
-@query(
-    "glossary_hashes",
-    r"""
+HASHES = r"""
 SELECT id, sha256('{"aliases":' || coalesce(CAST(to_json(aliases) AS VARCHAR), 'null') || ',"category":' || coalesce(CAST(to_json(category) AS VARCHAR), 'null') || ',"domain":' || coalesce(CAST(to_json(domain) AS VARCHAR), 'null')
   || ',"grammatical":null,"scopes":' || coalesce(CAST(to_json(scopes) AS VARCHAR), 'null') || ',"source":' || coalesce(CAST(to_json(source) AS VARCHAR), 'null') || ',"status":' || coalesce(CAST(to_json(status) AS VARCHAR), 'null')
-  || ',"target":' || coalesce(CAST(to_json(target) AS VARCHAR), 'null') || '}') AS entry_hash FROM glossary""",
-)
+  || ',"target":' || coalesce(CAST(to_json(target) AS VARCHAR), 'null') || '}') AS entry_hash FROM glossary"""
+
+
+@query("glossary_hashes", HASHES)
 def glossary_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash of what an entry means; notes and confidence don't count."""
     glossary = table(spark, sf_dir, "glossary")
