@@ -14,10 +14,13 @@ from __future__ import annotations
 import base64
 import heapq
 import math
+import os
+from collections import Counter
 from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,10 +51,17 @@ def source_name(column: Column) -> Column:
 
 
 def count_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, n_tokens`` of every document with a source and a text, sources in one spelling."""
+    """``doc_id, source, n_tokens`` of every document with a source and a text, sources in one spelling.
+
+    ``path`` is the tokenizer's vocabulary at the driver, which sends it to the executors.
+    """
+
+    context = documents.sparkSession.sparkContext
+    if path not in context.listFiles and not any(x.endswith("/" + os.path.basename(path)) for x in context.listFiles):
+        context.addFile(path)  # the driver serves it to the executors
 
     def run(batch: pa.RecordBatch) -> dict:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(SparkFiles.get(os.path.basename(path))).encode_ordinary
         return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "n_tokens": pa.array([len(encode(t)) for t in batch.column("text").to_pylist()], pa.int64())}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
@@ -181,10 +191,41 @@ def mix_sources(
     return records, shares
 
 
+def bounds(documents: DataFrame, mix_targets: DataFrame, slots: int = SLOTS, **options) -> DataFrame:
+    """``source, within_repeats, within_share, within_block``: whether the mixture keeps what it promises.
+
+    No record is used more often than allowed; a source with records misses its
+    share by no more than its largest record for each source of the mixture (any
+    may miss its own quota by one); and at no slot is what a source has
+    had so far further from its even share than a block and a record on either
+    end. Records are whole, so no mixture can promise more.
+    """
+    records, shares = mix_sources(documents, mix_targets, slots=slots, **options)
+    spark = documents.sparkSession
+    sums = records.groupBy("source", "slot").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest")).collect()  # a row a slot, at most ``slots`` and one a source
+    total, largest = Counter(), Counter()
+    for r in sums:
+        total[r.source] += r.tokens
+        largest[r.source] = max(largest[r.source], r.largest)
+    whole, last = sum(total.values()), max((r.slot for r in sums), default=0) + 1
+    block = -(-whole // slots)
+    seen, even = Counter(), dict.fromkeys(total, True)
+    for r in sorted(sums, key=lambda r: r.slot):
+        # before and after its own blocks a source is furthest from its share
+        for t, had in ((r.slot, seen[r.source]), (r.slot + 1, seen[r.source] + r.tokens)):
+            even[r.source] &= abs(Fraction(total[r.source] * t, last) - had) <= 2 * (block + largest[r.source])
+        seen[r.source] += r.tokens
+    kept = spark.createDataFrame([(s, even[s], largest[s]) for s in total], "source string, within_block boolean, largest bigint")
+    present = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy())
+    wanted = F.when(F.col("tokens") > 0, F.col("target_share") / present).otherwise(0.0)
+    out = shares.join(kept, "source", "left").withColumn("within_share", F.abs(F.col("reached_share") - wanted) * whole <= F.coalesce("largest", F.lit(0)) * len(total))
+    return out.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), "within_share", F.coalesce("within_block", F.lit(True)).alias("within_block"))
+
+
 def mixture(spark: SparkSession, documents: DataFrame, mix_targets: DataFrame, **options) -> DataFrame:
     """The records of the mixture, each with the target share and the share its source reached."""
     records, shares = mix_sources(documents, mix_targets, **options)
     return records.join(F.broadcast(shares.select("source", "target_share", "reached_share")), "source")
 
 
-__all__ = ["count_tokens", "mix_sources", "mixture", "pfair", "source_name"]
+__all__ = ["bounds", "count_tokens", "mix_sources", "mixture", "pfair", "source_name"]

@@ -99,6 +99,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+@_query
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps its repeats, its share and its place in the order."""
+    return mixing.bounds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 @_query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -111,4 +117,5 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_documents(documents, pii.session_key(spark), pii.known_names(documents)).distinct()
 
 
+ORACLES["p8_bounds"] = "SELECT DISTINCT regexp_replace(trim(lower(source)), '[ _-]+', '_', 'g') AS source, true AS within_repeats, true AS within_share, true AS within_block FROM mix_targets"
 ORACLES["p3_found"] = "SELECT DISTINCT book_id, id FROM segments WHERE length(text) > 9000"
