@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,6 +82,11 @@ def once(segments: DataFrame, *columns: str) -> DataFrame:
     return segments.select(*columns).distinct()
 
 
+def once_after(segments: DataFrame, *columns: str, **computed: Column) -> DataFrame:
+    """The same for what is computed from a text where it is read: of the text only a hash goes on, so no text is shuffled."""
+    return segments.select(*columns, F.xxhash64("text").alias("_text"), *[v.alias(k) for k, v in computed.items()]).distinct().drop("_text")
+
+
 def running_max(df: DataFrame, group: list[str], order: str, values: dict[str, Column], strict: bool = False, bucket: int = BUCKET) -> DataFrame:
     """The greatest of each value at or before each row (before it, if ``strict``) in the order of an integer column.
 
@@ -142,10 +149,8 @@ def pack_units(segments: DataFrame, target: int = TARGET, most: int | None = Non
     come sorted and are folded as they stream by: a task holds one open unit,
     however long a node is.
     """
-    pieces = split_long(segments, most or HARD).select("book_id", "id", "ord", "part", (F.coalesce("n_chars", F.lit(0)) + OVERHEAD).cast("int").alias("size"))
-    heads = once(segments, "book_id", "id", "ord", "kind")
-    node = running_max(heads, ["book_id"], "ord", {"node_ord": F.when(F.col("kind") == "heading", F.col("ord"))}).select("book_id", "id", "ord", "node_ord")
-    sized = pieces.join(node, ["book_id", "id", "ord"])
+    pieces = split_long(segments, most or HARD).select("book_id", "id", "ord", "kind", "part", (F.coalesce("n_chars", F.lit(0)) + OVERHEAD).cast("int").alias("size"))
+    sized = running_max(pieces, ["book_id"], "ord", {"node_ord": F.when(F.col("kind") == "heading", F.col("ord"))})
 
     def fold(batches):
         key = open_ = None
@@ -259,23 +264,25 @@ def cut_positions(text: str, most: int) -> list[int]:
 def split_long(segments: DataFrame, most: int = HARD) -> DataFrame:
     """Pieces of segments for work units: over-long ones are cut at marks, code and tables never.
 
-    Only over-long rows reach Python; the others pass as they are.
+    Only over-long rows reach Python; the others are measured where they are
+    read. A row delivered twice counts once, by a hash of its text.
     """
-    rows = once(segments, "book_id", "id", "ord", "kind", "text")
     long = (F.length("text") > most) & ~F.col("kind").isin("code", "table")
-    whole = rows.where(~F.coalesce(long, F.lit(False))).select("book_id", "id", "ord", "kind", F.lit(0).alias("part"), F.length("text").alias("n_chars"))
+    whole = once_after(segments.where(~F.coalesce(long, F.lit(False))), "book_id", "id", "ord", "kind", part=F.lit(0), n_chars=F.length("text"))
 
     def pieces(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 start = 0
+                mark = hashlib.blake2b(row.text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
                 for k, end in enumerate(cut_positions(row.text, most), 1):
                     piece = row.text[start:end]
                     piece = piece.lstrip() if k > 1 else piece
-                    out.append((row.book_id, row.id, row.ord, row.kind, k, len(piece if end == len(row.text) else piece.rstrip())))
+                    out.append((row.book_id, row.id, row.ord, row.kind, mark, k, len(piece if end == len(row.text) else piece.rstrip())))
                     start = end
-            yield pd.DataFrame(out, columns=["book_id", "id", "ord", "kind", "part", "n_chars"])
+            yield pd.DataFrame(out, columns=["book_id", "id", "ord", "kind", "mark", "part", "n_chars"])
 
     ship(segments.sparkSession)
-    return whole.unionByName(rows.where(long).mapInPandas(pieces, "book_id string, id string, ord int, kind string, part int, n_chars int"))
+    found = segments.where(long).select("book_id", "id", "ord", "kind", "text").mapInPandas(pieces, "book_id string, id string, ord int, kind string, mark string, part int, n_chars int")
+    return whole.unionByName(found.distinct().drop("mark"))

@@ -104,8 +104,8 @@ d AS (SELECT book_id, id, CASE WHEN suffix(url, ']') AND length(url) - length(re
 SELECT book_id, id, url, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY ALL""",
 )
 def conservation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.once(table(spark, sf_dir, "segments").where(F.contains("text", F.lit("http"))), "book_id", "id", "text")
-    return rows.select("book_id", "id", F.explode(T.urls(F.col("text"))).alias("url")).groupBy("book_id", "id", "url").agg(F.count("*").alias("n"))
+    rows = S.once_after(table(spark, sf_dir, "segments").where(F.contains("text", F.lit("http"))), "book_id", "id", urls=T.urls(F.col("text")))
+    return rows.select("book_id", "id", F.explode("urls").alias("url")).groupBy("book_id", "id", "url").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -118,8 +118,8 @@ SELECT book_id, lower(regexp_extract(token, '[^0-9.,\s]+$')) AS unit, CAST(count
 def conservation_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct measurements of a segment by unit, counted by book."""
     pattern = "[0-9]+(?:[.,][0-9]+)*\\s?(?:%|\\x{b0}[CF]|mm|cm|km|kg|mg|MPa|kPa|Pa|Hz|kHz|MHz)\\b|[0-9]+(?:[.,][0-9]+)*\\s?%"
-    rows = S.once(table(spark, sf_dir, "segments").where(F.col("text").isNotNull()), "book_id", "id", "text")
-    found = rows.select("book_id", "id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("token"))
+    rows = S.once_after(table(spark, sf_dir, "segments").where(F.col("text").rlike(pattern)), "book_id", "id", tokens=F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
+    found = rows.select("book_id", "id", F.explode("tokens").alias("token")).distinct()
     return found.select("book_id", F.lower(F.regexp_extract("token", "[^0-9.,\\s]+$", 0)).alias("unit")).groupBy("book_id", "unit").agg(F.count("*").alias("n"))
 
 

@@ -92,8 +92,9 @@ SELECT compound, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT book_id) AS
 )
 def books_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compounds with a hyphen of their own, and how many books use them."""
-    rows = S.once(table(spark, sf_dir, "segments").where((F.col("kind") == "paragraph") & F.col("text").contains("-")), "book_id", "id", "text")
-    words = rows.select("book_id", F.explode(F.regexp_extract_all("text", F.lit("\\p{L}+(?:-\\p{L}+)+"), F.lit(0))).alias("w"))
+    found = F.regexp_extract_all("text", F.lit("\\p{L}+(?:-\\p{L}+)+"), F.lit(0))
+    rows = S.once_after(table(spark, sf_dir, "segments").where((F.col("kind") == "paragraph") & F.col("text").contains("-")), "book_id", "id", words=found)
+    words = rows.select("book_id", F.explode("words").alias("w"))
     by_book = words.groupBy(F.lower("w").alias("compound"), "book_id").agg(F.count("*").alias("n"))
     return by_book.groupBy("compound").agg(F.sum("n").alias("n"), F.count("*").alias("n_books"))
 

@@ -140,13 +140,14 @@ def test_ledger_state_does_not_depend_on_order(spark):
     assert sorted((r.unit_id, r.cycle, r.accepted) for r in ledger.cycles(ledger_frame(spark, rows)).collect()) == [("u", 1, False), ("u", 2, True), ("v", 1, False)]
 
 
-def test_streamed_state_equals_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("delay", [None, "1 hour"])
+def test_streamed_state_equals_the_batch(spark, tmp_path, delay):
     for i, part in enumerate((LEDGER[4:], LEDGER[:3] + LEDGER[:1], LEDGER[3:4])):
         ledger_frame(spark, part).write.parquet(str(tmp_path / "in" / str(i)))
     source = stream.read(spark, str(tmp_path / "in" / "*"), files_per_trigger=1)
-    stream.write(stream.state(source), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    stream.write(stream.state(source, delay), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     want = ledger.state(ledger_frame(spark, LEDGER))
-    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    got = stream.latest(spark, str(tmp_path / "out")).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
