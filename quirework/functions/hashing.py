@@ -38,3 +38,25 @@ def canonical_json_hash(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+def deep_merge(base: object, overlay: object) -> object:
+    """Two JSON values as one: objects key by key, anything else from the overlay."""
+    if isinstance(base, dict) and isinstance(overlay, dict):
+        return base | {k: deep_merge(base[k], v) if k in base else v for k, v in overlay.items()}
+    return overlay
+
+
+#: Settings that what is written depends on, and those that pages and segments depend on.
+TRANSLATION_SETTINGS, EXTRACTION_SETTINGS = ("source.language", "target", "custom_instructions"), ("source", "chunking", "visual")
+
+
+def settings_hash(settings: dict, wanted: tuple[str, ...], defaults: dict[str, object] | None = None) -> str:
+    """SHA-256 of the wanted settings only, so that no other one makes a difference; ``a.b`` is key b of a."""
+    chosen = {}
+    for name in wanted:
+        value: object = settings
+        for key in name.split("."):
+            value = value.get(key) if isinstance(value, dict) else None
+        chosen[name.replace(".", "_")] = (defaults or {}).get(name) if value is None else value
+    return hashlib.sha256(canonical_json(chosen).encode()).hexdigest()

@@ -1,2 +1,2 @@
 from quirework.plans import registry  # noqa: F401
-from quirework.plans import conservation, drafts, furniture, glossary, layout, ledger, markdown, pages, planning, quality, structure  # noqa: F401
+from quirework.plans import conservation, drafts, furniture, glossary, layout, ledger, markdown, pages, planning, quality, reports, structure  # noqa: F401

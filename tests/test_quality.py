@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.functions import drafts
-from quirework.operators import furniture, planning, quality
+from quirework.functions import drafts, hashing
+from quirework.operators import furniture, planning, quality, reports
 from quirework.plans import drafts as draft_cases
 from quirework.plans import planning as planning_cases
 from quirework.plans import quality as quality_cases
@@ -80,3 +80,16 @@ def test_unproven_pages_against_counters(spark):
     bag = lambda x, p: Counter(c for r in x if r[:2] == p for c in r[2] if not c.isspace())
     want = {p for p in {r[:2] for r in rows} if bag(rows, p) != bag(left, p) + bag(removed, p)}
     assert {(r.book_id, r.page, r.missing, r.unexpected) for r in furniture.unproven(*frames).collect()} == {("a", 2, "e", "f")} and want == {("a", 2)}
+
+
+def test_settings_that_make_no_difference():
+    base = {"source": {"language": "en", "path": "x"}, "target": {"language": "zh"}, "layout": {"font": "a"}}
+    of = lambda s: hashing.settings_hash(s, hashing.TRANSLATION_SETTINGS, {"custom_instructions": []})
+    assert of(base) == of(hashing.deep_merge(base, {"layout": {"font": "b"}, "source": {"path": "y"}, "custom_instructions": []}))
+    assert of(base) != of(hashing.deep_merge(base, {"target": {"language": "de"}}))
+    assert hashing.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": [3]}, "d": None}) == {"a": {"b": [3], "c": 2}, "d": None}
+
+
+def test_parts_of_maps(spark):
+    rows = spark.createDataFrame([(1, {"a": "1", "b": "2"}, {"a": "1"}), (2, {"a": "1"}, {"a": "2"}), (3, {"a": "1"}, {}), (4, {}, {"a": "1"})], "i int, whole map<string,string>, part map<string,string>")
+    assert {r.i for r in rows.where(reports.contains_all(F.col("whole"), F.col("part"))).collect()} == {1, 3}
