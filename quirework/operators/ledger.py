@@ -42,3 +42,9 @@ def cycles(ledger: DataFrame) -> DataFrame:
     rows = ledger.dropDuplicates(["seq"]).withColumn("cycle", F.sum((F.col("kind") == "dispatch").cast("int")).over(order))
     done = F.count_if(F.col("kind") == "accept") > 0
     return rows.groupBy(*UNIT, "cycle").agg(F.count("*").alias("n_records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), done.alias("accepted"))
+
+
+def orphans(ledger: DataFrame, units: DataFrame) -> DataFrame:
+    """Records of units that don't exist, and units without a record."""
+    extra = ledger.join(units, UNIT, "left_anti").select(*UNIT).distinct().withColumn("side", F.lit("no_unit"))
+    return extra.unionByName(units.join(ledger, UNIT, "left_anti").select(*UNIT).withColumn("side", F.lit("no_record")))

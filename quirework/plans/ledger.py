@@ -50,10 +50,14 @@ def ledger_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT u.book_id, u.unit_id, 'no_record' FROM units u ANTI JOIN ledger l ON u.book_id = l.book_id AND u.unit_id = l.unit_id""",
 )
 def ledger_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of units that don't exist, and units without a record."""
-    ledger, units = table(spark, sf_dir, "ledger"), table(spark, sf_dir, "units")
-    extra = ledger.join(units, L.UNIT, "left_anti").select(*L.UNIT).distinct().withColumn("side", F.lit("no_unit"))
-    return extra.unionByName(units.join(ledger, L.UNIT, "left_anti").select(*L.UNIT).withColumn("side", F.lit("no_record")))
+    return L.orphans(table(spark, sf_dir, "ledger"), table(spark, sf_dir, "units"))
+
+
+@query("ledger_orphan_cases", "SELECT * FROM (VALUES ('a', 'x', 'no_unit'), ('a', 'u2', 'no_record')) t(book_id, unit_id, side)")
+def ledger_orphan_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated ledger with records of no unit, and a unit without any."""
+    schema = "book_id string, unit_id string"
+    return L.orphans(spark.createDataFrame([("a", "u1"), ("a", "x"), ("a", "x")], schema), spark.createDataFrame([("a", "u1"), ("a", "u2")], schema))
 
 
 @query(

@@ -220,17 +220,27 @@ UNION ALL SELECT book_id, unit_id, 'missing_segment' FROM lost
 UNION ALL SELECT book_id, unit_id, 'missing_node' FROM nodeless""",
 )
 def units_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with a unit table: repeated keys and orders, gaps, segments and nodes that don't exist."""
-    units, segments, nodes = (table(spark, sf_dir, t) for t in ("units", "segments", "nodes"))
-    found = lambda df, key, what: df.select("book_id", F.expr(key).cast("string").alias("unit_id"), F.lit(what).alias("problem"))
-    twice = units.groupBy("book_id", "unit_id").count().where("count > 1")
-    orders = units.groupBy("book_id", "ord").count().where("count > 1")
-    gaps = units.groupBy("book_id").agg(F.max("ord").alias("top"), F.countDistinct("ord").alias("n")).where("top + 1 <> n")
-    ids = units.select("book_id", "unit_id", F.explode("segment_ids").alias("id"))
-    lost = ids.join(segments.select("book_id", "id"), ["book_id", "id"], "left_anti").select("book_id", "unit_id").distinct()
-    nodeless = units.join(nodes.select("book_id", F.col("id").alias("book_node_id")), ["book_id", "book_node_id"], "left_anti")
-    out = found(twice, "unit_id", "duplicate_id").unionByName(found(orders, "ord", "duplicate_order")).unionByName(found(gaps, "null", "order_gap"))
-    return out.unionByName(found(lost, "unit_id", "missing_segment")).unionByName(found(nodeless, "unit_id", "missing_node"))
+    return S.unit_problems(*(table(spark, sf_dir, t) for t in ("units", "segments", "nodes")))
+
+
+UNITS = [("a", "u1", 0, "n1", ["s1", "s2"]), ("a", "u2", 1, "n1", ["s3", "gone"]), ("a", "u2", 3, "n9", ["s4"]), ("a", "u4", 3, "n1", ["s4"])]
+UNIT_SCHEMA = "book_id string, unit_id string, ord int, book_node_id string, segment_ids array<string>"
+PROBLEMS = "('a', 'u2', 'duplicate_id'), ('a', '3', 'duplicate_order'), ('a', NULL, 'order_gap'), ('a', 'u2', 'missing_segment'), ('a', 'u2', 'missing_node')"
+
+
+@query("units_problem_cases", f"SELECT * FROM (VALUES {PROBLEMS}) t(book_id, unit_id, problem)")
+def units_problem_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated unit table with every fault there is."""
+    segments = spark.createDataFrame([("a", f"s{i}") for i in range(1, 5)], "book_id string, id string")
+    return S.unit_problems(spark.createDataFrame(UNITS, UNIT_SCHEMA), segments, spark.createDataFrame([("a", "n1")], "book_id string, id string"))
+
+
+@query("structure_coverage_cases", "SELECT * FROM (VALUES ('a', 's1', 'only_mapped', 1), ('a', 's4', 'unmapped', 1), ('a', 's9', 'only_mapped', 2)) t(book_id, id, side, n)")
+def structure_coverage_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated map that names a segment twice, one that isn't there, and leaves one out."""
+    nodes = spark.createDataFrame([("a", ["s1", "s2", "s9"]), ("a", ["s1", "s3", "s9"])], "book_id string, segment_ids array<string>")
+    segments = spark.createDataFrame([("a", f"s{i}") for i in (1, 2, 3, 4, 4)], "book_id string, id string")
+    return S.coverage(nodes, segments)
 
 
 @query(
