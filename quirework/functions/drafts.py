@@ -130,9 +130,13 @@ def note_markers(text: str) -> str:
 
     def mark(m: re.Match) -> str:
         known = re.search(rf"\bclass\s*=\s*([\"'])[^\"']*\b{MARKER_CLASS}\b[^\"']*\1", m.group(1), re.I)
-        return f"^{m.group(2)}^" if known and text[m.end() : m.end() + 1] not in tuple(QUANTITY_SIGNS) else m.group()
+        return f"^{m.group(2)}^" if known and m.string[m.end() : m.end() + 1] not in tuple(QUANTITY_SIGNS) else m.group()
 
-    return re.sub(r"<span\b([^>]*)>\s*\*?(\d+)\*?\s*</span>", mark, text, flags=re.I)
+    def change(part: str) -> str:
+        part = re.sub(r"<sup>\s*\\?\[?\s*<a\b[^>]*>\s*\*?(\d{1,3})\*?\s*</a>\s*\\?\]?\s*</sup>", r"^\1^", part, flags=re.I)
+        return re.sub(r"<span\b([^>]*)>\s*\*?(\d+)\*?\s*</span>", mark, part, flags=re.I)
+
+    return outside(text, change) if "<" in text else text
 
 
 def own_anchors(text: str, side: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import numbers as N
+from quirework.functions import text as T
 from quirework.operators import layout as L
 from quirework.operators.conservation import bag_difference
 from quirework.operators.layout import PAGE
@@ -22,6 +23,18 @@ def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, MARKS, ""), "\\s+", " ")))
 
 
+def heading_forms(text: Column) -> Column:
+    """A heading, and its title alone where a label such as ``chapter 3`` or a number stands before it."""
+    bare = F.trim(F.regexp_replace(text, "(?i)^(?:(?:chapter|part|book|section)\\s+[\\w.]+|\\x{7b2c}\\s*[0-9\\x{4e00}\\x{4e8c}\\x{4e09}\\x{56db}\\x{4e94}\\x{516d}\\x{4e03}\\x{516b}\\x{4e5d}\\x{5341}\\x{767e}\\x{96f6}\\x{3007}\\x{4e24}]+\\s*[\\x{7ae0}\\x{90e8}\\x{8282}\\x{7bc7}\\x{5377}]|[0-9]{1,3})[\\s.:\\x{ff1a}\\x{3001}\\x{2013}\\x{2014}-]*", ""))
+    return F.when(F.length(bare) >= 3, F.array_distinct(F.array(text, bare))).otherwise(F.array(text))
+
+
+def is_prose_row(row: Column, least: int = 40) -> Column:
+    """A table row with one cell filled, and that a long one: a note or paragraph, no data."""
+    filled = F.filter(row, lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0)
+    return (F.size(filled) == 1) & (T.display_width(F.get(filled, F.lit(0))) >= least)
+
+
 def bands(lines: DataFrame) -> DataFrame:
     """``band`` of each line: top or bottom if its whole block lies in that margin, else null."""
     own = F.when(F.col("y1") <= F.col("page_height") * MARGIN, "top").when(F.col("y0") >= F.col("page_height") * (1 - MARGIN), "bottom").otherwise("body")
@@ -57,7 +70,7 @@ def kinds(spark: SparkSession, lines: DataFrame, body: DataFrame) -> DataFrame:
     keyed = words.select(*PAGE, "block", "line", "band", F.explode(L.repeat_keys(F.col("text"), F.col("page"))).alias("k")).select(*PAGE, "block", "line", "band", "k.key", "k.offset")
     keyed = keyed.withColumn("offset", F.coalesce("offset", F.lit(1 << 30)))
     repeated = keyed.join(running.withColumn("offset", F.coalesce("offset", F.lit(1 << 30))), ["book_id", "key", "offset"], "left_semi").select(*PAGE, "block", "line", "band")
-    titles = lines.join(heading_blocks(lines, body), [*PAGE, "block"], "left_semi").select("book_id", normal(F.col("text")).alias("text")).distinct()
+    titles = lines.join(heading_blocks(lines, body), [*PAGE, "block"], "left_semi").select("book_id", F.explode(heading_forms(normal(F.col("text")))).alias("text")).distinct()
     named = words.join(titles, ["book_id", "text"], "left_semi").select(*PAGE, "block", "line", "band")
     heads = repeated.unionByName(named).distinct().select(*PAGE, "block", "line", F.when(F.col("band") == "top", "header").otherwise("footer").alias("kind"))
     return numbers.unionByName(heads)

@@ -51,6 +51,16 @@ def dependencies(units: DataFrame, segments: DataFrame, nodes: DataFrame, glossa
     return rows.select(*UNIT, F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]).cast(HASHES).alias("hashes"))
 
 
+def alignment(units: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Units with a source and a target text (``book_id, unit_id, text``), numbered in the book's order, with hashes of both."""
+    bare = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
+    keyed = units.select(*UNIT, "book_node_id", "segment_ids", F.coalesce("ord", F.lit(2147483647)).alias("place"))
+    ranked = S.running_rank(keyed, ["book_id"], "place", ["unit_id"], "rank")
+    both = ranked.join(sources.select(*UNIT, bare(F.col("text")).alias("source_text")), UNIT).join(targets.select(*UNIT, bare(F.col("text")).alias("target_text")), UNIT)
+    hashes = [F.sha2(f"{s}_text", 256).alias(f"{s}_sha256") for s in ("source", "target")]
+    return both.select("book_id", F.format_string("align-%04d", F.col("rank") + 1).alias("id"), F.col("rank").alias("ord"), "unit_id", "book_node_id", F.col("segment_ids").alias("source_segment_ids"), "source_text", "target_text", *hashes)
+
+
 def changed(current: Column, recorded: Column) -> Column:
     """Keys of the current hashes that the recorded ones lack or have otherwise, in order."""
     return F.sort_array(F.filter(F.map_keys(current), lambda k: ~F.element_at(current, k).eqNullSafe(F.element_at(F.coalesce(recorded, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), k))))

@@ -47,6 +47,7 @@ CASES = [
     ("full_images", '<a href="img/gone.png"><img src="img/small.png"></a>', '<a href="img/gone.png"><img src="img/small.png"></a>'),
     ("full_images", '<a href="page.html"><img src="img/small.png"></a>', '<a href="page.html"><img src="img/small.png"></a>'),
     ("note_markers", 'Lean<span class="calibre26">12</span> and <span class="calibre26">11</span>个 <span class="b">3</span>', 'Lean^12^ and <span class="calibre26">11</span>个 <span class="b">3</span>'),
+    ("note_markers", 'said\\[x] <sup>[<a href="#n4">4</a>]</sup> and <sup><a id="r">*12*</a></sup>\n```\n<sup><a>1</a></sup>\n```', 'said\\[x] ^4^ and ^12^\n```\n<sup><a>1</a></sup>\n```'),
     ("own_anchors", '<div><span id="f1"></span>See <a href="#f1">it</a>.<span id="f1"></span></div>', '<span id="source-f1"></span>See <a href="#source-f1">it</a>.'),
     ("original_title", "Smith, Ann\n\nThe Working of Mills / by Ann Smith", "The Working of Mills"),
     ("original_title", "no title / here", ""),

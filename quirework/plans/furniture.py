@@ -93,6 +93,24 @@ def furniture_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.frame(spark, TABLES, "pos int, rows array<array<string>>, bold boolean").select("pos", U.has_header(F.col("rows"), F.col("bold")).alias("has_header"))
 
 
+ROWS = [(1, ["a long note on the looms of the second hall", "", " "]), (2, ["short", ""]), (3, ["a long note on the looms of the second hall", "x"]), (4, ["第二座大厅里的织机是在冬天运来的，一共五台。", None]), (5, [])]
+
+
+@query("furniture_prose_rows", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false)) t(pos, is_prose)")
+def furniture_prose_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables that are paragraphs."""
+    return X.frame(spark, ROWS, "pos int, row array<string>").select("pos", U.is_prose_row(F.col("row")).alias("is_prose"))
+
+
+FORMS = [(1, "chapter 3: the mill"), (2, "the mill"), (3, "第三章 磨坊之河"), (4, "12 a history of work"), (5, "part ii")]
+
+
+@query("furniture_heading_forms", "SELECT * FROM (VALUES (1, 'chapter 3: the mill|the mill'), (2, 'the mill'), (3, '第三章 磨坊之河|磨坊之河'), (4, '12 a history of work|a history of work'), (5, 'part ii')) t(pos, forms)")
+def furniture_heading_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a running head may take from a heading."""
+    return X.frame(spark, FORMS, "pos int, text string").select("pos", F.array_join(U.heading_forms(F.col("text")), "|").alias("forms"))
+
+
 LOST = [("x", "All results were recorded in 1998.", "All were in 1998."), ("y", "Nothing is lost", "nothing IS  lost")]
 
 

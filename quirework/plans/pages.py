@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.functions import drafts as D
 from quirework.functions import lines as LN
 from quirework.functions import markdown as M
 from quirework.functions import publication as B
@@ -225,5 +226,7 @@ def publication_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments made fit for setting, by all steps; each step is tested on fixtures."""
     ship(spark)
     rows = S.once(table(spark, sf_dir, "segments").where(F.col("text").isNotNull()), "book_id", "id", "text")
-    tables = rows.withColumn("text", F.when(F.contains(F.lower("text"), F.lit("<table")), M.html_tables_as_markdown(F.col("text"))).otherwise(F.col("text")))
+    tagged = D.column(lambda t: D.note_markers(D.style_spans(t)))
+    drafts = rows.withColumn("text", F.when(F.contains("text", F.lit("<")), tagged(F.col("text"))).otherwise(F.col("text")))
+    tables = drafts.withColumn("text", F.when(F.contains(F.lower("text"), F.lit("<table")), M.html_tables_as_markdown(F.col("text"))).otherwise(F.col("text")))
     return tables.select("book_id", "id", B.clean(F.col("text")).alias("body"))

@@ -53,6 +53,25 @@ def planning_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.selections(P.unit_texts(table(spark, sf_dir, "units"), table(spark, sf_dir, "segments")), table(spark, sf_dir, "glossary"))
 
 
+@query(
+    "planning_alignment",
+    r"""WITH t AS (SELECT book_id, id, min(text) AS text FROM segments WHERE text IS NOT NULL GROUP BY ALL),
+x AS (SELECT book_id, unit_id, unnest(segment_ids) AS id, generate_subscripts(segment_ids, 1) AS pos FROM units),
+s AS (SELECT x.book_id, x.unit_id, string_agg(coalesce(t.text, ''), chr(10) || chr(10) ORDER BY pos) AS text FROM x LEFT JOIN t USING (book_id, id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ord, unit_id) - 1 AS rank FROM units),
+g AS (SELECT book_id, unit_id, string_agg(target_text, chr(10) || chr(10) ORDER BY ord) AS text FROM alignment GROUP BY ALL)
+SELECT r.book_id, 'align-' || lpad(CAST(rank + 1 AS VARCHAR), 4, '0') AS id, unit_id, sha256(regexp_replace(s.text, '^\s+|\s+$', '', 'g')) AS source_sha256, sha256(regexp_replace(g.text, '^\s+|\s+$', '', 'g')) AS target_sha256
+FROM r JOIN s USING (book_id, unit_id) JOIN g USING (book_id, unit_id)""",
+)
+def planning_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with the confirmed paragraphs they have, as an alignment of whole units."""
+    units, pairs = table(spark, sf_dir, "units"), table(spark, sf_dir, "alignment")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "target_text"))), lambda x: x["target_text"]), "\n\n")
+    targets = pairs.groupBy(*P.UNIT).agg(body.alias("text"))  # the paragraphs of one unit
+    found = P.alignment(units, P.unit_texts(units, table(spark, sf_dir, "segments")), targets)
+    return found.select("book_id", "id", "unit_id", "source_sha256", "target_sha256")
+
+
 @query("planning_dependencies")
 def planning_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that each unit depends on: source, node, glossary, the unit before."""
