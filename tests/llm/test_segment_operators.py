@@ -450,7 +450,7 @@ def test_heads_and_page_numbers_of_any_length(line, want):
     assert scanned.parts(line) == want
 
 
-WORDS = "mill river stone wheel grain water roof beam yard wall gate bridge road cart horse field barn lamp rope chain".split()
+PLACES = "mill river stone wheel grain water roof beam yard wall gate bridge road cart horse field barn lamp rope chain".split()
 
 
 def test_a_running_head_of_a_hundred_characters_is_found(spark):
@@ -458,7 +458,7 @@ def test_a_running_head_of_a_hundred_characters_is_found(spark):
     head = "A very long running head that a printer set over every single page of this book on the history of looms"
     rows = []
     for k in range(40):
-        body = "\n".join("and " + " ".join(rng.choice(WORDS) for _ in range(10)) for _ in range(5))
+        body = "\n".join("and " + " ".join(rng.choice(PLACES) for _ in range(10)) for _ in range(5))
         rows.append(("b", f"s{k}", k, "paragraph", (head + "\n" if k % 4 == 0 else "") + body + " and it was so."))
     books = spark.createDataFrame([("b", "T", "pdf")], "book_id string, title string, source_format string")
     got = {(r.id, r.line_no) for r in scanned.line_defects(segments(spark, rows), books)[0].where("defect = 'furniture'").collect()}
