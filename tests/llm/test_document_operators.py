@@ -359,6 +359,35 @@ def test_alignment(spark, clashing):
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
+HAN_NOUNS = [("pump", "水泵"), ("mill", "磨坊"), ("lamp", "信号灯"), ("gear", "齿轮"), ("boiler", "锅炉"), ("ledger", "账册"), ("wall", "围墙"), ("belt", "传动带")]
+
+
+def han_pair(rng):
+    (a, b), (c, d) = rng.sample(HAN_NOUNS, 2)
+    n = rng.randrange(100, 999)
+    return [(f"The {a} stopped the {c} after {n} days.", f"{n}天后，{b}停住了{d}。"), (f"Nobody saw the {a} near the {c}.", f"没有人在{d}附近见过{b}。"), (f"We sold {n} parts of the {a}.", f"我们卖出了{n}个{b}零件。")][rng.randrange(3)]
+
+
+def test_alignment_of_a_chinese_edition_beside_a_german_one(spark):
+    rng = random.Random(5)
+    _, _, german, _ = bilingual_tables(spark)
+    confirmed = [tuple(x) for x in german.collect()] + [tuple(" ".join(x) for x in zip(*[han_pair(rng) for _ in range(2)], strict=True)) for _ in range(120)]
+    rows, want = [], set()
+    for k in range(1, 120):
+        pairs = [han_pair(rng) for _ in range(3)]
+        rows.append(("a", f"s{k}", k, "paragraph", " ".join(x[0] for x in pairs)))
+        if 40 <= k < 60:
+            continue  # a stretch that the edition omits
+        place = k if k < 40 else k - 20
+        rows.append(("z", f"t{place}", place, "paragraph", "".join(x[1] for x in pairs)))
+        want |= {(f"s{k}", i, f"t{place}", i) for i in (1, 2, 3)}
+    segments = spark.createDataFrame(rows, "book_id string, id string, ord int, kind string, text string")
+    books = spark.createDataFrame([("a", None), ("z", "a")], "book_id string, source_book_id string")
+    found = bilingual.align_books(segments, books, spark.createDataFrame(confirmed, "source_text string, target_text string")).collect()
+    got = {(r.id_a, r.sent_a, r.id_b, r.sent_b) for r in found}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 def test_alignment_empty(spark):
     segments, books, confirmed, _ = bilingual_tables(spark)
     assert bilingual.align_books(segments.limit(0), books, confirmed).count() == 0
