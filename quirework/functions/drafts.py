@@ -25,6 +25,11 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".tif", ".tiff", ".bmp", ".we
 QUANTITY_SIGNS = "个%％次项条人年月日类章节页台名位件种Ss"
 MARKER_CLASS = "calibre26"
 
+# How the formats write an anchored note, what may stand between the halves of a divided word, and labels of chapters.
+_ANCHORED_NOTE = re.compile(r"<sup>\s*\\?\[?\s*<a\b[^>]*>\s*\*?(\d{1,3})\*?\s*</a>\s*\\?\]?\s*</sup>", re.I)
+_BETWEEN_HALVES = r"-(?:[ \t]|\n(?![ \t]*\n)|</span>\s*<span\b[^>]*>|\*[ \t]*\*|_[ \t]*_)*"
+_LABEL = re.compile(r"(?:chapter|part|book|section|appendix|lecture|lesson)\s+[\w.]+|第\s*[\d一二三四五六七八九十百]+\s*[章节部篇]|[\divxlc.]+", re.I)
+
 _FENCE = re.compile(r"[ \t]*(?:```|~~~)")
 _MARKS = re.compile(r"<[^>]+>|[*_`^]")
 _HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff]")
@@ -133,7 +138,7 @@ def note_markers(text: str) -> str:
         return f"^{m.group(2)}^" if known and m.string[m.end() : m.end() + 1] not in tuple(QUANTITY_SIGNS) else m.group()
 
     def change(part: str) -> str:
-        part = re.sub(r"<sup>\s*\\?\[?\s*<a\b[^>]*>\s*\*?(\d{1,3})\*?\s*</a>\s*\\?\]?\s*</sup>", r"^\1^", part, flags=re.I)
+        part = _ANCHORED_NOTE.sub(r"^\1^", part)
         return re.sub(r"<span\b([^>]*)>\s*\*?(\d+)\*?\s*</span>", mark, part, flags=re.I)
 
     return outside(text, change) if "<" in text else text
@@ -178,7 +183,7 @@ def join_dangling(text: str) -> str:
     return "\n\n".join(out)
 
 
-#: A heading's text -> what it becomes, by the first rule that fits: front matter, parts, chapters, sections.
+# How parts, chapters, sections and subsections of these books are numbered.
 _PART = re.compile(r"第[一二三四五六七八九十百0-9]+部分(?:[\s\u3000]+.*)?")
 _CHAPTER, _CHAPTER_NUMBER = re.compile(r"\d{1,2}[\s\u3000]+.+"), re.compile(r"\d{1,2}")
 _SECTION, _SUBSECTION = re.compile(r"\d+\.\d+(?:\.\d+)?[\s\u3000]+.+"), re.compile(r"[（(][a-zA-Z一二三四五六七八九十]+[）)]\s*.+")
@@ -243,7 +248,6 @@ def structure(text: str) -> str:
 
 def promote_headings(text: str, levels: dict[str, int]) -> str:
     """Paragraphs of one line that the layout sets as headings, at their level; a bare label and the title below it are one."""
-    label = re.compile(r"(?:chapter|part|book|section|appendix|lecture|lesson)\s+[\w.]+|第\s*[\d一二三四五六七八九十百]+\s*[章节部篇]|[\divxlc.]+", re.I)
     out: list[str] = []
     code = False
     for block in text.split("\n\n"):
@@ -253,7 +257,7 @@ def promote_headings(text: str, levels: dict[str, int]) -> str:
         level = None if code or "\n" in line or line.startswith(("|", "!", "<img")) else levels.get(title.casefold())
         if level:
             last = re.fullmatch(r"(#{1,6})\s+(.+)", out[-1].strip()) if out else None
-            if last and label.fullmatch(normal(last.group(2))):
+            if last and _LABEL.fullmatch(normal(last.group(2))):
                 out.pop()
                 level, title = min(level, len(last.group(1))), f"{' '.join(_MARKS.sub('', last.group(2)).split())} {title}"
             block = "#" * level + " " + title
@@ -309,7 +313,7 @@ def rejoin_words(text: str, decisions: dict[str, str]) -> str:
         if broken == whole:
             continue
         left, hyphen, right = broken.partition("-")
-        between = r"-(?:[ \t]|\n(?![ \t]*\n)|</span>\s*<span\b[^>]*>|\*[ \t]*\*|_[ \t]*_)*" if hyphen else ""
+        between = _BETWEEN_HALVES if hyphen else ""
         guard = "[A-Za-z]" if hyphen else "[A-Za-z-]"
         text = re.sub(rf"(?<!{guard}){re.escape(left)}{between}{re.escape(right)}(?!{guard})", lambda _, w=whole: w, text)
     return text

@@ -60,7 +60,7 @@ def _any(words) -> str:
 
 
 _WIDE = {0xFF10 + i: str(i) for i in range(10)} | {0xFF0E: ".", 0xFF05: "%"}
-#: One alternative for each way a number stands in a text.
+# One alternative for each way a number stands in a text.
 _SCAN = re.compile(
     rf"""(?P<stamp>[\w.-]+\.(?:qxd|indd)\s+\d+/\d+/\d+\s+\d+:\d\d\s+[AP]M(?:\s+Page\s+\S+)?)
     |\b1[89](?P<decade>\d\d)s\b

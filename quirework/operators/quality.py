@@ -31,6 +31,7 @@ REFLOWED = 0.65
 #: How many items a message names.
 NAMED = 6
 
+# Signs of the formats and scripts that the checks count.
 _STAMP = re.compile(r"[\w.-]+\.(?:qxd|indd)\s+\d+/\d+/\d+\s+\d+:\d\d\s+[AP]M(?:\s+Page\s+\S+)?", re.I)
 _TAG, _IMAGE = re.compile(r"<[^>]+>"), re.compile(r"!\[[^\]]*\]\([^)]*\)")
 _IMAGES = re.compile(r"(?:!\[[^\]]*\]\(|<img\b[^>]*\bsrc\s*=\s*[\"'])([^)\s\"']+)", re.I)
