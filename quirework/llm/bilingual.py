@@ -4,8 +4,9 @@ A target sentence is an emission of a source state of a hidden Markov model:
 one sentence, a span of neighbouring sentences (merges) or null (additions).
 Jump probabilities favour going on to the next sentence and allow staying
 (divided sentences), short moves either way and, at a price, far ones. Words
-are emitted by a lexicon trained here on the confirmed paragraphs (IBM model 1,
-expectation maximisation); numbers and names emit themselves.
+are emitted by a lexicon trained here on all confirmed paragraphs (IBM model 1,
+expectation maximisation, block by block of the target's words); numbers and
+names emit themselves.
 
 Where in the source a target segment belongs is told by anchors: numbers, names
 and words of the lexicon, and pairs of them, that are rare on both sides.
@@ -30,13 +31,15 @@ from pyspark.sql.window import Window
 from quirework.llm.arrow import map_batches, map_groups
 from quirework.llm.encoding import repair_array
 from quirework.llm.lookalike import normalise
-from quirework.session import cut
+from quirework.session import cut, ship
 
-#: Confirmed paragraphs the lexicon is fitted on: a bounded sample in a hashed order.
-TRAIN_ROWS = 1200
-#: Terms of a glossary it is given besides, each as a pair of its own.
-TERM_ROWS = 2000
 ROUNDS = 5
+#: Pairs of words that a task of the fit holds, about, and those that one step weighs.
+FITTED, WEIGHED = 1 << 20, 1 << 20
+#: Expected counts are multiples of this, so that their sums are the same in any order.
+GRAIN = 2.0**-30
+#: Less likely translations are not kept.
+LEAST_LIKELY = 2e-3
 #: Segments of the source in a block, and segments beyond its ends that a block also sees.
 BLOCK, MARGIN = 64, 24
 NULL_COST, SPAN_COST = -4.0, (0.0, -1.5, -3.5)
@@ -104,77 +107,62 @@ def number(text: str) -> str:
 class Lexicon:
     """Translation probabilities t(target | source), and how likely a target word is anyway."""
 
-    def __init__(self, pairs: list[tuple[str, str]], rounds: int = ROUNDS) -> None:
-        self.source: dict[str, int] = {"": 0}
-        self.target: dict[str, int] = {}
-        rows, s_ids, t_ids, counts = [], [], [], []
-        total: Counter[int] = Counter()
-        self.seen: Counter[str] = Counter()
-        self.size = len(pairs)
-        for r, (a, b) in enumerate(pairs):
-            s = {self.source.setdefault(w, len(self.source)) for w in tokens(a) if w[0] != "#"} | {0}
-            t = Counter(self.target.setdefault(w, len(self.target)) for w in tokens(b) if w[0] != "#")
-            total.update(t)
-            self.seen.update(w for w in set(tokens(a)) if w[0] != "#")
-            own = np.fromiter(s, np.int64, len(s))
-            for w, n in t.items():
-                rows.append(np.full(len(own), r))
-                s_ids.append(own)
-                t_ids.append(np.full(len(own), w))
-                counts.append(np.full(len(own), n))
-        size = max(1, sum(total.values()))
-        self.usual = np.zeros(max(1, len(self.target)))
-        for w, n in total.items():
-            self.usual[w] = n / size
-        self.table: dict[tuple[int, int], float] = {}
-        self.by_target: dict[int, list[tuple[int, float]]] = {}
-        self.source_words: dict[str, list[str]] = {}
-        if not rows:
-            return
-        row, s, t, n = (np.concatenate(x) for x in (rows, s_ids, t_ids, counts))
-        width = len(self.target)
-        key, pair = np.unique(s * width + t, return_inverse=True)
-        _, place = np.unique(row * width + t, return_inverse=True)
-        of_source = key // width
-        p = np.full(len(key), 1.0 / width)
-        for _ in range(rounds):
-            share = p[pair]
-            share = share / np.bincount(place, share)[place] * n
-            seen = np.bincount(pair, share, len(key))
-            p = seen / np.bincount(of_source, seen)[of_source]
-        kept = p > 2e-3
-        self.table = {(int(k // width), int(k % width)): float(v) for k, v in zip(key[kept], p[kept], strict=True)}
-        for (a, b), v in self.table.items():
-            self.by_target.setdefault(b, []).append((a, v))
-        words = list(self.source)
-        for w, b in self.target.items():
-            ranked = sorted(((v * self.seen[words[a]], words[a]) for a, v in self.by_target.get(b, ()) if a), reverse=True)
-            self.source_words[w] = [x for v, x in ranked[:2] if v >= 0.5 * ranked[0][0]]
+    def __init__(self, seen: dict[str, int], total: dict[str, int], s: np.ndarray, t: np.ndarray, p: np.ndarray) -> None:
+        """``seen``: pairs that hold a source word, the empty word (null) in all; ``total``: how often a target word occurs; ``s, t``: places in these."""
+        self.words = list(seen)
+        self.source = {w: i for i, w in enumerate(seen)}
+        self.target = {w: i for i, w in enumerate(total)}
+        self.size = seen.get("", 0)
+        self.seen: Counter[str] = Counter({w: n for w, n in seen.items() if w})
+        self.usual = np.fromiter(total.values(), float, len(total)) / max(1, sum(total.values()))
+        order = np.lexsort((s, t))
+        self.of, self.p = s[order], p[order]
+        self.starts = np.searchsorted(t[order], np.arange(len(total) + 1))
+        self.found: dict[str, list[str]] = {}
+
+    def source_words(self, word: str) -> list[str]:
+        """At most two words that a target word most often renders."""
+        if word not in self.found:
+            k = self.target.get(word)
+            own = slice(0, 0) if k is None else slice(*self.starts[k : k + 2])
+            ranked = sorted(((v * self.seen[self.words[a]], self.words[a]) for a, v in zip(self.of[own].tolist(), self.p[own].tolist(), strict=True) if self.words[a]), reverse=True)
+            self.found[word] = [x for v, x in ranked[:2] if v >= 0.5 * ranked[0][0]]
+        return self.found[word]
 
     def matrix(self, source: list[str], target: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(t by target and source word, t by null, usual probability, whether anything is known) for the words given."""
-        place = {self.source[w]: i for i, w in enumerate(source) if w in self.source}
+        ids = np.array([self.source.get(w, -1) for w in source], np.int64)
+        of_target = np.array([self.target.get(w, -1) for w in target], np.int64)
         t = np.zeros((len(target), len(source)))
         null, usual = np.zeros(len(target)), np.full(len(target), 1e-3)
         known = np.ones(len(target))
+        stated = np.flatnonzero(of_target >= 0)
+        own = of_target[stated]
+        usual[stated] = np.maximum(self.usual[own], 1e-5)
+        at, n = _ranges(self.starts[own], self.starts[own + 1])
+        row, of, p = np.repeat(stated, n), self.of[at], self.p[at]
+        null[row[of == 0]] = p[of == 0]
+        order = np.argsort(ids, kind="stable")
+        place = order[np.minimum(np.searchsorted(ids, of, sorter=order), len(ids) - 1)]
+        here = ids[place] == of
+        t[row[here], place[here]] = p[here]
         same = {w: i for i, w in enumerate(source)}
         for j, w in enumerate(target):
-            k = self.target.get(w)
             if w[0] == "#":
                 usual[j] = 2e-4
-            elif k is not None:
-                usual[j] = max(self.usual[k], 1e-5)
-                null[j] = self.table.get((0, k), 0.0)
-                for a, v in self.by_target.get(k, ()):
-                    if a in place:
-                        t[j, place[a]] = v
             if w in same and (w[0] == "#" or len(w) >= 4 and w.isascii()):
                 t[j, same[w]] = max(t[j, same[w]], 0.9 if w[0] == "#" else 0.5)
-            elif k is None and w[0] != "#":
+            elif of_target[j] < 0 and w[0] != "#":
                 known[j] = 0.0  # says nothing for or against any source
         return t, null, usual, known
 
 
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each first one to before its end, one range after another, and how many each has."""
+    n = end - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n), n
+
+
 def align(source: list[list[str]], target: list[list[str]], lexicon: Lexicon) -> list[tuple[int, int, float]]:
     """(source, target, gain) of the best path; a merge gives a row for each sentence of its span."""
     if not source or not target:
@@ -319,8 +307,8 @@ def anchors(sentence: list[str], lexicon: Lexicon, translated: bool, seen: Count
     for w in sentence:
         if w[0] == "#" or not translated:
             words.add(w)
-        elif w in lexicon.source_words:
-            words.update(lexicon.source_words[w])
+        else:
+            words.update(lexicon.source_words(w))
         if translated and len(w) >= 4 and w.isascii():
             words.add(w)
     numbers = [w for w in words if w[0] == "#"]
@@ -391,23 +379,211 @@ def places(ord_a: np.ndarray, ord_b: np.ndarray, weight: np.ndarray, first: int,
 PAIRS = "book_a string, id_a string, sent_a int, book_b string, id_b string, sent_b int, gain double"
 
 
-def train(alignment: DataFrame, rows: int = TRAIN_ROWS, glossary: DataFrame | None = None) -> dict[bool, Lexicon]:
-    """A lexicon for targets in ideographs and one for others, of at most ``rows`` confirmed paragraphs each, and of glossary terms."""
-    confirmed = alignment.select(F.col("source_text").cast("string").alias("a"), F.col("target_text").cast("string").alias("b")).where((F.length("a") > 0) & (F.length("b") > 0)).distinct()
-    han = F.col("b").rlike("[\\u4e00-\\u9fff]{2}")
-    terms = []
+#: Words of a confirmed pair: those of the source, with the empty one for null, and those of the target with their counts.
+BAGS = "han boolean, s array<string>, t array<string>, n array<bigint>"
+#: Rows of a block of target words: what was expected of pairs of words (part 0), and a paragraph's words (part 1; v: counts of t).
+FIT = "block int, part int, s array<int>, t array<int>, v array<double>"
+_FIT = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("s", pa.list_(pa.int32())), ("t", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
+
+
+def train(alignment: DataFrame, glossary: DataFrame | None = None) -> dict[bool, Lexicon]:
+    """A lexicon for targets in ideographs and one for others, of all confirmed paragraphs and all terms of a glossary, each a pair.
+
+    The target's words are dealt out to blocks, as many as keep a task's pairs
+    of words bounded. A round of expectation needs of other blocks only what a
+    source word is expected to render in all, a number a word. The driver holds
+    the vocabulary and what is likely, never a paragraph.
+    """
+    stated = lambda df, a, b: df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where((F.length("a") > 0) & (F.length("b") > 0)).distinct()
+    pairs = stated(alignment, "source_text", "target_text")
     if glossary is not None:
-        stated = glossary.select(F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b")).where((F.length("a") > 0) & (F.length("b") > 0)).distinct()
-        terms = [(r.a, r.b) for r in stated.orderBy(F.xxhash64("a", "b"), "a", "b").limit(TERM_ROWS).collect()]
+        pairs = pairs.unionByName(stated(glossary, "source", "target"))
+    bags = cut(map_batches(pairs, ["a", "b"], _bags, BAGS))
+    entry = lambda side, word, n: F.struct(F.lit(side).alias("side"), word.alias("word"), n.cast("bigint").alias("n"))
+    entries = F.concat(
+        F.transform("s", lambda w: entry("a", w, F.lit(1))), F.transform(F.arrays_zip("t", "n"), lambda x: entry("b", x["t"], x["n"])), F.array(entry("pairs", F.lit(""), F.size("s").cast("bigint") * F.size("t")))
+    )
+    counts: dict[str, dict[tuple[bool, str], int]] = {"a": {}, "b": {}, "pairs": {}}
+    told = bags.select("han", F.explode(entries).alias("x")).groupBy("han", "x.side", "x.word").agg(F.sum("x.n").alias("n")).toArrow()
+    for han, side, word, n in sorted(zip(*(told.column(c).to_pylist() for c in ("han", "side", "word", "n")), strict=True)):
+        counts[side][han, word] = n
+    source, target = counts["a"], counts["b"]
+    s, t, p = _fitted(bags, list(source), list(target), sum(counts["pairs"].values()))
     out = {}
     for flag in (False, True):
-        sample = confirmed.where(han if flag else ~han).orderBy(F.xxhash64("a", "b"), "a", "b").limit(rows).collect()
-        own = [(a, b) for a, b in terms if bool(re.search("[一-鿿]{2}", b)) == flag]
-        out[flag] = Lexicon([*((r.a, r.b) for r in sample), *own])
+        own = [{w: n for (han, w), n in x.items() if han == flag} for x in (source, target)]
+        first = [len(x) - len(y) if flag else 0 for x, y in zip((source, target), own, strict=True)]
+        here = (t >= first[1]) & (t < first[1] + len(own[1]))
+        out[flag] = Lexicon(*own, s[here] - first[0], t[here] - first[1], p[here])
     return out
 
 
-def align_books(segments: DataFrame, books: DataFrame, alignment: DataFrame, train_rows: int = TRAIN_ROWS, glossary: DataFrame | None = None) -> DataFrame:
+_HAN_PAIR = re.compile("[一-鿿]{2}")
+
+
+def _bags(batch: pa.RecordBatch) -> dict:
+    a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+    counts = [Counter(w for w in tokens(x) if w[0] != "#") for x in b]
+    return {
+        "han": pa.array([bool(_HAN_PAIR.search(x)) for x in b], pa.bool_()), "s": pa.array([["", *sorted({w for w in tokens(x) if w[0] != "#"})] for x in a], pa.list_(pa.string())),
+        "t": pa.array([list(x) for x in counts], pa.list_(pa.string())), "n": pa.array([list(x.values()) for x in counts], pa.list_(pa.int64())),
+    }
+
+
+def _fitted(bags: DataFrame, source: list[tuple[bool, str]], target: list[tuple[bool, str]], together: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, target, probability) by places in the lists of all that is likely; ``together``: pairs of words over all paragraphs."""
+    spark = bags.sparkSession
+    if not target:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    n_blocks = max(2 * spark.sparkContext.defaultParallelism, -(-min(together, len(source) * len(target)) // FITTED))
+    ship(spark)
+    paragraphs = cut(bags.mapInArrow(_dealt(source, target, n_blocks), FIT))
+    rows = paragraphs
+    totals = None
+    for _ in range(ROUNDS):
+        expected = cut(rows.repartition(n_blocks, "block").sortWithinPartitions("block", "part").mapInArrow(_expected(totals, len(target)), FIT))
+        sums = expected.select(F.explode(F.arrays_zip("s", "v")).alias("x")).groupBy("x.s").agg(F.sum("x.v").alias("v")).toArrow()
+        totals = np.zeros(len(source))
+        totals[sums.column("s").to_numpy()] = sums.column("v").to_numpy()
+        rows = expected.unionByName(paragraphs)
+    likely = map_batches(expected, ["s", "t", "v"], _likely(totals), "s int, t int, p double").toArrow()
+    return likely.column("s").to_numpy().astype(np.int64), likely.column("t").to_numpy().astype(np.int64), likely.column("p").to_numpy()
+
+
+def _dealt(source: list[tuple[bool, str]], target: list[tuple[bool, str]], n_blocks: int):
+    """The words of a paragraph by number, a row for each block that has words of its target."""
+
+    def run(batches):
+        of_source, of_target = ({x: i for i, x in enumerate(names)} for names in (source, target))
+        out: list[dict] = []
+        held = 0
+        for batch in batches:
+            for han, a, b, n in zip(*(batch.column(c).to_pylist() for c in ("han", "s", "t", "n")), strict=True):
+                s = [of_source[han, w] for w in a]
+                blocks: dict[int, tuple[list[int], list[int]]] = {}
+                for w, k in zip(b, n, strict=True):
+                    t = of_target[han, w]
+                    t_own, n_own = blocks.setdefault(t % n_blocks, ([], []))
+                    t_own.append(t)
+                    n_own.append(k)
+                for block, (t_own, n_own) in blocks.items():
+                    out.append({"block": block, "part": 1, "s": s, "t": t_own, "v": n_own})
+                    held += len(s) + len(t_own)
+                    if held >= WEIGHED:
+                        yield pa.RecordBatch.from_pylist(out, _FIT)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _FIT)
+
+    return run
+
+
+def _expected(totals: np.ndarray | None, width: int):
+    """How often each pair of a block's words is expected to render each other, by the round before or, without one, by chance.
+
+    A block's rows follow one another, those of the round before first. A task
+    holds one block's pairs of words and one batch of paragraphs.
+    """
+
+    def run(batches):
+        block = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks, parts = batch.column("block").to_numpy(), batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(parts) != 0)) + 1).tolist(), len(blocks)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if blocks[x] != block:
+                    if block is not None:
+                        yield from _rows(block, *sums.all(), width)
+                    block, sums = int(blocks[x]), _Sums(totals, width)
+                lists = [batch.column(c).slice(x, y - x) for c in ("s", "t", "v")]
+                (sums.weigh if parts[x] else sums.before)(*lists)
+        if block is not None:
+            yield from _rows(block, *sums.all(), width)
+
+    return run
+
+
+def _rows(block: int, keys: np.ndarray, sums: np.ndarray, width: int):
+    for i in range(0, len(keys), 1 << 16):
+        own = slice(i, i + (1 << 16))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in ((keys[own] // width).astype(np.int32), (keys[own] % width).astype(np.int32), sums[own])]
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), *lists], schema=_FIT)
+
+
+class _Sums:
+    """Expected counts of the pairs of words of one block; a pair's key is source * width + target."""
+
+    def __init__(self, totals: np.ndarray | None, width: int) -> None:
+        self.totals, self.width = totals, width
+        self.keys, self.sums, self.p = np.empty(0, np.int64), np.empty(0), np.empty(0)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_new = 0
+        self.sorted = False
+
+    def before(self, s: pa.ListArray, t: pa.ListArray, v: pa.ListArray) -> None:
+        """What the round before expected."""
+        s, t, v = (x.flatten().to_numpy() for x in (s, t, v))
+        self.keys = np.concatenate((self.keys, s.astype(np.int64) * self.width + t))
+        total = self.totals[s]
+        self.p = np.concatenate((self.p, np.divide(v, total, out=np.zeros(len(v)), where=total > 0)))
+
+    def weigh(self, s: pa.ListArray, t: pa.ListArray, v: pa.ListArray) -> None:
+        """Paragraphs: each occurrence of a target word is shared out among the source's words."""
+        if self.totals is not None and not self.sorted:
+            order = np.argsort(self.keys)
+            self.keys, self.p, self.sums, self.sorted = self.keys[order], self.p[order], np.zeros(len(order)), True
+        s_at, t_at = s.offsets.to_numpy(), t.offsets.to_numpy()
+        s, t, n = s.values.to_numpy().astype(np.int64), t.flatten().to_numpy(), v.flatten().to_numpy()
+        row = np.repeat(np.arange(len(t_at) - 1), np.diff(t_at))
+        ends = np.cumsum(np.diff(s_at)[row])
+        start = 0
+        while start < len(t):  # steps of whole target words
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + WEIGHED, "right")))
+            own = row[start:end]
+            at, size = _ranges(s_at[own], s_at[own + 1])
+            place = np.repeat(np.arange(end - start), size)
+            key = s[at] * self.width + t[start:end][place]
+            if self.totals is None:
+                share = (n[start:end] / size)[place]
+            else:
+                pair = np.searchsorted(self.keys, key)
+                p = self.p[pair]
+                share = p * (n[start:end] / np.bincount(place, p))[place]
+            share = np.rint(share / GRAIN) * GRAIN
+            if self.totals is None:
+                self._add(key, share)
+            else:
+                self.sums += np.bincount(pair, share, len(self.keys))
+            start = end
+
+    def _add(self, key: np.ndarray, share: np.ndarray) -> None:
+        keys, pair = np.unique(key, return_inverse=True)
+        self.new.append((keys, np.bincount(pair, share, len(keys))))
+        self.n_new += len(keys)
+        if self.n_new > max(FITTED, len(self.keys)):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and sums so far."""
+        if self.new:
+            parts, self.new, self.n_new = [(self.keys, self.sums), *self.new], [], 0
+            self.keys, pair = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            self.sums = np.bincount(pair, np.concatenate([v for _, v in parts]), len(self.keys))
+        return self.keys, self.sums
+
+
+def _likely(totals: np.ndarray):
+    def run(batch: pa.RecordBatch) -> dict:
+        s, t, v = (batch.column(c).flatten().to_numpy() for c in ("s", "t", "v"))
+        kept = v > LEAST_LIKELY * totals[s]
+        return {"s": pa.array(s[kept]), "t": pa.array(t[kept]), "p": pa.array(v[kept] / totals[s[kept]])}
+
+    return run
+
+
+def align_books(segments: DataFrame, books: DataFrame, alignment: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     """Pairs of sentences of source books and their editions that render each other.
 
     Needs ``book_id, id, ord, kind, text``, ``book_id, source_book_id`` and
@@ -425,7 +601,7 @@ def align_books(segments: DataFrame, books: DataFrame, alignment: DataFrame, tra
     against every other place that its anchors point to as well, and of all that
     is found for a sentence the best explained stays.
     """
-    lexicons = train(alignment, train_rows, glossary)
+    lexicons = train(alignment, glossary)
     pairs = books.where(F.col("source_book_id").isNotNull()).select(F.col("source_book_id").cast("string").alias("book_a"), F.col("book_id").cast("string").alias("book_b")).distinct()
     wanted = pairs.select(F.col("book_a").alias("book_id")).unionByName(pairs.select(F.col("book_b").alias("book_id"))).distinct()
     paragraphs = segments.where((F.col("kind") == "paragraph") & (F.length("text") > 0)).select(

@@ -404,6 +404,70 @@ def test_a_glossary_helps_where_little_is_confirmed(spark):
     assert right[1] >= right[0] and right[1] >= 0.8 * len(want) and right[1] >= 0.9 * len(got[1])
 
 
+def plain_fit(pairs):
+    """IBM model 1 over all pairs at once: (source word or "" for null, target word) -> probability."""
+    bags = [(["", *sorted(set(bilingual.tokens(a)))], bilingual.tokens(b)) for a, b in pairs]
+    p = dict.fromkeys(((s, t) for a, b in bags for s in a for t in b), 1.0)
+    for _ in range(bilingual.ROUNDS):
+        seen, total = dict.fromkeys(p, 0.0), {}
+        for a, b in bags:
+            for t in b:
+                norm = sum(p[s, t] for s in a)
+                for s in a:
+                    seen[s, t] += p[s, t] / norm
+                    total[s] = total.get(s, 0.0) + p[s, t] / norm
+        p = {(s, t): v / total[s] for (s, t), v in seen.items()}
+    return p
+
+
+def letters(n):
+    return "".join("abcdefghij"[int(c)] for c in str(n))
+
+
+def test_every_confirmed_paragraph_and_term_is_learnt_from(spark):
+    rng = random.Random(8)
+    confirmed = [(f"The {a} of {letters(n)}", f"Die {b} von {letters(n)[::-1]}x") for n in range(1, 1501) for a, b in [rng.choice(NOUNS)]]
+    confirmed += [(f"The {a} of {letters(n)}", f"第{b}的{chr(0x4E00 + n)}{chr(0x5E00 + n)}") for n in range(1, 1301) for a, b in [rng.choice(HAN_NOUNS)]]
+    terms = [(f"term {letters(n)}", f"Wort{letters(n)}") for n in range(1, 2201)]
+    alignment = spark.createDataFrame([*confirmed, confirmed[0], ("", "x"), (None, "x")], "source_text string, target_text string")
+    lexicons = bilingual.train(alignment, glossary=spark.createDataFrame(terms, "source string, target string"))
+    for han in (False, True):
+        pairs = [x for x in [*confirmed, *terms] if bool(re.search("[一-鿿]{2}", x[1])) == han]
+        words = sorted({w for _, b in pairs for w in bilingual.tokens(b)})
+        assert lexicons[han].size == len(pairs) and set(words) == set(lexicons[han].target)
+        want = plain_fit(pairs)
+        probe = rng.sample(words, 400)
+        sources = sorted({s for s, t in want if s})
+        t, null, _, known = lexicons[han].matrix(sources, probe)
+        assert known.all()
+        likely = np.array([[v if (v := want.get((s, w), 0.0)) > 2e-3 else 0.0 for s in sources] for w in probe])
+        same = np.array([[s == w for s in sources] for w in probe])
+        assert np.abs(np.where(same, 0, t - likely)).max() < 1e-6
+        assert np.abs(null - [v if (v := want.get(("", w), 0.0)) > 2e-3 else 0.0 for w in probe]).max() < 1e-6
+
+
+@pytest.mark.parametrize("weighed, fitted", [(1, 1), (7, 3), (10**6, 10**6)])
+def test_expected_counts_in_steps_of_any_size(monkeypatch, weighed, fitted):
+    rng = random.Random(3)
+    monkeypatch.setattr(bilingual, "WEIGHED", weighed)
+    monkeypatch.setattr(bilingual, "FITTED", fitted)
+    source, target = [(False, w) for w in ("", *"abcdef")], [(False, w) for w in "uvwxyz"]
+    pairs = [(" ".join(rng.sample("abcdef", 3)), " ".join(rng.choices("uvwxyz", k=4))) for _ in range(40)]
+    bags = pa.RecordBatch.from_pydict(bilingual._bags(pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})))
+    rows = [r for batch in bilingual._dealt(source, target, 4)(iter([bags])) for r in batch.to_pylist()]
+    totals, expected = None, []
+    for _ in range(bilingual.ROUNDS):
+        given = sorted([*expected, *rows], key=lambda r: (r["block"], r["part"]))
+        batches = [pa.RecordBatch.from_pylist(given[i : i + 9], bilingual._FIT) for i in range(0, len(given), 9)]
+        expected = [r for batch in bilingual._expected(totals, len(target))(iter(batches)) for r in batch.to_pylist()]
+        totals = np.zeros(len(source))
+        for r in expected:
+            np.add.at(totals, r["s"], r["v"])
+    got = {(source[s][1], target[t][1]): v / totals[s] for r in expected for s, t, v in zip(r["s"], r["t"], r["v"], strict=True)}
+    want = plain_fit(pairs)
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
 def test_sentences_and_numbers():
     assert bilingual.sentences("See No. 415 here. Next! 没有。是吗？") == ["See No. 415 here.", "Next!", "没有。", "是吗？"]
     assert bilingual.sentences("Abb. 772 zeigt. Ende") == ["Abb. 772 zeigt.", "Ende"]
