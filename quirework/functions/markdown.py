@@ -16,25 +16,28 @@ from quirework.functions import text as T
 TABLE_COLUMNS, TABLE_WIDTH = 5, 72
 
 CAPTION = "(?i)(?<![\\p{L}])(exhibit|figure|fig\\.|table|chart|plate|illustration|map|\\x{56fe}\\x{8868}|\\x{63d2}\\x{56fe}|\\x{56fe}|\\x{8868})\\s*([0-9]+(?:[.\\x{2013}-][0-9]+)*[a-z]?)"
+#: A code fence with its marks; one that is never closed goes to the text's end.
+FENCE = "(?s)(?<![^\\n]) *(```|~~~).*?(?:\\n *\\1[^\\n]*|\\z)"
 
 
-def fence_flags(text: Column) -> Column:
-    """Lines with whether they belong to a code fence, marks included."""
-    start = F.struct(F.array().cast("array<struct<line:string,inside:boolean>>").alias("done"), F.lit("").alias("fence"))
+def _outside(text: Column, change) -> Column:
+    """``change`` applied to the arrays of lines between code fences.
 
-    def add(state: Column, line: Column) -> Column:
-        mark = F.substring(F.ltrim(line), 1, 3)
-        is_mark = mark.isin("```", "~~~")
-        inside = F.length(state["fence"]) > 0
-        fence = F.when(is_mark & ~inside, mark).when(inside & (mark == state["fence"]), F.lit("")).otherwise(state["fence"])
-        return F.struct(F.concat(state["done"], F.array(F.struct(line.alias("line"), (inside | is_mark).alias("inside")))).alias("done"), fence.alias("fence"))
+    A stretch has an empty line at each fence that it touches, which ``change`` must leave.
+    """
+    stretch = lambda x: F.array_join(change(F.split(x, "\n")), "\n")
 
-    return F.aggregate(F.split(text, "\n"), start, add, lambda s: s["done"])
+    def fenced(t: Column) -> Column:
+        between = F.transform(F.split(t, FENCE), stretch)
+        fences = F.regexp_extract_all(t, F.lit(FENCE), F.lit(0))
+        return F.array_join(F.zip_with(between, fences, lambda x, fence: F.concat(x, F.coalesce(fence, F.lit("")))), "")
+
+    return T.bound(text, lambda t: F.when(F.contains(t, F.lit("```")) | F.contains(t, F.lit("~~~")), fenced(t)).otherwise(stretch(t)))
 
 
 def outside_fences(text: Column, change) -> Column:
-    """``change`` applied to every line outside code fences."""
-    return F.array_join(F.transform(fence_flags(text), lambda x: F.when(x["inside"], x["line"]).otherwise(change(x["line"]))), "\n")
+    """``change``, which leaves an empty line as it is, applied to every line outside code fences."""
+    return _outside(text, lambda rows: F.transform(rows, change))
 
 
 def html_headings(text: Column) -> Column:
@@ -51,8 +54,7 @@ def superscripts(text: Column) -> Column:
 
 def drop_wrappers(text: Column) -> Column:
     """Without lines that hold only div or section tags, outside fences."""
-    kept = F.filter(fence_flags(text), lambda x: x["inside"] | ~x["line"].rlike("(?i)^\\s*(</?(?:div|section)\\b[^>]*>\\s*)+$"))
-    return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    return _outside(text, lambda rows: F.filter(rows, lambda x: ~x.rlike("(?i)^\\s*(</?(?:div|section)\\b[^>]*>\\s*)+$")))
 
 
 def anchors(text: Column) -> Column:
@@ -62,10 +64,13 @@ def anchors(text: Column) -> Column:
 
 def flatten_dead_links(text: Column) -> Column:
     """Links to identifiers that the text doesn't define, as plain words."""
-    wanted = F.array_distinct(F.regexp_extract_all(text, F.lit("\\]\\(#([^)\\s]+)\\)"), F.lit(1)))
-    dead = F.array_except(wanted, anchors(text))
-    # quoted, so that an identifier's own signs mean themselves
-    return F.aggregate(dead, text, lambda t, name: F.regexp_replace(t, F.concat(F.lit("\\[([^\\]]*)\\]\\(#\\Q"), name, F.lit("\\E\\)")), F.lit("$1")))
+
+    def flat(t: Column) -> Column:
+        wanted = F.array_distinct(F.regexp_extract_all(t, F.lit("\\]\\(#([^)\\s]+)\\)"), F.lit(1)))
+        # quoted, so that an identifier's own signs mean themselves
+        return F.aggregate(F.array_except(wanted, anchors(t)), t, lambda x, name: F.regexp_replace(x, F.concat(F.lit("\\[([^\\]]*)\\]\\(#\\Q"), name, F.lit("\\E\\)")), F.lit("$1")))
+
+    return T.bound(text, flat)
 
 
 def table_rows(text: Column) -> Column:

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirework.functions import markdown as M
+from quirework.functions import text as T
 
 # Roles that a checker of EPUB packages accepts on a link.
 ROLES = "button checkbox doc-backlink doc-biblioref doc-glossref doc-noteref link menuitem menuitemcheckbox menuitemradio option radio switch tab treeitem".split()
 #: A paragraph under an image that is no longer than this is its caption.
 CAPTION_CHARS = 80
+#: A printer's stamp, looked for once a word: from its first letter or where the stamp before it ends.
+STAMP = "(?i)(?:\\G|(?<![\\w.-]))[\\w.-]+\\.(?:qxd|indd)\\s+\\d+/\\d+/\\d+\\s+\\d+:\\d\\d\\s+[AP]M(?:\\s+Page\\s+\\S+)?"
+#: What every text with residue holds; lines in fences may hold it too.
+RESIDUE = "(?im)<!--|\\.(?:qxd|indd)\\s|(?:\\\\|[ \\t]{2})$|[\\x{2022}\\x{25aa}\\x{25cf}]\\s"
 
 
-def _for_each(found: Column, text: Column, change) -> Column:
-    """``text`` with every found stretch replaced by what ``change`` makes of it."""
-    return F.aggregate(F.array_distinct(found), text, lambda t, x: F.replace(t, x, change(x)))
+def _for_each(pattern: str, text: Column, change) -> Column:
+    """``text`` with every stretch that the pattern's first group finds replaced by what ``change`` makes of it."""
+    return T.bound(text, lambda whole: F.aggregate(F.array_distinct(F.regexp_extract_all(whole, F.lit(pattern), F.lit(1))), whole, lambda t, x: F.replace(t, x, change(x))))
 
 
 def images(text: Column) -> Column:
@@ -45,7 +52,7 @@ def flatten_page_links(text: Column) -> Column:
 
 def slashes(text: Column) -> Column:
     """Forward slashes in the paths of sources and links."""
-    return _for_each(F.regexp_extract_all(text, F.lit("(?i)\\b(?:src|href)\\s*=\\s*[\"']([^\"']*\\\\[^\"']*)[\"']"), F.lit(1)), text, lambda x: F.replace(x, F.lit("\\"), F.lit("/")))
+    return _for_each("(?i)\\b(?:src|href)\\s*=\\s*[\"']([^\"']*\\\\[^\"']*)[\"']", text, lambda x: F.replace(x, F.lit("\\"), F.lit("/")))
 
 
 def known_roles(text: Column) -> Column:
@@ -70,17 +77,38 @@ def residue(text: Column) -> Column:
 
     def line(x: Column) -> Column:
         x = F.regexp_replace(x, "<!--.*?-->", "")
-        x = F.regexp_replace(x, "(?i)[\\w.-]+\\.(?:qxd|indd)\\s+\\d+/\\d+/\\d+\\s+\\d+:\\d\\d\\s+[AP]M(?:\\s+Page\\s+\\S+)?", "")
-        x = F.regexp_replace(x, "(?:\\\\|[ \\t]{2,})$", "")
+        x = F.regexp_replace(x, STAMP, "")
+        x = F.regexp_replace(x, "(?:\\\\|(?<![ \\t])[ \\t]{2,})$", "")
         return F.regexp_replace(x, "^(\\s*)[\\x{2022}\\x{25aa}\\x{25cf}]\\s+", "$1- ")
 
-    return M.outside_fences(text, line)
+    return T.bound(text, lambda t: F.when(t.rlike(RESIDUE), M.outside_fences(t, line)).otherwise(t))
+
+
+#: The steps of ``clean`` in order, each with signs of which every text that it changes holds one (residue looks for its own).
+STEPS = (
+    (residue, ("",)),
+    (slashes, ("\\",)),
+    (M.html_headings, ("</",)),
+    (M.superscripts, ("</",)),
+    (images, ("<", "](")),
+    (lift_images, ("![",)),
+    (M.drop_wrappers, ("<",)),
+    (flatten_page_links, ("](",)),
+    (M.flatten_dead_links, ("](#",)),
+    (known_roles, ("<",)),
+    (split_captions, ("**",)),
+)
+
+
+def _if_any(signs: tuple[str, ...], step):
+    """``step`` for texts with one of the signs; others stay."""
+    return lambda t: F.when(reduce(or_, [F.contains(t, F.lit(x)) for x in signs]), step(t)).otherwise(t)
 
 
 def clean(text: Column) -> Column:
     """All built-in steps in order; HTML tables, which need a parser, come before (``markdown.html_tables_as_markdown``)."""
-    for step in (residue, slashes, M.html_headings, M.superscripts, images, lift_images, M.drop_wrappers, flatten_page_links, M.flatten_dead_links, known_roles, split_captions):
-        text = step(text)
+    for step, signs in STEPS:
+        text = T.bound(text, _if_any(signs, step))
     return F.regexp_replace(text, "\\n{3,}", "\n\n")
 
 

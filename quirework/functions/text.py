@@ -15,6 +15,11 @@ HEADING = "^(#{1,6})\\s+(\\S.*?)\\s*$"
 IMAGE = "(?i)(?:!\\[[^\\]]*\\]\\(|<img\\b[^>]*\\bsrc\\s*=\\s*[\"'])([^)\\s\"']+)"
 
 
+def bound(text: Column, change) -> Column:
+    """``change`` of a text that it names more than once; an expression would be worked out as often, this is once."""
+    return F.get(F.transform(F.array(text), change), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines of a text; a final line end makes no further line, empty text has none."""
     body = F.regexp_replace(text, "\\n$", "")

@@ -227,6 +227,7 @@ def publication_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = S.once(table(spark, sf_dir, "segments").where(F.col("text").isNotNull()), "book_id", "id", "text")
     tagged = D.column(lambda t: D.note_markers(D.style_spans(t)))
-    drafts = rows.withColumn("text", F.when(F.contains("text", F.lit("<")), tagged(F.col("text"))).otherwise(F.col("text")))
-    tables = drafts.withColumn("text", F.when(F.contains(F.lower("text"), F.lit("<table")), M.html_tables_as_markdown(F.col("text"))).otherwise(F.col("text")))
+    # Python is sent null for a text without the sign, as it gets all rows whatever stands around it
+    drafts = rows.withColumn("text", F.coalesce(tagged(F.when(F.contains("text", F.lit("<")), F.col("text"))), "text"))
+    tables = drafts.withColumn("text", F.coalesce(M.html_tables_as_markdown(F.when(F.contains(F.lower("text"), F.lit("<table")), F.col("text"))), "text"))
     return tables.select("book_id", "id", B.clean(F.col("text")).alias("body"))

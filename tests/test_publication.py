@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,39 @@ def test_steps(spark, change, text, want):
     assert one(spark, change, text) == want
 
 
+def test_a_text_is_worked_out_once(spark):
+    plan = spark.createDataFrame([("",)], "source string").select(P.clean(F.col("source")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("source#") == 2  # where it is read and where it is cleaned
+
+
+LONG = [
+    ("a." * 100_000 + "  \nend", "a." * 100_000 + "\nend"),
+    (" " * 100_000 + "x\\", " " * 100_000 + "x"),
+    ("```\n" + "• x\n" * 20_000 + "```\n• x", "```\n" + "• x\n" * 20_000 + "```\n- x"),
+    ("• x\n" * 20_000 + "~~~\n```\n• x", "- x\n" * 20_000 + "~~~\n```\n• x"),
+]
+
+
+def test_long_words_blanks_and_fences(spark):
+    start = time.monotonic()
+    for text, want in LONG:
+        assert one(spark, P.clean, text) == want
+    assert time.monotonic() - start < 30
+
+
+STAMPS = [
+    ("a.qxd 1/2/03 4:05 PMb.indd 1/2/03 4:05 AM c", " c"),
+    ("x-y.z.qxd 1/2/03 4:05 PM Page 7 w", " w"),
+    ("caf\u00e9a.qxd 1/2/03 4:05 PM", "caf\u00e9"),
+    (".qxd 1/2/03 4:05 PM", ".qxd 1/2/03 4:05 PM"),
+]
+
+
+@pytest.mark.parametrize("text,want", STAMPS)
+def test_stamps(spark, text, want):
+    assert one(spark, P.residue, text) == want
+
+
 def test_superscripts():
     text = "The mill1 stood in 2005 by the mill2 and mill1."
     assert P.mark_superscripts(text, [("mill", "1"), ("mill", "2"), ("gone", "3")]) == ("The mill^1^ stood in 2005 by the mill^2^ and mill1.", ["gone3"])
